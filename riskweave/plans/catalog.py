@@ -105,3 +105,336 @@ def enriched_applications(spark: SparkSession, sf: str) -> DataFrame:
 def q_enrich_applications(spark, sf):
     """Flagship: 31 relational features joined onto every applicant."""
     return enriched_applications(spark, sf)
+
+
+# ---------------------------------------------------------------- validation & profiling (B, E7–E10)
+from pyspark.sql import functions as F  # noqa: E402
+
+from riskweave.functions import expr as X  # noqa: E402
+from riskweave.operators import checks, profile, segments  # noqa: E402
+from riskweave.plans import oracle_sql as O  # noqa: E402
+
+RUN_ID, CREATED_AT = "20260101_000000", "2026-01-01T00:00:00+00:00"
+
+
+@register("invalid_target_values", with_ctes(
+    "SELECT DISTINCT TARGET AS invalid_value FROM enriched "
+    "WHERE TARGET IS NOT NULL AND CAST(TARGET AS DOUBLE) NOT IN (0, 1)", "enriched"))
+def q_invalid_target_values(spark, sf):
+    return checks.invalid_binary_values(enriched_applications(spark, sf), "TARGET")
+
+
+@register("invalid_scores", with_ctes(
+    "SELECT * FROM predictions WHERE y_proba IS NULL OR isnan(y_proba) OR y_proba < 0 OR y_proba > 1 "
+    "OR y_true IS NULL", "predictions"))
+def q_invalid_scores(spark, sf):
+    return checks.invalid_scores(A.predictions(spark, sf), "y_proba", "y_true")
+
+
+@register("data_shape", with_ctes(f"SELECT count(*) AS rows, {len(O.ENRICHED_COLS)} AS columns FROM enriched",
+                                  "enriched"))
+def q_data_shape(spark, sf):
+    return profile.data_shape(enriched_applications(spark, sf))
+
+
+@register("missingness", with_ctes(
+    f"SELECT \"column\", round(r, 6) AS missing_ratio FROM ({O.missing_union('enriched', O.ENRICHED_COLS)})",
+    "enriched"))
+def q_missingness(spark, sf):
+    return profile.missingness(enriched_applications(spark, sf))
+
+
+@register("column_types")
+def q_column_types(spark, sf):
+    return profile.column_types(enriched_applications(spark, sf))
+
+
+@register("target_stats", with_ctes(
+    "SELECT TARGET AS target_value, count(*) AS count, "
+    "round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM enriched) * 100, 4) AS pct "
+    "FROM enriched WHERE TARGET IS NOT NULL GROUP BY TARGET", "enriched"))
+def q_target_stats(spark, sf):
+    return profile.target_stats(enriched_applications(spark, sf))
+
+
+@register("kpi_overview", with_ctes(f"""
+SELECT '{RUN_ID}' AS run_id, '{CREATED_AT}' AS created_at,
+       (SELECT count(*) FROM enriched) AS n_rows, {len(O.ENRICHED_COLS)} AS n_cols,
+       round((SELECT CAST(sum(TARGET) AS DOUBLE) / count(*) FROM enriched), 6) AS default_rate,
+       round(avg(r), 6) AS avg_missing_rate,
+       round(CAST(count(*) FILTER (WHERE r > 0.4) AS DOUBLE) / count(*) * 100, 4) AS pct_columns_missing_gt_40
+FROM ({O.missing_union('enriched', O.ENRICHED_COLS)})""", "enriched"))
+def q_kpi_overview(spark, sf):
+    return profile.kpi_overview(enriched_applications(spark, sf), RUN_ID, CREATED_AT)
+
+
+@register("missingness_by_feature", with_ctes(f"""
+SELECT "column" AS feature, round(r, 6) AS missing_rate, {O.dtype_case('"column"')} AS dtype,
+       {O.FEATURE_GROUP_SQL.format(c='"column"')} AS feature_group
+FROM ({O.missing_union('enriched', O.ENRICHED_COLS)})""", "enriched"))
+def q_missingness_by_feature(spark, sf):
+    return profile.missingness_by_feature(enriched_applications(spark, sf))
+
+
+_SUMMARY_NUM_SQL = f"""
+SELECT feature, {O.dtype_case('feature')} AS dtype, count(value) AS n,
+       round(CAST(count(*) - count(value) AS DOUBLE) / count(*), 6) AS missing_rate,
+       round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
+       round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.5), 6) AS p50,
+       round(quantile_cont(value, 0.95), 6) AS p95,
+       CAST(NULL AS VARCHAR) AS top1, CAST(NULL AS DOUBLE) AS top1_rate,
+       CAST(NULL AS VARCHAR) AS top2, CAST(NULL AS DOUBLE) AS top2_rate,
+       {O.FEATURE_GROUP_SQL.format(c='feature')} AS feature_group
+FROM {O.unpivot_numeric('enriched', O.ENRICHED_NUMERIC)} GROUP BY feature"""
+
+_SUMMARY_CAT_SQL = f"""
+SELECT b.feature, {O.dtype_case('b.feature')} AS dtype, b.n,
+       round(CAST(b.rows_ - b.n AS DOUBLE) / b.rows_, 6) AS missing_rate,
+       CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std, CAST(NULL AS DOUBLE) AS p05,
+       CAST(NULL AS DOUBLE) AS p50, CAST(NULL AS DOUBLE) AS p95,
+       t1.value AS top1, round(CAST(t1.c AS DOUBLE) / b.n * 100, 4) AS top1_rate,
+       t2.value AS top2, round(CAST(t2.c AS DOUBLE) / b.n * 100, 4) AS top2_rate,
+       {O.FEATURE_GROUP_SQL.format(c='b.feature')} AS feature_group
+FROM (SELECT feature, count(value) AS n, count(*) AS rows_ FROM lng GROUP BY feature) b
+LEFT JOIN ranked t1 ON t1.feature = b.feature AND t1.rk = 1
+LEFT JOIN ranked t2 ON t2.feature = b.feature AND t2.rk = 2"""
+
+_SUMMARY_CAT_CTES = f""", lng AS (SELECT * FROM {O.unpivot_categorical('enriched', O.ENRICHED_CATEGORICAL)}),
+vc AS (SELECT feature, value, count(*) AS c FROM lng WHERE value IS NOT NULL GROUP BY feature, value),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY c DESC, value) AS rk FROM vc)
+"""
+
+
+def _cat_sql() -> str:
+    base = with_ctes("SELECT 1", "enriched")
+    ctes = base[: base.rindex("\nSELECT 1")]
+    return ctes + _SUMMARY_CAT_CTES + _SUMMARY_CAT_SQL
+
+
+@register("feature_summary_numeric", with_ctes(_SUMMARY_NUM_SQL, "enriched"))
+def q_feature_summary_numeric(spark, sf):
+    return profile.feature_summary_numeric(enriched_applications(spark, sf))
+
+
+@register("feature_summary_categorical", _cat_sql())
+def q_feature_summary_categorical(spark, sf):
+    return profile.feature_summary_categorical(enriched_applications(spark, sf))
+
+
+@register("feature_summary", _cat_sql() + "\nUNION ALL\n" + _SUMMARY_NUM_SQL)
+def q_feature_summary(spark, sf):
+    return profile.feature_summary(enriched_applications(spark, sf))
+
+
+_CORR_NUM = [c for c in O.ENRICHED_NUMERIC if c != "TARGET"]
+
+
+_CORR_BODY = f"""
+SELECT feature, round(r, 6) AS corr_with_target FROM (
+  SELECT feature, CASE WHEN min(value) = max(value) OR min(y) = max(y) THEN NULL
+                       ELSE covar_pop(value, y) / (stddev_pop(value) * stddev_pop(y)) END AS r
+  FROM (SELECT * FROM {O.unpivot_numeric('enriched', _CORR_NUM, ['CAST(TARGET AS DOUBLE) AS y'])})
+  WHERE value IS NOT NULL AND y IS NOT NULL GROUP BY feature) WHERE r IS NOT NULL AND NOT isnan(r)"""
+
+
+@register("correlation_top", with_ctes(_CORR_BODY, "enriched"))
+def q_correlation_top(spark, sf):
+    return profile.correlation_top(enriched_applications(spark, sf))
+
+
+# ---------------------------------------------------------------- segments
+def _qbin_sql(table: str, col: str, n: int, labels: list[str], where: str = "") -> str:
+    probs = ", ".join(str(i / n) for i in range(1, n))
+    arr = "[" + ", ".join(f"'{x}'" for x in labels) + "]"
+    return (f"CASE WHEN {col} IS NULL THEN NULL ELSE {arr}[1 + len(list_filter("
+            f"(SELECT quantile_cont({col}, [{probs}]) FROM {table} {where}), lambda e: {col} > e))] END")
+
+
+_AGE_SQL = "round(-DAYS_BIRTH / 365.25e0, 1)"
+_AGE_BAND_SQL = ("CASE WHEN a >= 0 AND a < 25 THEN '<25' WHEN a >= 25 AND a < 35 THEN '25-35' "
+                 "WHEN a >= 35 AND a < 45 THEN '35-45' WHEN a >= 45 AND a < 55 THEN '45-55' "
+                 "WHEN a >= 55 AND a < 65 THEN '55-65' WHEN a >= 65 AND a < 120 THEN '65+' END")
+_Q5 = [f"q{i}" for i in range(1, 6)]
+
+
+def _seg_sql(name: str, label_sql: str, table: str = "enriched") -> str:
+    return (f"SELECT '{name}' AS segment_name, v AS segment_value, count(*) AS n, "
+            f"round(avg(TARGET), 6) AS default_rate FROM (SELECT {label_sql} AS v, TARGET FROM {table}) "
+            f"WHERE v IS NOT NULL GROUP BY v")
+
+
+_SEG_INCOME = _seg_sql("income_band", _qbin_sql("enriched", "AMT_INCOME_TOTAL", 5, _Q5))
+_SEG_AGE = _seg_sql("age_band", _AGE_BAND_SQL.replace("a ", f"({_AGE_SQL}) ").replace("a >=", f"({_AGE_SQL}) >="))
+_SEG_CREDIT = _seg_sql("credit_amount_band", _qbin_sql("enriched", "AMT_CREDIT", 5, _Q5))
+_SEG_GENDER = _seg_sql("gender", "CODE_GENDER")
+_SEG_ALL = "\nUNION ALL\n".join([_SEG_INCOME, _SEG_AGE, _SEG_CREDIT, _SEG_GENDER])
+
+
+@register("quantile_bin", with_ctes(
+    f"SELECT SK_ID_CURR, AMT_CREDIT, {_qbin_sql('application', 'AMT_CREDIT', 5, _Q5)} AS AMT_CREDIT_bin "
+    f"FROM application", "application"))
+def q_quantile_bin(spark, sf):
+    app = A.application(spark, sf).select("SK_ID_CURR", "AMT_CREDIT")
+    return segments.quantile_bin(app, "AMT_CREDIT", 5)
+
+
+@register("risk_band", with_ctes(
+    f"SELECT *, {_qbin_sql('predictions', 'y_proba', 3, ['Low', 'Medium', 'High'])} AS risk_band FROM predictions",
+    "predictions"))
+def q_risk_band(spark, sf):
+    return segments.risk_band(A.predictions(spark, sf), "y_proba")
+
+
+@register("segments_quantile", with_ctes(_SEG_INCOME, "enriched"))
+def q_segments_quantile(spark, sf):
+    return segments.segments_by_quantile(enriched_applications(spark, sf), "AMT_INCOME_TOTAL", "income_band", 5)
+
+
+@register("segments_age_band", with_ctes(_SEG_AGE, "enriched"))
+def q_segments_age_band(spark, sf):
+    return segments.segments_by_band(enriched_applications(spark, sf))
+
+
+@register("segments_category", with_ctes(_SEG_GENDER, "enriched"))
+def q_segments_category(spark, sf):
+    return segments.segments_by_category(enriched_applications(spark, sf), "CODE_GENDER", "gender")
+
+
+@register("population_segments", with_ctes(_SEG_ALL, "enriched"))
+def q_population_segments(spark, sf):
+    return segments.population_segments(enriched_applications(spark, sf))
+
+
+@register("segment_extremes", with_ctes(f"""
+SELECT segment_name,
+       sum(default_rate * n) / CAST(sum(n) AS DOUBLE) AS weighted_default_rate,
+       min(segment_value) FILTER (WHERE default_rate = mx) AS riskiest_value, max(mx) AS riskiest_rate,
+       min(segment_value) FILTER (WHERE default_rate = mn) AS safest_value, max(mn) AS safest_rate,
+       max(mx) - max(mn) AS spread
+FROM (SELECT *, max(default_rate) OVER (PARTITION BY segment_name) AS mx,
+             min(default_rate) OVER (PARTITION BY segment_name) AS mn FROM ({_SEG_ALL}))
+GROUP BY segment_name""", "enriched"))
+def q_segment_extremes(spark, sf):
+    return segments.segment_extremes(segments.population_segments(enriched_applications(spark, sf)))
+
+
+# ---------------------------------------------------------------- scalar expressions
+@register("safe_div", with_ctes(
+    "SELECT SK_ID_CURR, AMT_CREDIT / NULLIF(AMT_APPLICATION, 0) AS credit_to_app FROM previous_application",
+    "previous_application"))
+def q_safe_div(spark, sf):
+    p = A.previous_application(spark, sf)
+    return p.select("SK_ID_CURR", X.safe_div("AMT_CREDIT", "AMT_APPLICATION").alias("credit_to_app"))
+
+
+@register("payment_lateness", with_ctes("""
+SELECT SK_ID_CURR, dpd, CASE WHEN dpd > 0 THEN 1 ELSE 0 END AS is_late FROM (
+  SELECT SK_ID_CURR, CASE WHEN DAYS_ENTRY_PAYMENT - DAYS_INSTALMENT < 0 THEN 0
+                          ELSE DAYS_ENTRY_PAYMENT - DAYS_INSTALMENT END AS dpd FROM installments_payments)""",
+    "installments_payments"))
+def q_payment_lateness(spark, sf):
+    i = A.installments_payments(spark, sf)
+    dpd = X.days_past_due("DAYS_ENTRY_PAYMENT", "DAYS_INSTALMENT")
+    return i.select("SK_ID_CURR", dpd.alias("dpd"), X.is_late(dpd).alias("is_late"))
+
+
+@register("payment_shortfall", with_ctes("""
+SELECT SK_ID_CURR, CASE WHEN 1e0 - AMT_PAYMENT / NULLIF(AMT_INSTALMENT, 0) < 0 THEN 0e0
+                        ELSE 1e0 - AMT_PAYMENT / NULLIF(AMT_INSTALMENT, 0) END AS shortfall
+FROM installments_payments""", "installments_payments"))
+def q_payment_shortfall(spark, sf):
+    i = A.installments_payments(spark, sf)
+    return i.select("SK_ID_CURR", X.payment_shortfall("AMT_PAYMENT", "AMT_INSTALMENT").alias("shortfall"))
+
+
+@register("utilization", with_ctes(
+    "SELECT SK_ID_CURR, AMT_BALANCE / NULLIF(AMT_CREDIT_LIMIT_ACTUAL, 0) AS utilization FROM credit_card_balance",
+    "credit_card_balance"))
+def q_utilization(spark, sf):
+    c = A.credit_card_balance(spark, sf)
+    return c.select("SK_ID_CURR", X.utilization("AMT_BALANCE", "AMT_CREDIT_LIMIT_ACTUAL").alias("utilization"))
+
+
+@register("age_years", with_ctes(f"SELECT SK_ID_CURR, {_AGE_SQL} AS age_years FROM application", "application"))
+def q_age_years(spark, sf):
+    return A.application(spark, sf).select("SK_ID_CURR", X.age_years("DAYS_BIRTH").alias("age_years"))
+
+
+@register("age_band", with_ctes(
+    f"SELECT SK_ID_CURR, {_AGE_BAND_SQL} AS age_band FROM (SELECT SK_ID_CURR, {_AGE_SQL} AS a FROM application)",
+    "application"))
+def q_age_band(spark, sf):
+    return A.application(spark, sf).select("SK_ID_CURR", X.age_band(X.age_years("DAYS_BIRTH")).alias("age_band"))
+
+
+_NAMES_SQL = f"(SELECT \"column\" AS feature FROM ({O.missing_union('enriched', O.ENRICHED_COLS)}))"
+
+
+def _feature_names(spark, sf):
+    return profile.missingness(enriched_applications(spark, sf)).select(F.col("column").alias("feature"))
+
+
+@register("feature_group", with_ctes(
+    f"SELECT feature, {O.FEATURE_GROUP_SQL.format(c='feature')} AS feature_group FROM {_NAMES_SQL}", "enriched"))
+def q_feature_group(spark, sf):
+    return _feature_names(spark, sf).select("feature", X.feature_group("feature").alias("feature_group"))
+
+
+_IMP_SQL = """CASE
+  WHEN contains(upper(feature), 'EXT_SOURCE') THEN 'External Bureau'
+  WHEN starts_with(upper(feature), 'AMT') THEN 'Loan Amounts'
+  WHEN starts_with(upper(feature), 'DAYS') THEN 'Temporal / Age'
+  WHEN contains(upper(feature), 'NAME_') OR contains(upper(feature), 'CODE_') OR contains(upper(feature), 'GENDER')
+    OR contains(upper(feature), 'EDUCATION') OR contains(upper(feature), 'OCCUPATION')
+    OR contains(upper(feature), 'FAMILY') OR contains(upper(feature), 'HOUSING')
+    OR contains(upper(feature), 'ORGANIZATION') OR contains(upper(feature), 'TYPE') THEN 'Demographics'
+  WHEN contains(upper(feature), 'REGION') OR contains(upper(feature), 'CITY')
+    OR contains(upper(feature), 'RATING') THEN 'Geography'
+  WHEN contains(upper(feature), 'FLAG_') OR contains(upper(feature), 'OWN_') OR contains(upper(feature), 'REG_')
+    OR contains(upper(feature), 'LIVE_') THEN 'Flags'
+  ELSE 'Other' END"""
+
+
+@register("importance_group", with_ctes(f"SELECT feature, {_IMP_SQL} AS importance_group FROM {_NAMES_SQL}",
+                                        "enriched"))
+def q_importance_group(spark, sf):
+    return _feature_names(spark, sf).select("feature", X.importance_group("feature").alias("importance_group"))
+
+
+@register("missing_severity", with_ctes(f"""
+SELECT "column" AS feature, round(r, 6) AS missing_rate,
+       CASE WHEN round(r, 6) > 0.5 THEN 'high' WHEN round(r, 6) > 0.2 THEN 'medium' ELSE 'low' END AS severity
+FROM ({O.missing_union('enriched', O.ENRICHED_COLS)})""", "enriched"))
+def q_missing_severity(spark, sf):
+    m = profile.missingness(enriched_applications(spark, sf))
+    return m.select(F.col("column").alias("feature"), F.col("missing_ratio").alias("missing_rate"),
+                    X.missing_severity("missing_ratio").alias("severity"))
+
+
+@register("clean_feature_name", with_ctes(f"""
+SELECT pref AS encoded_name, regexp_replace(pref, '^(num__|cat__)', '') AS feature FROM (
+  SELECT CASE WHEN {O.dtype_case('feature')} = 'string' THEN 'cat__' ELSE 'num__' END || feature AS pref
+  FROM {_NAMES_SQL})""", "enriched"))
+def q_clean_feature_name(spark, sf):
+    df = enriched_applications(spark, sf)
+    kinds = {f.name: ("num__" if profile.is_numeric(f.dataType) else "cat__") for f in df.schema.fields}
+    kind_map = F.create_map(*[x for k, v in kinds.items() for x in (F.lit(k), F.lit(v))])
+    names = _feature_names(spark, sf).select(F.concat(kind_map[F.col("feature")], F.col("feature")).alias("encoded_name"))
+    return names.select("encoded_name", X.clean_feature_name("encoded_name").alias("feature"))
+
+
+@register("corr_direction", with_ctes(
+    "SELECT feature, corr_with_target, CASE WHEN corr_with_target > 0 THEN 'raises risk' ELSE 'lowers risk' END "
+    f"AS direction FROM ({_CORR_BODY})", "enriched"))
+def q_corr_direction(spark, sf):
+    c = profile.correlation_top(enriched_applications(spark, sf))
+    return c.select("feature", "corr_with_target", X.corr_direction("corr_with_target").alias("direction"))
+
+
+@register("decisions", with_ctes(
+    "SELECT application_id, y_proba, y_proba < 0.2 AS approved, y_proba >= 0.2 AS predicted_default FROM predictions",
+    "predictions"))
+def q_decisions(spark, sf):
+    p = A.predictions(spark, sf)
+    return p.select("application_id", "y_proba", X.approve("y_proba", 0.2).alias("approved"),
+                    X.predicted_default("y_proba", 0.2).alias("predicted_default"))

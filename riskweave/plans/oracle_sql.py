@@ -174,3 +174,61 @@ def with_ctes(body: str, *names: str) -> str:
 
 def round_all(select_list: list[str]) -> str:
     return ", ".join(select_list)
+
+
+# Spark type names of the enriched application table (schema metadata the
+# Spark side reads from df.schema; restated here for the SQL oracle).
+ENRICHED_TYPES = {
+    "SK_ID_CURR": "bigint", "TARGET": "int", "AMT_INCOME_TOTAL": "double", "AMT_CREDIT": "double",
+    "DAYS_BIRTH": "bigint", "CODE_GENDER": "string", "REGION_CODE": "int", "FLAG_MOBIL": "int",
+    "BUREAU_N_CREDITS": "bigint", "BUREAU_N_ACTIVE": "bigint", "BUREAU_ACTIVE_RATIO": "double",
+    "BUREAU_DEBT_SUM": "double", "BUREAU_DEBT_MEAN": "double", "BUREAU_CREDIT_SUM": "double",
+    "BUREAU_CREDIT_MEAN": "double", "BUREAU_OVERDUE_MAX": "bigint", "BUREAU_AMT_OVERDUE_SUM": "double",
+    "BUREAU_DAYS_CREDIT_MEAN": "double", "BUREAU_BB_DPD_MONTHS_SUM": "bigint", "PREV_N_APPS": "bigint",
+    "PREV_APPROVED_RATIO": "double", "PREV_REFUSED_RATIO": "double", "PREV_AMT_APPLICATION_MEAN": "double",
+    "PREV_AMT_CREDIT_MEAN": "double", "PREV_CREDIT_TO_APP_RATIO": "double", "PREV_DAYS_DECISION_MEAN": "double",
+    "INST_N_INSTALMENTS": "bigint", "INST_LATE_RATE": "double", "INST_DPD_MEAN": "double", "INST_DPD_MAX": "int",
+    "INST_SHORTFALL_MEAN": "double", "POS_N_MONTHS": "bigint", "POS_DPD_MEAN": "double", "POS_DPD_MAX": "int",
+    "POS_N_LATE_MONTHS": "bigint", "CC_N_MONTHS": "bigint", "CC_BALANCE_MEAN": "double",
+    "CC_UTILIZATION_MEAN": "double", "CC_DPD_MEAN": "double",
+}
+ENRICHED_COLS = list(ENRICHED_TYPES)
+ENRICHED_NUMERIC = [c for c, t in ENRICHED_TYPES.items() if t != "string"]
+ENRICHED_CATEGORICAL = [c for c, t in ENRICHED_TYPES.items() if t == "string"]
+
+FEATURE_GROUP_SQL = """CASE
+  WHEN regexp_matches({c}, '^AMT_') THEN 'amount'
+  WHEN regexp_matches({c}, '^DAYS_') THEN 'days'
+  WHEN regexp_matches({c}, '^NAME_') THEN 'name'
+  WHEN regexp_matches({c}, '^CODE_') THEN 'code'
+  WHEN regexp_matches({c}, '^FLAG_') THEN 'flag'
+  WHEN regexp_matches({c}, '^CNT_') THEN 'count'
+  WHEN regexp_matches({c}, '^REG_') THEN 'region'
+  WHEN regexp_matches({c}, '^EXT_SOURCE') THEN 'ext_source'
+  WHEN regexp_matches({c}, 'BUREAU') THEN 'bureau'
+  WHEN regexp_matches({c}, 'DOCUMENT') THEN 'document'
+  ELSE 'other' END"""
+
+
+def dtype_case(col: str, types: dict[str, str] = ENRICHED_TYPES) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in types.items())
+    return f"CASE {col} {whens} END"
+
+
+def missing_union(table: str, cols: list[str]) -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS \"column\", {i} AS pos, CAST(count(*) - count({c}) AS DOUBLE) / count(*) AS r FROM {table}"
+        for i, c in enumerate(cols))
+
+
+def unpivot_numeric(table: str, cols: list[str], keep: list[str] | None = None) -> str:
+    keep = keep or []
+    casts = ", ".join(keep + [f"CAST({c} AS DOUBLE) AS {c}" for c in cols])
+    return (f"(SELECT * FROM (SELECT {casts} FROM {table}) UNPIVOT INCLUDE NULLS "
+            f"(value FOR feature IN ({', '.join(cols)})))")
+
+
+def unpivot_categorical(table: str, cols: list[str]) -> str:
+    casts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in cols)
+    return (f"(SELECT * FROM (SELECT {casts} FROM {table}) UNPIVOT INCLUDE NULLS "
+            f"(value FOR feature IN ({', '.join(cols)})))")
