@@ -438,3 +438,311 @@ def q_decisions(spark, sf):
     p = A.predictions(spark, sf)
     return p.select("application_id", "y_proba", X.approve("y_proba", 0.2).alias("approved"),
                     X.predicted_default("y_proba", 0.2).alias("predicted_default"))
+
+
+# ---------------------------------------------------------------- decisions
+from riskweave.operators import decisions as D  # noqa: E402
+from riskweave.operators import evaluate as EV  # noqa: E402
+
+
+def _dbl(x: float) -> str:
+    return f"CAST({x!r} AS DOUBLE)"
+
+
+_SWEEP_TS = D.sweep_thresholds(*D.DEFAULT_SWEEP)
+_SWEEP_VALUES = ", ".join(f"({_dbl(t)})" for t in _SWEEP_TS)
+_SCEN_VALUES = ", ".join(
+    f"({i}, '{s['name']}', {_dbl(s['threshold'])}, {_dbl(s['profit_if_good'])}, {_dbl(s['loss_given_default'])})"
+    for i, s in enumerate(D.DEFAULT_SCENARIOS))
+
+_COUNTS_AT = """SELECT t.threshold, count(*) AS n,
+       count(*) FILTER (WHERE y_proba < t.threshold) AS approved,
+       count(*) FILTER (WHERE y_proba < t.threshold AND y_true = 0) AS good,
+       count(*) FILTER (WHERE y_proba < t.threshold AND y_true = 1) AS bad
+FROM {params} AS t(threshold), predictions GROUP BY t.threshold"""
+
+_SWEEP_BODY = f"""
+SELECT threshold,
+       round(CASE WHEN n > 0 THEN CAST(approved AS DOUBLE) / n ELSE 0e0 END, 6) AS approval_rate,
+       round(CASE WHEN approved > 0 THEN CAST(bad AS DOUBLE) / approved ELSE 0e0 END, 6) AS default_rate_among_approved,
+       round(good * {_dbl(D.DEFAULT_PROFIT_IF_GOOD)}, 6) AS expected_profit,
+       round(bad * {_dbl(D.DEFAULT_LOSS_GIVEN_DEFAULT)}, 6) AS expected_loss,
+       round(good * {_dbl(D.DEFAULT_PROFIT_IF_GOOD)} - bad * {_dbl(D.DEFAULT_LOSS_GIVEN_DEFAULT)}, 6) AS expected_value
+FROM ({_COUNTS_AT.format(params=f"(VALUES {_SWEEP_VALUES})")})"""
+
+_SCEN_BODY = f"""
+SELECT s.scenario_order, s.scenario_name, s.threshold, s.profit_if_good, s.loss_given_default,
+       round(CASE WHEN n > 0 THEN CAST(approved AS DOUBLE) / n ELSE 0e0 END, 6) AS approval_rate,
+       round(CASE WHEN approved > 0 THEN CAST(bad AS DOUBLE) / approved ELSE 0e0 END, 6) AS default_rate,
+       round(good * s.profit_if_good, 6) AS expected_profit,
+       round(bad * s.loss_given_default, 6) AS expected_loss,
+       round(good * s.profit_if_good - bad * s.loss_given_default, 6) AS net_value
+FROM (VALUES {_SCEN_VALUES}) AS s(scenario_order, scenario_name, threshold, profit_if_good, loss_given_default)
+JOIN ({_COUNTS_AT.format(params=f"(SELECT DISTINCT threshold FROM (VALUES {_SCEN_VALUES}) "
+                                 "AS v(o, nm, threshold, pg, lg))")}) c USING (threshold)"""
+
+
+def _sweep(spark, sf):
+    return D.threshold_sweep(A.predictions(spark, sf))
+
+
+def _scenarios(spark, sf):
+    return D.scenario_results(A.predictions(spark, sf))
+
+
+@register("threshold_sweep", with_ctes(_SWEEP_BODY, "predictions"))
+def q_threshold_sweep(spark, sf):
+    return _sweep(spark, sf)
+
+
+@register("scenario_results", with_ctes(_SCEN_BODY, "predictions"))
+def q_scenario_results(spark, sf):
+    return _scenarios(spark, sf)
+
+
+@register("optimal_threshold", with_ctes(
+    f"SELECT * FROM ({_SWEEP_BODY}) ORDER BY expected_value DESC, threshold ASC LIMIT 1", "predictions"))
+def q_optimal_threshold(spark, sf):
+    return D.optimal_threshold(_sweep(spark, sf))
+
+
+@register("portfolio_projection", with_ctes(
+    f"SELECT threshold, 100e0 AS scale, expected_profit * 100e0 AS projected_profit, "
+    f"expected_loss * 100e0 AS projected_loss, expected_value * 100e0 AS projected_value FROM ({_SWEEP_BODY})",
+    "predictions"))
+def q_portfolio_projection(spark, sf):
+    return D.portfolio_projection(_sweep(spark, sf), 100.0)
+
+
+@register("best_scenario", with_ctes(f"""
+SELECT (SELECT scenario_name FROM s ORDER BY net_value DESC, scenario_order LIMIT 1) AS best_scenario,
+       (SELECT net_value FROM s ORDER BY net_value DESC, scenario_order LIMIT 1) AS best_net_value,
+       (SELECT default_rate FROM s ORDER BY net_value DESC, scenario_order LIMIT 1) AS best_default_rate,
+       (SELECT max(net_value) FROM s WHERE scenario_name = 'Conservative') AS reference_net_value
+FROM (SELECT 1) _one, LATERAL (SELECT 1) _l""".replace("FROM s ", f"FROM ({_SCEN_BODY}) s "), "predictions"))
+def q_best_scenario(spark, sf):
+    return D.best_scenario(_scenarios(spark, sf))
+
+
+# ---------------------------------------------------------------- evaluation (G, H, E16, E17)
+_SC = """(SELECT y_proba AS score, CAST(sum(y_true) AS DOUBLE) AS pos, CAST(sum(1 - y_true) AS DOUBLE) AS neg
+          FROM {t} WHERE y_proba IS NOT NULL AND y_true IS NOT NULL GROUP BY y_proba)"""
+
+
+def _asc(t: str = "predictions") -> str:
+    return (f"(SELECT *, sum(pos) OVER (ORDER BY score) AS cp, sum(neg) OVER (ORDER BY score) AS cn, "
+            f"sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM {_SC.format(t=t)})")
+
+
+def _desc(t: str = "predictions") -> str:
+    return (f"(SELECT *, sum(pos) OVER (ORDER BY score DESC) AS cp, sum(neg) OVER (ORDER BY score DESC) AS cn, "
+            f"sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM {_SC.format(t=t)})")
+
+
+_EPS = _dbl(EV.LOG_LOSS_EPS)
+_Q = f"least(greatest(y_proba, {_EPS}), 1e0 - {_EPS})"
+
+
+def _metrics_sql(t: str) -> str:
+    return f"""SELECT
+  (SELECT round(sum(pos * (cn - neg / 2e0)) / (max(P) * max(N)), 6) FROM {_asc(t)}) AS auc_roc,
+  (SELECT round(sum(pos * cp / (cp + cn)) / max(P), 6) FROM {_desc(t)}) AS average_precision,
+  (SELECT round(avg(pow(y_proba - y_true, 2)), 6) FROM {t}) AS brier_score,
+  (SELECT round(avg(-(y_true * ln({_Q}) + (1 - y_true) * ln(1e0 - {_Q}))), 6) FROM {t}) AS log_loss"""
+
+
+_AUC_SQL = f"SELECT sum(pos * (cn - neg / 2e0)) / (max(P) * max(N)) AS auc_roc FROM {_asc()}"
+
+
+@register("ks_statistic", with_ctes(
+    f"SELECT round(max(abs(cp / P - cn / N)), 4) AS ks_statistic FROM {_asc()}", "predictions"))
+def q_ks_statistic(spark, sf):
+    return EV.ks_statistic(A.predictions(spark, sf))
+
+
+@register("roc_curve", with_ctes(
+    f"SELECT 'inf'::DOUBLE AS threshold, 0e0 AS fpr, 0e0 AS tpr UNION ALL "
+    f"SELECT score AS threshold, cn / N AS fpr, cp / P AS tpr FROM {_desc()}", "predictions"))
+def q_roc_curve(spark, sf):
+    return EV.roc_curve(A.predictions(spark, sf))
+
+
+@register("auc_roc", with_ctes(_AUC_SQL, "predictions"))
+def q_auc_roc(spark, sf):
+    return EV.auc_roc(A.predictions(spark, sf))
+
+
+@register("gini", with_ctes(f"SELECT round(2 * auc_roc - 1, 3) AS gini FROM ({_AUC_SQL})", "predictions"))
+def q_gini(spark, sf):
+    return EV.gini(EV.auc_roc(A.predictions(spark, sf)))
+
+
+@register("average_precision", with_ctes(
+    f"SELECT sum(pos * cp / (cp + cn)) / max(P) AS average_precision FROM {_desc()}", "predictions"))
+def q_average_precision(spark, sf):
+    return EV.average_precision(A.predictions(spark, sf))
+
+
+@register("brier_score", with_ctes("SELECT avg(pow(y_proba - y_true, 2)) AS brier_score FROM predictions",
+                                   "predictions"))
+def q_brier_score(spark, sf):
+    return EV.brier_score(A.predictions(spark, sf))
+
+
+@register("log_loss", with_ctes(
+    f"SELECT avg(-(y_true * ln({_Q}) + (1 - y_true) * ln(1e0 - {_Q}))) AS log_loss FROM predictions", "predictions"))
+def q_log_loss(spark, sf):
+    return EV.log_loss(A.predictions(spark, sf))
+
+
+@register("classification_metrics", with_ctes(_metrics_sql("predictions"), "predictions"))
+def q_classification_metrics(spark, sf):
+    return EV.classification_metrics(A.predictions(spark, sf))
+
+
+_COMPARE_SQL = (f"SELECT 'Baseline' AS model, * FROM ({_metrics_sql('predictions_baseline')}) UNION ALL "
+                f"SELECT 'Champion' AS model, * FROM ({_metrics_sql('predictions')})")
+
+
+def _compare(spark, sf):
+    return EV.metrics_compare({"Baseline": EV.classification_metrics(A.predictions_baseline(spark, sf)),
+                               "Champion": EV.classification_metrics(A.predictions(spark, sf))})
+
+
+@register("metrics_compare", with_ctes(_COMPARE_SQL, "predictions", "predictions_baseline"))
+def q_metrics_compare(spark, sf):
+    return _compare(spark, sf)
+
+
+_CONF_SQL = """
+SELECT 0.2e0 AS threshold, tn AS true_negative, fp AS false_positive, fn AS false_negative, tp AS true_positive,
+       round(CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0e0 END, 6) AS precision,
+       round(CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0e0 END, 6) AS recall
+FROM (SELECT count(*) FILTER (WHERE y_proba < 0.2 AND y_true = 0) AS tn,
+             count(*) FILTER (WHERE y_proba >= 0.2 AND y_true = 0) AS fp,
+             count(*) FILTER (WHERE y_proba < 0.2 AND y_true = 1) AS fn,
+             count(*) FILTER (WHERE y_proba >= 0.2 AND y_true = 1) AS tp FROM predictions)"""
+
+
+@register("confusion_matrix", with_ctes(_CONF_SQL, "predictions"))
+def q_confusion_matrix(spark, sf):
+    return EV.confusion_matrix(A.predictions(spark, sf), 0.2)
+
+
+@register("f1_score", with_ctes(
+    f"SELECT threshold, precision, recall, round(CASE WHEN precision + recall > 0 THEN "
+    f"2 * precision * recall / (precision + recall) ELSE 0e0 END, 6) AS f1 FROM ({_CONF_SQL})", "predictions"))
+def q_f1_score(spark, sf):
+    return EV.f1_score(EV.confusion_matrix(A.predictions(spark, sf), 0.2))
+
+
+def _rf(x: str) -> str:
+    # three significant digits below 1, three decimals above (precision inference assumed to stop at 3)
+    return (f"(CASE WHEN {x} = 0 THEN {x} WHEN abs({x}) < 1 THEN "
+            f"round({x}, CAST(-floor(log10(abs({x}))) - 1 + 3 AS INTEGER)) ELSE round({x}, 3) END)")
+
+
+_CALIB_SQL = f"""
+WITH mm AS (SELECT min(y_proba) AS lo, max(y_proba) AS hi FROM predictions),
+e AS (SELECT i, CASE WHEN i = 0 THEN lo - (hi - lo) * 1e-3 ELSE i * ((hi - lo) / 10e0) + lo END AS edge,
+             CASE WHEN i = 10 THEN hi ELSE i * ((hi - lo) / 10e0) + lo END AS raw_edge
+      FROM mm, range(0, 11) r(i)),
+d AS (SELECT i, CASE WHEN i = 0 THEN {_rf('edge')} - 1e-3 ELSE {_rf('raw_edge')} END AS disp FROM e),
+bins AS (SELECT a.i + 1 AS bin, '(' || CAST(a.disp AS VARCHAR) || ', ' || CAST(b.disp AS VARCHAR) || ']' AS prob_bin,
+                round((a.disp + b.disp) / 2, 4) AS predicted_midpoint
+         FROM d a JOIN d b ON b.i = a.i + 1),
+inner_edges AS (SELECT list(raw_edge ORDER BY i) AS q FROM e WHERE i BETWEEN 1 AND 9),
+scored AS (SELECT 1 + len(list_filter(q, lambda x: y_proba > x)) AS bin, y_true FROM predictions, inner_edges
+           WHERE y_proba IS NOT NULL),
+agg AS (SELECT bin, count(*) AS n, avg(y_true) AS actual_default_rate FROM scored GROUP BY bin)
+SELECT bins.bin, prob_bin, predicted_midpoint, coalesce(n, 0) AS n, actual_default_rate
+FROM bins LEFT JOIN agg USING (bin)"""
+
+
+@register("calibration_bins", with_ctes(_CALIB_SQL.replace("WITH mm AS", "SELECT * FROM (WITH mm AS", 1) + ")",
+                                        "predictions"))
+def q_calibration_bins(spark, sf):
+    return EV.calibration_bins(A.predictions(spark, sf))
+
+
+def _rel_sql(method: str, col: str) -> str:
+    probs = ", ".join(str(i / 10) for i in range(1, 10))
+    return (f"SELECT '{method}' AS method, bin, round(avg(p), 6) AS mean_predicted, "
+            f"round(avg(CAST(y_true AS DOUBLE)), 6) AS fraction_positive FROM ("
+            f"SELECT {col} AS p, y_true, 1 + len(list_filter((SELECT quantile_cont({col}, [{probs}]) FROM scored_pair), "
+            f"lambda e: {col} > e)) AS bin FROM scored_pair WHERE {col} IS NOT NULL) GROUP BY bin")
+
+
+@register("reliability_curve", with_ctes(_rel_sql("champion", "y_proba") + " UNION ALL " +
+                                         _rel_sql("baseline", "y_proba_alt"), "scored_pair"))
+def q_reliability_curve(spark, sf):
+    return EV.reliability_curve(A.scored_pair(spark, sf), {"champion": "y_proba", "baseline": "y_proba_alt"})
+
+
+_QR = f"least(greatest(y_proba, {_EPS}), 1e0 - {_EPS})"
+_QA = f"least(greatest(y_proba_alt, {_EPS}), 1e0 - {_EPS})"
+
+
+@register("calibration_report", with_ctes(f"""
+SELECT *, round(raw_brier - calibrated_brier, 6) AS brier_improvement FROM (SELECT
+  (SELECT round(sum(pos * (cn - neg / 2e0)) / (max(P) * max(N)), 6) FROM
+     {_asc('(SELECT y_true, y_proba_alt AS y_proba FROM scored_pair)')}) AS auc_roc,
+  round(avg(pow(y_proba - y_true, 2)), 6) AS raw_brier,
+  round(avg(pow(y_proba_alt - y_true, 2)), 6) AS calibrated_brier,
+  round(avg(-(y_true * ln({_QR}) + (1 - y_true) * ln(1e0 - {_QR}))), 6) AS raw_log_loss,
+  round(avg(-(y_true * ln({_QA}) + (1 - y_true) * ln(1e0 - {_QA}))), 6) AS calibrated_log_loss
+FROM scored_pair)""", "scored_pair"))
+def q_calibration_report(spark, sf):
+    return EV.calibration_report(A.scored_pair(spark, sf), "y_proba", "y_proba_alt")
+
+
+@register("headline_metrics", with_ctes(f"""
+SELECT (SELECT round(CAST(sum(TARGET) AS DOUBLE) / count(*), 6) FROM enriched) AS default_rate,
+       c.auc_roc AS champion_auc, round(c.auc_roc - b.auc_roc, 6) AS auc_delta_vs_baseline,
+       round(2 * c.auc_roc - 1, 3) AS gini,
+       (SELECT round(max(abs(cp / P - cn / N)), 4) FROM {_asc()}) AS ks_statistic
+FROM ({_metrics_sql('predictions')}) c, ({_metrics_sql('predictions_baseline')}) b""",
+    "enriched", "predictions", "predictions_baseline"))
+def q_headline_metrics(spark, sf):
+    kpi = profile.kpi_overview(enriched_applications(spark, sf), RUN_ID, CREATED_AT)
+    return EV.headline_metrics(kpi, _compare(spark, sf), EV.ks_statistic(A.predictions(spark, sf)),
+                               "Champion", "Baseline")
+
+
+_IMP_BODY = f"SELECT feature, abs(corr_with_target) AS importance FROM ({_CORR_BODY})"
+
+
+def _corr_importance(spark, sf):
+    c = profile.correlation_top(enriched_applications(spark, sf))
+    return c.select("feature", F.abs("corr_with_target").alias("importance"))
+
+
+@register("importance_rank", with_ctes(
+    f"SELECT feature, importance, row_number() OVER (ORDER BY importance DESC, feature) AS rank FROM ({_IMP_BODY})",
+    "enriched"))
+def q_importance_rank(spark, sf):
+    return EV.importance_rank(_corr_importance(spark, sf))
+
+
+@register("top_missing_features", with_ctes(f"""
+SELECT "column" AS feature, round(r, 6) AS missing_rate FROM ({O.missing_union('enriched', O.ENRICHED_COLS)})
+WHERE round(r, 6) > 0 ORDER BY round(r, 6) DESC, "column" LIMIT 25""", "enriched"))
+def q_top_missing_features(spark, sf):
+    m = profile.missingness(enriched_applications(spark, sf)).select(
+        F.col("column").alias("feature"), F.col("missing_ratio").alias("missing_rate"))
+    return EV.top_features(m, "missing_rate", 25, where=F.col("missing_rate") > 0)
+
+
+@register("importance_by_group", with_ctes(f"""
+SELECT {_IMP_SQL} AS "group", sum(importance) AS importance FROM (
+  SELECT * FROM ({_IMP_BODY}) ORDER BY importance DESC, feature LIMIT 20) GROUP BY 1""", "enriched"))
+def q_importance_by_group(spark, sf):
+    return EV.importance_by_group(_corr_importance(spark, sf), 20)
+
+
+@register("score_histogram", with_ctes("""
+SELECT y_true, bin, bin / 50e0 AS bin_lo, (bin + 1) / 50e0 AS bin_hi, count(*) AS n FROM (
+  SELECT y_true, CAST(least(floor(y_proba * 50), 49) AS INTEGER) AS bin FROM predictions WHERE y_proba IS NOT NULL)
+GROUP BY y_true, bin""", "predictions"))
+def q_score_histogram(spark, sf):
+    return EV.score_histogram(A.predictions(spark, sf))

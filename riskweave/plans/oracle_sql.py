@@ -61,6 +61,13 @@ SELECT c_custkey AS application_id,
        CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS y_true,
        round(7.5e-1 * (((c_custkey * 7919) % 1009) / 1009e0) + CASE WHEN c_acctbal < 0 THEN 2.4e-1 ELSE 0e0 END, 6) AS y_proba
 FROM customer""",
+    "predictions_baseline": """
+SELECT c_custkey AS application_id,
+       CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS y_true,
+       round(9e-1 * (((c_custkey * 104729) % 1013) / 1013e0) + CASE WHEN c_acctbal < 0 THEN 6e-2 ELSE 0e0 END, 6) AS y_proba
+FROM customer""",
+    "scored_pair": """
+SELECT a.*, b.y_proba AS y_proba_alt FROM predictions a JOIN predictions_baseline b USING (application_id)""",
 }
 
 AGGS = {
@@ -156,6 +163,7 @@ def with_ctes(body: str, *names: str) -> str:
         "agg_installments": ["installments_payments"],
         "agg_pos": ["pos_cash_balance"],
         "agg_credit_card": ["credit_card_balance"],
+        "scored_pair": ["predictions", "predictions_baseline"],
         "enriched": ["application", "agg_bureau", "agg_previous_apps", "agg_installments",
                      "agg_pos", "agg_credit_card"],
     }

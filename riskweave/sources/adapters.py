@@ -170,3 +170,22 @@ def lending_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {name: ALL[name](spark, sf_dir) for name in (
         "bureau", "bureau_balance", "previous_application", "installments_payments",
         "pos_cash_balance", "credit_card_balance")}
+
+
+def predictions_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A weaker second scorer over the same applicants (for model comparisons)."""
+    c = _read(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    lift = F.when(F.col("c_acctbal") < 0, F.lit(0.06)).otherwise(F.lit(0.0))
+    return c.select(
+        k.alias("application_id"),
+        _target().alias("y_true"),
+        F.round(F.lit(0.9) * (((k * 104729) % 1013) / F.lit(1013.0)) + lift, 6).alias("y_proba"),
+    )
+
+
+def scored_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both scores side by side per applicant (raw = champion, alt = baseline)."""
+    a = predictions(spark, sf_dir)
+    b = predictions_baseline(spark, sf_dir).select("application_id", F.col("y_proba").alias("y_proba_alt"))
+    return a.join(b, "application_id", "inner")
