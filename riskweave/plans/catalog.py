@@ -746,3 +746,120 @@ SELECT y_true, bin, bin / 50e0 AS bin_lo, (bin + 1) / 50e0 AS bin_hi, count(*) A
 GROUP BY y_true, bin""", "predictions"))
 def q_score_histogram(spark, sf):
     return EV.score_histogram(A.predictions(spark, sf))
+
+
+# ---------------------------------------------------------------- sampling
+from riskweave.operators import sampling as S  # noqa: E402
+
+
+def _h(seed) -> str:
+    return f"CAST(('0x' || substr(md5(CAST(SK_ID_CURR AS VARCHAR) || '|' || '{seed}'), 1, 15)) AS BIGINT)"
+
+
+def _rank_sql(table: str, seed) -> str:
+    return (f"SELECT *, row_number() OVER (PARTITION BY TARGET ORDER BY {_h(seed)}, SK_ID_CURR) AS rk, "
+            f"count(*) OVER (PARTITION BY TARGET) AS nc FROM {table}")
+
+
+def _app_cols() -> str:
+    return "SK_ID_CURR, TARGET, AMT_INCOME_TOTAL, AMT_CREDIT, DAYS_BIRTH, CODE_GENDER, REGION_CODE, FLAG_MOBIL"
+
+
+@register("stratified_split", with_ctes(
+    f"SELECT {_app_cols()}, CASE WHEN rk <= ceil(0.2 * nc) THEN 'test' ELSE 'train' END AS split "
+    f"FROM ({_rank_sql('application', 42)})", "application"))
+def q_stratified_split(spark, sf):
+    return S.stratified_split(A.application(spark, sf), "TARGET", "SK_ID_CURR", 0.2, 42)
+
+
+@register("three_way_split", with_ctes(f"""
+SELECT {_app_cols()}, CASE WHEN rk2 <= ceil(0.25 * nc2) THEN 'calib' ELSE 'fit' END AS split FROM (
+  SELECT *, row_number() OVER (PARTITION BY TARGET ORDER BY {_h('42-inner')}, SK_ID_CURR) AS rk2,
+         count(*) OVER (PARTITION BY TARGET) AS nc2
+  FROM (SELECT {_app_cols()} FROM ({_rank_sql('application', '42-outer')}) WHERE rk > ceil(0.2 * nc)))
+UNION ALL
+SELECT {_app_cols()}, 'test' AS split FROM ({_rank_sql('application', '42-outer')}) WHERE rk <= ceil(0.2 * nc)""",
+    "application"))
+def q_three_way_split(spark, sf):
+    return S.three_way_split(A.application(spark, sf), "TARGET", "SK_ID_CURR", 0.2, 0.25, 42)
+
+
+@register("stratified_sample", with_ctes(
+    f"SELECT {_app_cols()} FROM ({_rank_sql('application', 42)}) "
+    f"WHERE rk <= ceil(nc * 500e0 / (SELECT count(*) FROM application))", "application"))
+def q_stratified_sample(spark, sf):
+    return S.stratified_sample(A.application(spark, sf), 500, "TARGET", "SK_ID_CURR", 42)
+
+
+@register("stratified_folds", with_ctes(
+    f"SELECT {_app_cols()}, CAST((rk - 1) % 5 AS INTEGER) AS fold FROM ({_rank_sql('application', 42)})",
+    "application"))
+def q_stratified_folds(spark, sf):
+    return S.stratified_folds(A.application(spark, sf), 5, "TARGET", "SK_ID_CURR", 42)
+
+
+@register("sample_rows", with_ctes(
+    f"SELECT {_app_cols()} FROM application ORDER BY {_h(42)}, SK_ID_CURR LIMIT 200", "application"))
+def q_sample_rows(spark, sf):
+    return S.sample_rows(A.application(spark, sf), 200, "SK_ID_CURR", 42)
+
+
+# ---------------------------------------------------------------- contract tables (K1–K3)
+def _decisions(spark, sf):
+    return segments.decision_table(A.predictions(spark, sf), A.application(spark, sf), 0.2)
+
+
+_DECISION_SQL = f"""
+SELECT p.application_id, p.y_true, p.y_proba,
+       {_qbin_sql('predictions', 'p.y_proba', 3, ['Low', 'Medium', 'High'])} AS risk_band,
+       {_AGE_BAND_SQL.replace('a ', f'({_AGE_SQL}) ').replace('a >=', f'({_AGE_SQL}) >=')} AS age_band,
+       a.CODE_GENDER AS gender,
+       CASE WHEN p.y_proba < 0.2 THEN 'approve' ELSE 'decline' END AS decision, 0.2e0 AS threshold_used
+FROM predictions p LEFT JOIN application a ON a.SK_ID_CURR = p.application_id"""
+
+
+@register("decision_table", with_ctes(_DECISION_SQL.replace("(SELECT quantile_cont(p.y_proba", "(SELECT quantile_cont(y_proba"),
+                                      "predictions", "application"))
+def q_decision_table(spark, sf):
+    return _decisions(spark, sf)
+
+
+def _kpi_sql(col: str) -> str:
+    return (f"SELECT '{col}' AS segment_name, {col} AS segment_value, count(*) AS n, "
+            f"avg(CASE WHEN decision = 'approve' THEN 1 ELSE 0 END) AS approval_rate, avg(y_proba) AS avg_pd, "
+            f"avg(CASE WHEN decision = 'approve' THEN y_proba END) AS estimated_bad_rate, "
+            f"avg(y_true) AS observed_default_rate FROM d WHERE {col} IS NOT NULL GROUP BY {col}")
+
+
+_D_FIXED = _DECISION_SQL.replace("(SELECT quantile_cont(p.y_proba", "(SELECT quantile_cont(y_proba")
+
+
+@register("segment_kpis", with_ctes(
+    f"SELECT * FROM (WITH d AS ({_D_FIXED}) " + " UNION ALL ".join(
+        _kpi_sql(c) for c in ("risk_band", "age_band", "gender")) + ")", "predictions", "application"))
+def q_segment_kpis(spark, sf):
+    return segments.segment_kpis(_decisions(spark, sf))
+
+
+@register("fairness_report", with_ctes(f"""
+SELECT * FROM (WITH d AS ({_D_FIXED}),
+g AS (SELECT gender AS group_value, count(*) AS n,
+             avg(CASE WHEN decision = 'approve' THEN 1 ELSE 0 END) AS approval_rate,
+             CAST(sum(CASE WHEN y_true = 1 AND decision = 'decline' THEN 1 ELSE 0 END) AS DOUBLE)
+               / NULLIF(sum(CASE WHEN y_true = 1 THEN 1 ELSE 0 END), 0) AS tpr
+      FROM d WHERE gender IS NOT NULL GROUP BY gender),
+o AS (SELECT avg(CASE WHEN decision = 'approve' THEN 1 ELSE 0 END) AS ar,
+             CAST(sum(CASE WHEN y_true = 1 AND decision = 'decline' THEN 1 ELSE 0 END) AS DOUBLE)
+               / NULLIF(sum(CASE WHEN y_true = 1 THEN 1 ELSE 0 END), 0) AS tp
+      FROM d WHERE gender IS NOT NULL)
+SELECT 'gender' AS group_name, group_value, n, approval_rate, tpr, approval_rate - ar AS approval_rate_gap,
+       tpr - tp AS tpr_gap FROM g, o)""", "predictions", "application"))
+def q_fairness_report(spark, sf):
+    return segments.fairness_report(_decisions(spark, sf), "gender")
+
+
+@register("run_stamp", with_ctes(
+    f"SELECT '{RUN_ID}' AS run_id, '{CREATED_AT}' AS created_at, * FROM predictions", "predictions"))
+def q_run_stamp(spark, sf):
+    from riskweave.sources.io import run_stamp
+    return run_stamp(A.predictions(spark, sf), RUN_ID, CREATED_AT)
