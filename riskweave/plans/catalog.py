@@ -863,3 +863,128 @@ def q_fairness_report(spark, sf):
 def q_run_stamp(spark, sf):
     from riskweave.sources.io import run_stamp
     return run_stamp(A.predictions(spark, sf), RUN_ID, CREATED_AT)
+
+
+# ---------------------------------------------------------------- Spark ML
+from riskweave.operators import ml as M  # noqa: E402
+
+_ML_CACHE: dict = {}
+
+
+def _ml_frame(spark, sf):
+    return A.ml_frame(spark, sf)
+
+
+def _ml_split(spark, sf):
+    return S.stratified_split(_ml_frame(spark, sf), "TARGET", "SK_ID_CURR", 0.2, 42)
+
+
+# a small booster so the per-round check stays quick; the defaults are M.DEFAULT_GBT_PARAMS
+QUERY_GBT_PARAMS = {"n_estimators": 20, "learning_rate": 0.1, "num_leaves": 15, "subsample": 0.8,
+                    "colsample_bytree": 0.8, "min_child_samples": 5, "class_weight": "balanced",
+                    "random_state": 42}
+
+
+def _fit(spark, sf, model_type="gbt", params=None):
+    split = _ml_split(spark, sf)
+    train = split.where(F.col("split") == "train").drop("split")
+    num, cat = M.feature_lists(train)
+    model, eff, names = M.train_classifier(train, num, cat, model_type, params or QUERY_GBT_PARAMS)
+    return split, model, eff, names
+
+
+@register("impute_median", with_ctes(f"""
+SELECT feature, quantile_cont(value, 0.5) AS median FROM (
+  SELECT * FROM (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in O.ENRICHED_NUMERIC if c not in ('TARGET', 'SK_ID_CURR'))}
+                 FROM ({_rank_sql('enriched', 42)}) WHERE rk > ceil(0.2 * nc))
+  UNPIVOT (value FOR feature IN ({', '.join(c for c in O.ENRICHED_NUMERIC if c not in ('TARGET', 'SK_ID_CURR'))})))
+GROUP BY feature""", "enriched"))
+def q_impute_median(spark, sf):
+    split = S.stratified_split(enriched_applications(spark, sf), "TARGET", "SK_ID_CURR", 0.2, 42)
+    train = split.where(F.col("split") == "train")
+    num, _ = M.feature_lists(train.drop("split"))
+    return M.fit_medians(train, num)
+
+
+@register("class_weights", with_ctes(
+    "SELECT TARGET, CAST((SELECT count(*) FROM enriched WHERE TARGET IS NOT NULL) AS DOUBLE) / "
+    "((SELECT count(DISTINCT TARGET) FROM enriched) * count(*)) AS weight FROM enriched "
+    "WHERE TARGET IS NOT NULL GROUP BY TARGET", "enriched"))
+def q_class_weights(spark, sf):
+    return M.class_weights(enriched_applications(spark, sf), "TARGET")
+
+
+@register("one_hot", round_digits=None)
+def q_one_hot(spark, sf):
+    from pyspark.ml import Pipeline
+    df = _ml_frame(spark, sf)
+    _, cat = M.feature_lists(df)
+    model = Pipeline(stages=M.one_hot_stages(cat)).fit(df)
+    out = model.transform(df)
+    return out.select("SK_ID_CURR", *[vector_to_array_col(f"{c}__ohe") for c in cat])
+
+
+def vector_to_array_col(c: str):
+    from pyspark.ml.functions import vector_to_array
+    return vector_to_array(c).alias(c.replace("__ohe", "_onehot"))
+
+
+def _metrics_row(spark, sf, model_type):
+    split, model, eff, _ = _fit(spark, sf, model_type)
+    test = split.where(F.col("split") == "test").drop("split")
+    scored = M.score(model, test)
+    m = EV.classification_metrics(scored, "TARGET", "y_proba")
+    return m.select(F.lit(eff).alias("model_type"), "*")
+
+
+@register("train_gbt_metrics")
+def q_train_gbt_metrics(spark, sf):
+    return _metrics_row(spark, sf, "gbt")
+
+
+@register("train_logreg_metrics")
+def q_train_logreg_metrics(spark, sf):
+    return _metrics_row(spark, sf, "logreg")
+
+
+@register("predictions", round_digits=None)
+def q_predictions(spark, sf):
+    split, model, _, _ = _fit(spark, sf)
+    scored = M.score(model, split.drop("split"))
+    return M.predictions_table(scored, RUN_ID, CREATED_AT)
+
+
+@register("calibrated_predictions")
+def q_calibrated_predictions(spark, sf):
+    parts = S.three_way_split(_ml_frame(spark, sf), "TARGET", "SK_ID_CURR", 0.2, 0.25, 42)
+    fit = parts.where(F.col("split") == "fit").drop("split")
+    num, cat = M.feature_lists(fit)
+    model, _, _ = M.train_classifier(fit, num, cat, "gbt", QUERY_GBT_PARAMS)
+    calib = M.score(model, parts.where(F.col("split") == "calib").drop("split"))
+    test = M.score(model, parts.where(F.col("split") == "test").drop("split"))
+    iso = M.fit_isotonic(calib, "y_proba", "TARGET")
+    cal = M.calibrate(iso, test, "y_proba", "y_proba_calibrated")
+    return cal.select("SK_ID_CURR", "TARGET", "y_proba", "y_proba_calibrated")
+
+
+@register("tuning_results")
+def q_tuning_results(spark, sf):
+    split = _ml_split(spark, sf)
+    train = split.where(F.col("split") == "train").drop("split")
+    num, cat = M.feature_lists(train)
+    return M.tune(train, num, cat, n_trials=3, n_folds=2, max_estimators=10, parallelism=2)
+
+
+@register("split_importance")
+def q_split_importance(spark, sf):
+    _, model, _, names = _fit(spark, sf)
+    return M.split_importance(model, names)
+
+
+@register("shap_importance")
+def q_shap_importance(spark, sf):
+    from riskweave.operators import shap as SH
+    split, model, _, names = _fit(spark, sf)
+    test = split.where(F.col("split") == "test").drop("split")
+    sample = S.sample_rows(test, 5000, "SK_ID_CURR", 42)
+    return SH.shap_importance(model, sample, names)
