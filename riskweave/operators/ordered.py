@@ -87,21 +87,39 @@ def running_totals(df: DataFrame, order_key: str, measures: list[str], group_col
     return out
 
 
+def value_counts(df: DataFrame, value_col: str, group_cols: list[str] | tuple = (), keep_nulls: bool = False,
+                 materialize: bool = True) -> DataFrame:
+    """(group..., _v, _n): occurrences of every distinct value, map-side combined.
+
+    A hot value (a third of all rows) collapses to one row per map task.
+    The table feeds several passes (edges, ranks, totals), so by default it
+    is written once to the shared checkpoint folder instead of recomputing
+    the upstream plan for each pass.
+    """
+    g = list(group_cols)
+    src = df if keep_nulls else df.where(F.col(value_col).isNotNull())
+    counts = src.groupBy(*g, F.col(value_col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return reliable_checkpoint(counts) if materialize else counts
+
+
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_cols: list[str] | tuple = (),
-                    n_buckets: int | None = None, out_col: str = "quantiles") -> DataFrame:
+                    n_buckets: int | None = None, out_col: str = "quantiles",
+                    counts: DataFrame | None = None) -> DataFrame:
     """Linear-interpolated quantiles (NumPy 'linear' / SQL quantile_cont) over non-null values.
 
     Returns one row per group with ``out_col`` = array of quantiles in
     ``probs`` order. Groups with no non-null value produce no row.
     Work per task is bounded: values are first collapsed to (value, count)
-    with map-side combine, then ranked with :func:`running_totals`.
+    with map-side combine (or passed in as ``counts`` with columns
+    group..., _v, _n), then ranked with :func:`running_totals`.
     """
     group_cols = list(group_cols)
     g = group_cols or ["_g"]
-    base = df if group_cols else df.withColumn("_g", F.lit(0))
-    counts = (base.where(F.col(value_col).isNotNull())
-              .groupBy(*g, F.col(value_col).cast("double").alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_n")))
+    if counts is None:
+        counts = value_counts(df, value_col, group_cols)
+    counts = counts.where(F.col("_v").isNotNull())
+    if not group_cols:
+        counts = counts.withColumn("_g", F.lit(0))
     ranked = running_totals(counts, "_v", ["_n"], g, n_buckets=n_buckets)
     ranked = ranked.withColumn("_before", F.col("cum__n") - F.col("_n"))
     n_tot = counts.groupBy(*g).agg(F.sum("_n").alias("_N"))
@@ -121,7 +139,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_col
     vals = hit.groupBy(*g, "_j").agg(
         F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_vlo"),
         F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_vhi"))
-    q = vals.join(targets.select(*g, "_j", "_frac"), g + ["_j"]).select(
+    q = vals.join(F.broadcast(targets.select(*g, "_j", "_frac")), g + ["_j"]).select(
         *g, "_j", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("_q"))
     out = q.groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("_j", "_q"))).alias("_s"))
     out = out.select(*g, F.transform("_s", lambda s: s["_q"]).alias(out_col))

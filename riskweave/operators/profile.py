@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.functions import expr as X
-from riskweave.operators.ordered import exact_quantiles
+from riskweave.operators.ordered import exact_quantiles, value_counts
+from riskweave.session import reliable_checkpoint
 
 SUMMARY_PROBS = [0.05, 0.5, 0.95]
 
@@ -117,22 +118,34 @@ def _long_categorical(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def feature_summary_numeric(df: DataFrame, exact: bool = True, n_buckets: int | None = None) -> DataFrame:
-    """E9 numeric part: n, missing_rate, mean, sample std, p05/p50/p95 (linear), round 6."""
+    """E9 numeric part: n, missing_rate, mean, sample std, p05/p50/p95 (linear), round 6.
+
+    Everything derives from one checkpointed (feature, value, count) table:
+    totals and mean in one aggregate, the sample variance by a second,
+    numerically stable pass (sum of c * (v - mean)^2), quantiles by rank.
+    """
     num, _ = split_columns(df)
     if not num:
         return _empty_summary(df)
     long = _long_numeric(df, num)
-    stats = long.groupBy("feature").agg(
-        F.count("value").alias("n"),
-        F.count(F.lit(1)).alias("_rows"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"))
+    counts = value_counts(long, "value", ["feature"], keep_nulls=True)
+    v, c = F.col("_v"), F.col("_n")
+    tot = counts.groupBy("feature").agg(
+        F.sum(c).alias("_rows"),
+        F.sum(F.when(v.isNotNull(), c)).alias("n"),
+        F.sum(F.when(v.isNotNull(), v * c)).alias("_s"))
+    tot = tot.withColumn("n", F.coalesce("n", F.lit(0))).withColumn(
+        "mean", F.try_divide(F.col("_s"), F.col("n").cast("double")))
+    # one row per feature (schema-bounded): broadcast
+    dev = counts.where(v.isNotNull()).join(F.broadcast(tot.select("feature", F.col("mean").alias("_m"))), "feature")
+    m2 = dev.groupBy("feature").agg(F.sum(c * F.pow(v - F.col("_m"), 2)).alias("_m2"))
+    stats = tot.join(F.broadcast(m2), "feature", "left").withColumn(
+        "std", F.when(F.col("n") > 1, F.sqrt(F.col("_m2") / (F.col("n") - 1))))
     if exact:
-        q = exact_quantiles(long, "value", SUMMARY_PROBS, ["feature"], n_buckets=n_buckets)
+        q = exact_quantiles(None, "value", SUMMARY_PROBS, ["feature"], n_buckets=n_buckets, counts=counts)
     else:
         q = long.groupBy("feature").agg(F.percentile_approx("value", SUMMARY_PROBS, 10_000)
                                         .cast("array<double>").alias("quantiles"))
-    # q has one row per feature (schema-bounded): broadcast
     out = stats.join(F.broadcast(q), "feature", "left")
     return out.select(
         "feature", _dtype_map(df)[F.col("feature")].alias("dtype"), "n",
@@ -155,8 +168,11 @@ def feature_summary_categorical(df: DataFrame) -> DataFrame:
     if not cat:
         return _empty_summary(df)
     long = _long_categorical(df, cat)
-    base = long.groupBy("feature").agg(F.count("value").alias("n"), F.count(F.lit(1)).alias("_rows"))
-    vc = long.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
+    # one checkpointed (feature, value, count) table feeds the totals and both top-k passes
+    allvc = reliable_checkpoint(long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c")))
+    base = allvc.groupBy("feature").agg(F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("c"))),
+                                                   F.lit(0)).alias("n"), F.sum("c").alias("_rows"))
+    vc = allvc.where(F.col("value").isNotNull())
     top1 = vc.groupBy("feature").agg(F.min(F.struct((-F.col("c")).alias("nc"), F.col("value").alias("v"))).alias("t1"))
     rest = vc.join(F.broadcast(top1), "feature").where(F.col("value") != F.col("t1.v"))
     top2 = rest.groupBy("feature").agg(F.min(F.struct((-F.col("c")).alias("nc"), F.col("value").alias("v"))).alias("t2"))

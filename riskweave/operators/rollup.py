@@ -169,6 +169,16 @@ def build_aggregates(sources: dict[str, DataFrame], id_col: str = ID) -> dict[st
     return out
 
 
+def nonempty_sources(sources: dict[str, DataFrame], id_col: str = ID) -> set[str]:
+    """Names of sources with at least one keyed row, probed in ONE job (LIMIT 1 per source)."""
+    from functools import reduce
+    probes = [src.where(F.col(id_col).isNotNull()).select(F.lit(name).alias("name")).limit(1)
+              for name, src in sources.items() if id_col in src.columns]
+    if not probes:
+        return set()
+    return {r["name"] for r in reduce(DataFrame.unionByName, probes).collect()}
+
+
 def enrich(base: DataFrame, aggregates: dict[str, DataFrame | None], id_col: str = ID,
            count_prefixes: tuple[str, ...] = COUNT_PREFIXES, sources: dict[str, DataFrame] | None = None
            ) -> DataFrame:
@@ -185,11 +195,12 @@ def enrich(base: DataFrame, aggregates: dict[str, DataFrame | None], id_col: str
         raise ValueError(f"application table must contain {id_col}")
     out = base
     added: list[str] = []
+    probed = {n: s for n, s in (sources or {}).items() if n in aggregates and id_col in s.columns}
+    present = nonempty_sources(probed, id_col) if probed else set()
     for name, agg in aggregates.items():
         if agg is None:
             continue
-        src = (sources or {}).get(name)
-        if src is not None and id_col in src.columns and src.where(F.col(id_col).isNotNull()).isEmpty():
+        if name in probed and name not in present:
             continue
         new_cols = [c for c in agg.columns if c != id_col]
         out = out.join(agg, id_col, "left")

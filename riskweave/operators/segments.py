@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import expr as X
 from riskweave.operators.ordered import bucket_by_edges, quantile_edges
+from riskweave.session import reliable_checkpoint
 
 SEGMENT_COLS = ["segment_name", "segment_value", "n", "default_rate"]
 
@@ -69,6 +70,10 @@ def segments_by_category(df: DataFrame, col: str, name: str, target: str = "TARG
 
 def population_segments(df: DataFrame, target: str = "TARGET") -> DataFrame:
     """Income band, age band, credit band, gender, in that order (segment_order column)."""
+    cols = [c for c in ("AMT_INCOME_TOTAL", "DAYS_BIRTH", "AMT_CREDIT", "CODE_GENDER", target) if c in df.columns]
+    # several passes (two quantile edge lists + the segment aggregates): materialise the
+    # narrow projection once on shared storage instead of re-running the upstream plan
+    df = reliable_checkpoint(df.select(*cols))
     parts = []
     if "AMT_INCOME_TOTAL" in df.columns:
         parts.append(segments_by_quantile(df, "AMT_INCOME_TOTAL", "income_band", 5, target))

@@ -17,8 +17,15 @@ from riskweave.sources.io import table_path
 EPOCH = "2001-12-31"
 
 
+_READS: dict = {}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    """Plan-level memo of the parquet relation (schema inference once per session and path)."""
+    key = (id(spark), spark.sparkContext.applicationId, table_path(sf_dir, name))
+    if key not in _READS:
+        _READS[key] = spark.read.parquet(table_path(sf_dir, name))
+    return _READS[key]
 
 
 def _days_since_epoch(col: str) -> Column:
