@@ -35,26 +35,32 @@ def default_buckets(df: DataFrame) -> int:
     return max(16, min(4096, 2 * parts))
 
 
-def _edges(df: DataFrame, key: str, group_cols: list[str], n_buckets: int) -> tuple[DataFrame | None, list | None]:
+def _edges(df: DataFrame, key: str, group_cols: list[str], n_buckets: int
+           ) -> tuple[DataFrame | None, list | None, bool]:
     probs = [i / n_buckets for i in range(1, n_buckets)]
     accuracy = max(10_000, 8 * n_buckets)
     agg = F.array_distinct(F.percentile_approx(F.col(key).cast("double"), probs, accuracy)).alias("_edges")
     if not group_cols:
         row = df.agg(agg).collect()[0]            # parameter-sized: <= n_buckets doubles
-        return None, [float(e) for e in (row["_edges"] or [])]
-    edges = reliable_checkpoint(df.groupBy(*group_cols).agg(agg))   # computed once, lineage cut
-    return edges, None
+        return None, [float(e) for e in (row["_edges"] or [])], True
+    edges = df.groupBy(*group_cols).agg(agg)
+    max_groups = max(1, MAX_BROADCAST_EDGE_ROWS // n_buckets)
+    rows = edges.limit(max_groups + 1).collect()
+    if len(rows) <= max_groups:
+        # few groups: the edge table is parameter-sized; pin it as a local relation so every
+        # later pass (and any recomputation after a lost executor) sees the same edges
+        return df.sparkSession.createDataFrame(rows, edges.schema), None, True
+    return reliable_checkpoint(edges), None, False   # many groups: computed once, lineage cut
 
 
 def with_bucket(df: DataFrame, key: str, group_cols: list[str], n_buckets: int) -> DataFrame:
     """Attach ``_bucket`` = number of approximate edges strictly below ``key``."""
-    edges_df, edges = _edges(df, key, group_cols, n_buckets)
+    edges_df, edges, small = _edges(df, key, group_cols, n_buckets)
     k = F.col(key).cast("double")
     if edges_df is None:
         arr = F.array(*[F.lit(e) for e in edges]) if edges else F.array().cast("array<double>")
         return df.withColumn("_bucket", F.size(F.filter(arr, lambda e: k > e)))
-    n_rows = edges_df.count()
-    side = F.broadcast(edges_df) if n_rows <= MAX_BROADCAST_EDGE_ROWS else edges_df
+    side = F.broadcast(edges_df) if small else edges_df
     out = df.join(side, group_cols, "left")
     return out.withColumn("_bucket", F.coalesce(F.size(F.filter("_edges", lambda e: k > e)), F.lit(0))
                           ).drop("_edges")

@@ -56,11 +56,17 @@ def agg_bureau_balance(bb: DataFrame, bureau_id: str = BUREAU_ID) -> DataFrame:
     return _keyed(bb, bureau_id).groupBy(bureau_id).agg(*aggs)
 
 
-def bureau_with_balance(bureau: DataFrame, bb: DataFrame | None, bureau_id: str = BUREAU_ID) -> DataFrame:
-    """Credits left-joined to their monthly-status aggregate (credit id is unique after E1)."""
+def bureau_with_balance(bureau: DataFrame, bb: DataFrame | None, bureau_id: str = BUREAU_ID,
+                        skip_empty: bool = False) -> DataFrame:
+    """Credits left-joined to their monthly-status aggregate (credit id is unique after E1).
+
+    ``skip_empty`` reproduces the pandas rule "an empty status table adds no
+    column" at the price of a probe job; by default the output schema is
+    fixed and an empty table simply yields BB_DPD_MONTHS = NULL.
+    """
     if bb is None or bureau_id not in bureau.columns or "STATUS" not in bb.columns:
         return bureau
-    if bb.where(F.col(bureau_id).isNotNull()).isEmpty():   # LIMIT 1 probe on the scan
+    if skip_empty and bb.where(F.col(bureau_id).isNotNull()).isEmpty():   # LIMIT 1 probe
         return bureau
     return bureau.join(agg_bureau_balance(bb, bureau_id), bureau_id, "left")
 
@@ -180,22 +186,26 @@ def nonempty_sources(sources: dict[str, DataFrame], id_col: str = ID) -> set[str
 
 
 def enrich(base: DataFrame, aggregates: dict[str, DataFrame | None], id_col: str = ID,
-           count_prefixes: tuple[str, ...] = COUNT_PREFIXES, sources: dict[str, DataFrame] | None = None
-           ) -> DataFrame:
+           count_prefixes: tuple[str, ...] = COUNT_PREFIXES, sources: dict[str, DataFrame] | None = None,
+           skip_empty: bool = False) -> DataFrame:
     """Successive left equi-joins on the id; join misses on count columns -> 0.
 
     Aggregates are one row per id, so the base row count is preserved and
     no join can skew. Each aggregate arrives hash-partitioned on the id, so
     sort-merge joins chain without re-shuffling them (AQE may broadcast the
-    small ones). An aggregate whose source has no keyed row is skipped,
-    like an empty frame in the pandas pipeline; the probe is a LIMIT 1 scan
-    of the *source*, never a second evaluation of the aggregate.
+    small ones).
+
+    By default the output schema depends only on the input schemas (an
+    empty source contributes count 0 / NULL features). ``skip_empty=True``
+    drops the columns of sources with no keyed row, as the pandas pipeline
+    does, at the cost of one LIMIT-1 probe job over all sources.
     """
     if id_col not in base.columns:
         raise ValueError(f"application table must contain {id_col}")
     out = base
     added: list[str] = []
-    probed = {n: s for n, s in (sources or {}).items() if n in aggregates and id_col in s.columns}
+    probed = ({n: s for n, s in (sources or {}).items() if n in aggregates and id_col in s.columns}
+              if skip_empty else {})
     present = nonempty_sources(probed, id_col) if probed else set()
     for name, agg in aggregates.items():
         if agg is None:
@@ -212,6 +222,7 @@ def enrich(base: DataFrame, aggregates: dict[str, DataFrame | None], id_col: str
     return out
 
 
-def enrich_applications(base: DataFrame, sources: dict[str, DataFrame], id_col: str = ID) -> DataFrame:
+def enrich_applications(base: DataFrame, sources: dict[str, DataFrame], id_col: str = ID,
+                        skip_empty: bool = False) -> DataFrame:
     """Flagship: roll up every present source and join the features onto the applications."""
-    return enrich(base, build_aggregates(sources, id_col), id_col, sources=sources)
+    return enrich(base, build_aggregates(sources, id_col), id_col, sources=sources, skip_empty=skip_empty)

@@ -872,11 +872,14 @@ _ML_CACHE: dict = {}
 
 
 def _ml_frame(spark, sf):
-    return A.ml_frame(spark, sf)
+    # text-shape features scan every document: materialise them once for the multi-pass ML jobs
+    from riskweave.session import reliable_checkpoint
+    return reliable_checkpoint(A.ml_frame(spark, sf))
 
 
 def _ml_split(spark, sf):
-    return S.stratified_split(_ml_frame(spark, sf), "TARGET", "SK_ID_CURR", 0.2, 42)
+    from riskweave.session import reliable_checkpoint
+    return reliable_checkpoint(S.stratified_split(_ml_frame(spark, sf), "TARGET", "SK_ID_CURR", 0.2, 42))
 
 
 # a small booster so the per-round check stays quick; the defaults are M.DEFAULT_GBT_PARAMS

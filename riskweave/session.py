@@ -61,6 +61,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable (shared-storage) checkpoint, never a local one."""
+    """Cut lineage with a reliable (shared-storage) checkpoint, never a local one.
+
+    The rows are persisted for the duration of the write: without it the
+    eager checkpoint computes the upstream plan twice (once for the count
+    that triggers it, once for the files).
+    """
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist(blocking=False)
