@@ -991,3 +991,29 @@ def q_shap_importance(spark, sf):
     test = split.where(F.col("split") == "test").drop("split")
     sample = S.sample_rows(test, 5000, "SK_ID_CURR", 42)
     return SH.shap_importance(model, sample, names)
+
+
+# ---------------------------------------------------------------- sources (A2, B5 companions)
+@register("load_sources")
+def q_load_sources(spark, sf):
+    """A2: enabled+present sources are loaded, disabled and missing ones skipped; one row per source."""
+    import os
+    from functools import reduce
+
+    from pyspark.sql import DataFrame as _DF
+
+    from riskweave.sources.io import SourceSpec, SourcesConfig, load_sources, table_path
+    cfg = SourcesConfig(table_path(sf, "customer"), {
+        "orders": SourceSpec(table_path(sf, "orders")),
+        "lineitem": SourceSpec(table_path(sf, "lineitem")),
+        "events": SourceSpec(table_path(sf, "events")),
+        "not_there": SourceSpec(os.path.join(sf, "no_such_table.parquet")),
+        "switched_off": SourceSpec(table_path(sf, "part"), enabled=False),
+    }, id_col="c_custkey")
+    base, srcs = load_sources(spark, cfg)
+    parts = [base.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit("base").alias("source"), "n_rows",
+                                                                F.lit(len(base.columns)).alias("n_cols"))]
+    parts += [d.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("source"), "n_rows",
+                                                              F.lit(len(d.columns)).alias("n_cols"))
+              for n, d in srcs.items()]
+    return reduce(_DF.unionByName, parts)
