@@ -57,6 +57,16 @@ SEVERITY_MEDIUM = 0.2
 # ---------------------------------------------------------------------------
 
 
+def rround(x, digits: int = 6) -> Column:
+    """Contract rounding: snap to 9 decimals, then half-up to ``digits``.
+
+    The snap removes float summation noise (which depends on partitioning)
+    before the decisive rounding, so a value whose exact result sits on a
+    half rounds the same way on every cluster layout.
+    """
+    return F.round(F.round(_c(x), 9), digits)
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -95,7 +105,7 @@ def utilization(balance, limit) -> Column:
 
 def age_years(days_birth) -> Column:
     """round(-days / 365.25, 1)."""
-    return F.round(-_c(days_birth) / F.lit(365.25), 1)
+    return rround(-_c(days_birth) / F.lit(365.25), 1)
 
 
 def age_band(age) -> Column:

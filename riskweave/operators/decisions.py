@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskweave.functions.expr import rround
+
 from riskweave.operators.checks import validate_scenarios, validate_sweep
 
 # Default sweep and economics (the reference configuration).
@@ -81,11 +83,11 @@ def threshold_sweep(df: DataFrame, y: str = "y_true", p: str = "y_proba",
     e = _economics(approval_counts(df, y, p, ts), F.lit(float(profit_if_good)), F.lit(float(loss_given_default)))
     return e.select(
         "threshold",
-        F.round("_ar", 6).alias("approval_rate"),
-        F.round("_dr", 6).alias("default_rate_among_approved"),
-        F.round("_pr", 6).alias("expected_profit"),
-        F.round("_lo", 6).alias("expected_loss"),
-        F.round(F.col("_pr") - F.col("_lo"), 6).alias("expected_value"))
+        rround("_ar", 6).alias("approval_rate"),
+        rround("_dr", 6).alias("default_rate_among_approved"),
+        rround("_pr", 6).alias("expected_profit"),
+        rround("_lo", 6).alias("expected_loss"),
+        rround(F.col("_pr") - F.col("_lo"), 6).alias("expected_value"))
 
 
 def scenario_results(df: DataFrame, scenarios: list[dict] | None = None, y: str = "y_true",
@@ -101,9 +103,9 @@ def scenario_results(df: DataFrame, scenarios: list[dict] | None = None, y: str
     e = _economics(j, F.col("profit_if_good"), F.col("loss_given_default"))
     return e.select(
         "scenario_order", "scenario_name", "threshold", "profit_if_good", "loss_given_default",
-        F.round("_ar", 6).alias("approval_rate"), F.round("_dr", 6).alias("default_rate"),
-        F.round("_pr", 6).alias("expected_profit"), F.round("_lo", 6).alias("expected_loss"),
-        F.round(F.col("_pr") - F.col("_lo"), 6).alias("net_value"))
+        rround("_ar", 6).alias("approval_rate"), rround("_dr", 6).alias("default_rate"),
+        rround("_pr", 6).alias("expected_profit"), rround("_lo", 6).alias("expected_loss"),
+        rround(F.col("_pr") - F.col("_lo"), 6).alias("net_value"))
 
 
 def optimal_threshold(sweep: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskweave.functions.expr import rround
+
 from riskweave.functions import expr as X
 from riskweave.operators.ordered import bucket_by_edges, quantile_edges, running_totals
 
@@ -77,7 +79,7 @@ def ks_statistic(df: DataFrame, y: str = "y_true", p: str = "y_proba", n_buckets
     if P == 0 or N == 0:
         return c.agg(F.lit(None).cast("double").alias("ks_statistic"))
     gap = F.abs(F.col("cum_pos") / F.lit(float(P)) - F.col("cum_neg") / F.lit(float(N)))
-    return c.agg(F.round(F.max(gap), 4).alias("ks_statistic"))
+    return c.agg(rround(F.max(gap), 4).alias("ks_statistic"))
 
 
 def roc_curve(df: DataFrame, y: str = "y_true", p: str = "y_proba", n_buckets: int | None = None) -> DataFrame:
@@ -93,7 +95,7 @@ def roc_curve(df: DataFrame, y: str = "y_true", p: str = "y_proba", n_buckets: i
 
 def gini(auc: DataFrame) -> DataFrame:
     """round(2 * AUC - 1, 3)."""
-    return auc.select(F.round(2 * F.col("auc_roc") - 1, 3).alias("gini"))
+    return auc.select(rround(2 * F.col("auc_roc") - 1, 3).alias("gini"))
 
 
 def brier_score(df: DataFrame, y: str = "y_true", p: str = "y_proba") -> DataFrame:
@@ -132,11 +134,11 @@ def classification_metrics(df: DataFrame, y: str = "y_true", p: str = "y_proba",
         F.sum(pos).alias("P"), F.sum(neg).alias("N"))
     n = (F.col("P") + F.col("N")).cast("double")
     return agg.select(
-        F.round(F.try_divide(F.col("auc_s"), (F.col("P") * F.col("N")).cast("double")), digits)
+        rround(F.try_divide(F.col("auc_s"), (F.col("P") * F.col("N")).cast("double")), digits)
          .alias("auc_roc"),
-        F.round(F.try_divide(F.col("ap_s"), F.col("P").cast("double")), digits).alias("average_precision"),
-        F.round(F.try_divide(F.col("br_s"), n), digits).alias("brier_score"),
-        F.round(F.try_divide(F.col("ll_s"), n), digits).alias("log_loss"))
+        rround(F.try_divide(F.col("ap_s"), F.col("P").cast("double")), digits).alias("average_precision"),
+        rround(F.try_divide(F.col("br_s"), n), digits).alias("brier_score"),
+        rround(F.try_divide(F.col("ll_s"), n), digits).alias("log_loss"))
 
 
 def metrics_compare(labelled: dict[str, DataFrame]) -> DataFrame:
@@ -164,15 +166,15 @@ def confusion_matrix(df: DataFrame, threshold: float = 0.2, y: str = "y_true", p
     return c.select(
         F.lit(float(threshold)).alias("threshold"), "true_negative", "false_positive", "false_negative",
         "true_positive",
-        F.round(F.when(tp + fp > 0, tp / (tp + fp)).otherwise(F.lit(0.0)), 6).alias("precision"),
-        F.round(F.when(tp + fn > 0, tp / (tp + fn)).otherwise(F.lit(0.0)), 6).alias("recall"))
+        rround(F.when(tp + fp > 0, tp / (tp + fp)).otherwise(F.lit(0.0)), 6).alias("precision"),
+        rround(F.when(tp + fn > 0, tp / (tp + fn)).otherwise(F.lit(0.0)), 6).alias("recall"))
 
 
 def f1_score(confusion: DataFrame) -> DataFrame:
     """H8: 2PR / (P + R), 0 when undefined."""
     pr, rc = F.col("precision"), F.col("recall")
     return confusion.select("threshold", "precision", "recall",
-                            F.round(F.when(pr + rc > 0, 2 * pr * rc / (pr + rc)).otherwise(F.lit(0.0)), 6)
+                            rround(F.when(pr + rc > 0, 2 * pr * rc / (pr + rc)).otherwise(F.lit(0.0)), 6)
                             .alias("f1"))
 
 
@@ -214,14 +216,15 @@ def calibration_bins(df: DataFrame, y: str = "y_true", p: str = "y_proba", n_bin
     """
     mm = df.agg(F.min(p).alias("lo"), F.max(p).alias("hi")).collect()[0]
     spark = df.sparkSession
-    schema = "bin int, prob_bin string, predicted_midpoint double"
+    schema = "bin int, prob_bin string, _lo double, _hi double"
     if mm["lo"] is None:
-        return spark.createDataFrame([], schema + ", n bigint, actual_default_rate double")
+        return spark.createDataFrame([], "bin int, prob_bin string, predicted_midpoint double, n bigint, "
+                                         "actual_default_rate double")
     edges = cut_edges(float(mm["lo"]), float(mm["hi"]), n_bins)
     disp = _display_edges(edges)
-    rows = [(i + 1, f"({disp[i]!r}, {disp[i + 1]!r}]",
-             round((disp[i] + disp[i + 1]) / 2, 4)) for i in range(n_bins)]
-    bins = spark.createDataFrame(rows, schema)
+    rows = [(i + 1, f"({disp[i]!r}, {disp[i + 1]!r}]", disp[i], disp[i + 1]) for i in range(n_bins)]
+    bins = spark.createDataFrame(rows, schema).select(
+        "bin", "prob_bin", rround((F.col("_lo") + F.col("_hi")) / 2, 4).alias("predicted_midpoint"))
     inner = edges[1:-1]
     pc = F.col(p).cast("double")
     scored = df.where(pc.isNotNull()).select(bucket_by_edges(pc, inner).alias("bin"), F.col(y).cast("double").alias("_y"))
@@ -242,8 +245,8 @@ def reliability_curve(df: DataFrame, scores: dict[str, str], y: str = "y_true",
         pc = F.col(p).cast("double")
         part = (df.where(pc.isNotNull()).select(bucket_by_edges(pc, edges).alias("bin"), pc.alias("_p"),
                                                  F.col(y).cast("double").alias("_y"))
-                .groupBy("bin").agg(F.round(F.avg("_p"), digits).alias("mean_predicted"),
-                                    F.round(F.avg("_y"), digits).alias("fraction_positive"))
+                .groupBy("bin").agg(rround(F.avg("_p"), digits).alias("mean_predicted"),
+                                    rround(F.avg("_y"), digits).alias("fraction_positive"))
                 .select(F.lit(method).alias("method"), "bin", "mean_predicted", "fraction_positive"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -253,14 +256,14 @@ def calibration_report(df: DataFrame, raw: str, calibrated: str, y: str = "y_tru
                        n_buckets: int | None = None) -> DataFrame:
     """AUC of the calibrated score, Brier and log-loss raw vs calibrated, and the
     Brier improvement as the difference of the *rounded* values."""
-    auc = auc_roc(df, y, calibrated, n_buckets).select(F.round("auc_roc", 6).alias("auc_roc"))
+    auc = auc_roc(df, y, calibrated, n_buckets).select(rround("auc_roc", 6).alias("auc_roc"))
     pts = df.agg(
-        F.round(F.avg(F.pow(F.col(raw) - F.col(y).cast("double"), 2)), 6).alias("raw_brier"),
-        F.round(F.avg(F.pow(F.col(calibrated) - F.col(y).cast("double"), 2)), 6).alias("calibrated_brier"),
-        F.round(F.avg(_log_loss_expr(y, raw)), 6).alias("raw_log_loss"),
-        F.round(F.avg(_log_loss_expr(y, calibrated)), 6).alias("calibrated_log_loss"))
+        rround(F.avg(F.pow(F.col(raw) - F.col(y).cast("double"), 2)), 6).alias("raw_brier"),
+        rround(F.avg(F.pow(F.col(calibrated) - F.col(y).cast("double"), 2)), 6).alias("calibrated_brier"),
+        rround(F.avg(_log_loss_expr(y, raw)), 6).alias("raw_log_loss"),
+        rround(F.avg(_log_loss_expr(y, calibrated)), 6).alias("calibrated_log_loss"))
     j = fold_rows([auc, pts])
-    return j.withColumn("brier_improvement", F.round(F.col("raw_brier") - F.col("calibrated_brier"), 6))
+    return j.withColumn("brier_improvement", rround(F.col("raw_brier") - F.col("calibrated_brier"), 6))
 
 
 def headline_metrics(kpi: DataFrame, compare: DataFrame, ks: DataFrame, champion: str, baseline: str) -> DataFrame:
@@ -279,8 +282,8 @@ def headline_metrics(kpi: DataFrame, compare: DataFrame, ks: DataFrame, champion
     row = parts.agg(m("default_rate").alias("default_rate"), m("champion_auc").alias("champion_auc"),
                     m("baseline_auc").alias("baseline_auc"), m("ks").alias("ks_statistic"))
     return row.select("default_rate", "champion_auc",
-                      F.round(F.col("champion_auc") - F.col("baseline_auc"), 6).alias("auc_delta_vs_baseline"),
-                      F.round(2 * F.col("champion_auc") - 1, 3).alias("gini"), "ks_statistic")
+                      rround(F.col("champion_auc") - F.col("baseline_auc"), 6).alias("auc_delta_vs_baseline"),
+                      rround(2 * F.col("champion_auc") - 1, 3).alias("gini"), "ks_statistic")
 
 
 def importance_rank(imp: DataFrame, feature: str = "feature", value: str = "importance") -> DataFrame:

@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from riskweave.functions.expr import rround
 from pyspark.sql import types as T
 
 from riskweave.functions import expr as X
-from riskweave.operators.ordered import exact_quantiles, value_counts
+from riskweave.operators.ordered import exact_quantiles
 from riskweave.session import reliable_checkpoint
 
 SUMMARY_PROBS = [0.05, 0.5, 0.95]
@@ -50,7 +52,7 @@ def missingness(df: DataFrame, digits: int = 6) -> DataFrame:
     """(column, missing_ratio) per column, ratio = round(nulls / rows, 6)."""
     row = _missing_row(df)
     pairs = [F.struct(F.lit(c).alias("column"), F.lit(i).alias("pos"),
-                      F.round(F.try_divide(F.col(f"__m{i}").cast("double"), F.col("__n").cast("double")),
+                      rround(F.try_divide(F.col(f"__m{i}").cast("double"), F.col("__n").cast("double")),
                               digits).alias("missing_ratio"))
              for i, c in enumerate(df.columns)]
     return row.select(F.explode(F.array(*pairs)).alias("s")).select("s.column", "s.missing_ratio")
@@ -69,7 +71,7 @@ def target_stats(df: DataFrame, target: str = "TARGET") -> DataFrame:
     # at most a handful of rows (validated binary): a global window here is bounded
     total = F.sum("count").over(Window.partitionBy())
     return (counts.select("target_value", "count",
-                          F.round(F.col("count") / total * 100, 4).alias("pct"))
+                          rround(F.col("count") / total * 100, 4).alias("pct"))
             .where(F.col("target_value").isNotNull()))
 
 
@@ -84,9 +86,9 @@ def kpi_overview(df: DataFrame, run_id: str, created_at: str, target: str = "TAR
         F.lit(created_at).alias("created_at"),
         F.col("__n").alias("n_rows"),
         F.lit(n_cols).alias("n_cols"),
-        F.round(F.try_divide(F.col("__t").cast("double"), F.col("__n").cast("double")), 6).alias("default_rate"),
-        F.round(F.aggregate(rates, F.lit(0.0), lambda acc, r: acc + r) / n_cols, 6).alias("avg_missing_rate"),
-        F.round(F.size(F.filter(rates, lambda r: r > 0.4)) / F.lit(float(n_cols)) * 100, 4)
+        rround(F.try_divide(F.col("__t").cast("double"), F.col("__n").cast("double")), 6).alias("default_rate"),
+        rround(F.aggregate(rates, F.lit(0.0), lambda acc, r: acc + r) / n_cols, 6).alias("avg_missing_rate"),
+        rround(F.size(F.filter(rates, lambda r: r > 0.4)) / F.lit(float(n_cols)) * 100, 4)
          .alias("pct_columns_missing_gt_40"),
     )
 
@@ -106,29 +108,23 @@ def missingness_by_feature(df: DataFrame) -> DataFrame:
                     X.feature_group(F.col("column")).alias("feature_group"))
 
 
-def _long_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Unpivot numeric columns to (feature, value double); NULLs kept for counting."""
-    sel = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
-    return sel.unpivot([], cols, "feature", "value")
-
-
-def _long_categorical(df: DataFrame, cols: list[str]) -> DataFrame:
-    sel = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
-    return sel.unpivot([], cols, "feature", "value")
+def feature_value_counts(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
+    """ONE pass over the table: (feature, dv, sv, _n) occurrences of every value of every column.
 
+    Numeric columns fill ``dv`` (as double), categorical ones ``sv`` (as
+    string); NULL values are kept so totals and missing rates come from the
+    same table. The result (at most rows x columns, usually far fewer) is
+    checkpointed once and feeds every summary pass.
+    """
+    entries = [F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("dv"),
+                        F.lit(None).cast("string").alias("sv")) for c in numeric]
+    entries += [F.struct(F.lit(c).alias("feature"), F.lit(None).cast("double").alias("dv"),
+                         F.col(f"`{c}`").cast("string").alias("sv")) for c in categorical]
+    long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.feature", "e.dv", "e.sv")
+    return reliable_checkpoint(long.groupBy("feature", "dv", "sv").agg(F.count(F.lit(1)).alias("_n")))
 
-def feature_summary_numeric(df: DataFrame, exact: bool = True, n_buckets: int | None = None) -> DataFrame:
-    """E9 numeric part: n, missing_rate, mean, sample std, p05/p50/p95 (linear), round 6.
 
-    Everything derives from one checkpointed (feature, value, count) table:
-    totals and mean in one aggregate, the sample variance by a second,
-    numerically stable pass (sum of c * (v - mean)^2), quantiles by rank.
-    """
-    num, _ = split_columns(df)
-    if not num:
-        return _empty_summary(df)
-    long = _long_numeric(df, num)
-    counts = value_counts(long, "value", ["feature"], keep_nulls=True)
+def _numeric_summary(df: DataFrame, counts: DataFrame, exact: bool, n_buckets: int | None) -> DataFrame:
     v, c = F.col("_v"), F.col("_n")
     tot = counts.groupBy("feature").agg(
         F.sum(c).alias("_rows"),
@@ -142,34 +138,23 @@ def feature_summary_numeric(df: DataFrame, exact: bool = True, n_buckets: int |
     stats = tot.join(F.broadcast(m2), "feature", "left").withColumn(
         "std", F.when(F.col("n") > 1, F.sqrt(F.col("_m2") / (F.col("n") - 1))))
     if exact:
-        q = exact_quantiles(None, "value", SUMMARY_PROBS, ["feature"], n_buckets=n_buckets, counts=counts)
+        q = exact_quantiles(None, "_v", SUMMARY_PROBS, ["feature"], n_buckets=n_buckets, counts=counts)
     else:
-        q = long.groupBy("feature").agg(F.percentile_approx("value", SUMMARY_PROBS, 10_000)
-                                        .cast("array<double>").alias("quantiles"))
+        q = (counts.where(v.isNotNull()).groupBy("feature")
+             .agg(F.percentile_approx("_v", SUMMARY_PROBS, 10_000).cast("array<double>").alias("quantiles")))
     out = stats.join(F.broadcast(q), "feature", "left")
     return out.select(
         "feature", _dtype_map(df)[F.col("feature")].alias("dtype"), "n",
-        F.round((F.col("_rows") - F.col("n")) / F.col("_rows"), 6).alias("missing_rate"),
-        F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"),
-        *[F.round(F.col("quantiles")[i], 6).alias(name) for i, name in enumerate(["p05", "p50", "p95"])],
+        rround((F.col("_rows") - F.col("n")) / F.col("_rows"), 6).alias("missing_rate"),
+        rround("mean", 6).alias("mean"), rround("std", 6).alias("std"),
+        *[rround(F.col("quantiles")[i], 6).alias(name) for i, name in enumerate(["p05", "p50", "p95"])],
         F.lit(None).cast("string").alias("top1"), F.lit(None).cast("double").alias("top1_rate"),
         F.lit(None).cast("string").alias("top2"), F.lit(None).cast("double").alias("top2_rate"),
         X.feature_group(F.col("feature")).alias("feature_group"))
 
 
-def feature_summary_categorical(df: DataFrame) -> DataFrame:
-    """E9 categorical part: two most frequent values and their % of non-null rows (ties: value asc).
-
-    Top-k is computed with ``min(struct(-count, value))`` — an ordinary
-    partially-aggregated aggregate — twice, so no per-feature window ever
-    holds a high-cardinality column in one task.
-    """
-    _, cat = split_columns(df)
-    if not cat:
-        return _empty_summary(df)
-    long = _long_categorical(df, cat)
-    # one checkpointed (feature, value, count) table feeds the totals and both top-k passes
-    allvc = reliable_checkpoint(long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c")))
+def _categorical_summary(df: DataFrame, allvc: DataFrame) -> DataFrame:
+    """Top-2 via ``min(struct(-count, value))`` twice — partially aggregated, no per-feature window."""
     base = allvc.groupBy("feature").agg(F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("c"))),
                                                    F.lit(0)).alias("n"), F.sum("c").alias("_rows"))
     vc = allvc.where(F.col("value").isNotNull())
@@ -177,16 +162,39 @@ def feature_summary_categorical(df: DataFrame) -> DataFrame:
     rest = vc.join(F.broadcast(top1), "feature").where(F.col("value") != F.col("t1.v"))
     top2 = rest.groupBy("feature").agg(F.min(F.struct((-F.col("c")).alias("nc"), F.col("value").alias("v"))).alias("t2"))
     out = base.join(F.broadcast(top1), "feature", "left").join(F.broadcast(top2), "feature", "left")
-    rate = lambda t: F.round(F.try_divide((-F.col(f"{t}.nc")).cast("double"), F.col("n").cast("double")) * 100, 4)
+    rate = lambda t: rround(F.try_divide((-F.col(f"{t}.nc")).cast("double"), F.col("n").cast("double")) * 100, 4)
     return out.select(
         "feature", _dtype_map(df)[F.col("feature")].alias("dtype"), "n",
-        F.round((F.col("_rows") - F.col("n")) / F.col("_rows"), 6).alias("missing_rate"),
+        rround((F.col("_rows") - F.col("n")) / F.col("_rows"), 6).alias("missing_rate"),
         *[F.lit(None).cast("double").alias(c) for c in ("mean", "std", "p05", "p50", "p95")],
         F.col("t1.v").alias("top1"), rate("t1").alias("top1_rate"),
         F.col("t2.v").alias("top2"), rate("t2").alias("top2_rate"),
         X.feature_group(F.col("feature")).alias("feature_group"))
 
 
+def feature_summary_numeric(df: DataFrame, exact: bool = True, n_buckets: int | None = None) -> DataFrame:
+    """E9 numeric part: n, missing_rate, mean, sample std, p05/p50/p95 (linear), round 6.
+
+    Totals and mean come from one aggregate over the value-count table, the
+    sample variance from a second, numerically stable pass (sum of
+    c * (v - mean)^2), quantiles by distributed rank.
+    """
+    num, _ = split_columns(df)
+    if not num:
+        return _empty_summary(df)
+    counts = feature_value_counts(df, num, []).select("feature", F.col("dv").alias("_v"), "_n")
+    return _numeric_summary(df, counts, exact, n_buckets)
+
+
+def feature_summary_categorical(df: DataFrame) -> DataFrame:
+    """E9 categorical part: two most frequent values and their % of non-null rows (ties: value asc)."""
+    _, cat = split_columns(df)
+    if not cat:
+        return _empty_summary(df)
+    counts = feature_value_counts(df, [], cat).select("feature", F.col("sv").alias("value"), F.col("_n").alias("c"))
+    return _categorical_summary(df, counts)
+
+
 def _empty_summary(df: DataFrame) -> DataFrame:
     schema = ("feature string, dtype string, n bigint, missing_rate double, mean double, std double, "
               "p05 double, p50 double, p95 double, top1 string, top1_rate double, top2 string, "
@@ -194,9 +202,20 @@ def _empty_summary(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], schema)
 
 
-def feature_summary(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Numeric stats or categorical tops per column, other kind's cells NULL."""
-    return feature_summary_numeric(df, exact).unionByName(feature_summary_categorical(df))
+def feature_summary(df: DataFrame, exact: bool = True, n_buckets: int | None = None) -> DataFrame:
+    """Numeric stats or categorical tops per column, other kind's cells NULL — one table pass."""
+    num, cat = split_columns(df)
+    if not num and not cat:
+        return _empty_summary(df)
+    counts = feature_value_counts(df, num, cat)
+    parts = []
+    if num:
+        parts.append(_numeric_summary(df, counts.where(F.col("feature").isin(num))
+                                      .select("feature", F.col("dv").alias("_v"), "_n"), exact, n_buckets))
+    if cat:
+        parts.append(_categorical_summary(df, counts.where(F.col("feature").isin(cat))
+                                          .select("feature", F.col("sv").alias("value"), F.col("_n").alias("c"))))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def correlation_top(df: DataFrame, target: str = "TARGET", digits: int = 6) -> DataFrame:
@@ -218,7 +237,7 @@ def correlation_top(df: DataFrame, target: str = "TARGET", digits: int = 6) -> D
     r = F.when((F.col("x0") == F.col("x1")) | (F.col("y0") == F.col("y1")), F.lit(None)).otherwise(
         F.try_divide(F.col("cov"), F.col("sx") * F.col("sy")))
     out = st.select("feature", r.alias("r")).where(F.col("r").isNotNull() & ~F.isnan("r"))
-    return out.select("feature", F.round("r", digits).alias("corr_with_target"))
+    return out.select("feature", rround("r", digits).alias("corr_with_target"))
 
 
 def correlation_top_sorted(df: DataFrame, target: str = "TARGET") -> DataFrame:

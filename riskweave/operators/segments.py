@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskweave.functions.expr import rround
+
 from riskweave.functions import expr as X
 from riskweave.operators.ordered import bucket_by_edges, quantile_edges
 from riskweave.session import reliable_checkpoint
@@ -47,7 +49,7 @@ def _segment(df: DataFrame, name: str, label: Column, target: str) -> DataFrame:
     g = df.select(label.alias("segment_value"), F.col(target).alias("__y")).where(
         F.col("segment_value").isNotNull())
     return g.groupBy("segment_value").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("__y"), 6).alias("default_rate")
+        F.count(F.lit(1)).alias("n"), rround(F.avg("__y"), 6).alias("default_rate")
     ).select(F.lit(name).alias("segment_name"), "segment_value", "n", "default_rate")
 
 

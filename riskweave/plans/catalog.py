@@ -21,6 +21,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def snap_rounds(sql: str) -> str:
+    """Rewrite every ``round(x, d)`` into exact-decimal rounding after a 9-decimal snap
+    (the Spark side's :func:`rround`), so both engines resolve float noise the same way."""
+    out, i, low = [], 0, sql          # lower-case round( only: upper-case ROUND( is left as written
+    while True:
+        j = low.find("round(", i)
+        if j < 0 or (j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k, comma = 0, j + 5, None
+        while True:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        if comma is None:
+            out.append(sql[i:k + 1])
+            i = k + 1
+            continue
+        inner = snap_rounds(sql[j + 6:comma])
+        digits = sql[comma + 1:k].strip()
+        out.append(sql[i:j])
+        out.append(f"CAST(round(CAST(({inner}) AS DECIMAL(38,9)), {digits}) AS DOUBLE)")
+        i = k + 1
+
+
 def register(name: str, sql: str | None = None, round_digits: int | None = 6):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +66,7 @@ def register(name: str, sql: str | None = None, round_digits: int | None = 6):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = snap_rounds(sql)
         return run
     return deco
 
@@ -39,7 +75,7 @@ def rounded(body: str, doubles: list[str], digits: int = 6) -> str:
     """Wrap an oracle body so its double columns are rounded like the Spark side."""
     if not doubles:
         return body
-    rep = ", ".join(f"CAST(round(CAST({c} AS DECIMAL(38,9)), {digits}) AS DOUBLE) AS {c}" for c in doubles)
+    rep = ", ".join(f"round({c}, {digits}) AS {c}" for c in doubles)
     return f"SELECT * REPLACE ({rep}) FROM (\n{body}\n) _q"
 
 
@@ -639,7 +675,7 @@ def q_f1_score(spark, sf):
 def _rf(x: str) -> str:
     # three significant digits below 1, three decimals above (precision inference assumed to stop at 3)
     return (f"(CASE WHEN {x} = 0 THEN {x} WHEN abs({x}) < 1 THEN "
-            f"round({x}, CAST(-floor(log10(abs({x}))) - 1 + 3 AS INTEGER)) ELSE round({x}, 3) END)")
+            f"ROUND({x}, CAST(-floor(log10(abs({x}))) - 1 + 3 AS INTEGER)) ELSE ROUND({x}, 3) END)")
 
 
 _CALIB_SQL = f"""

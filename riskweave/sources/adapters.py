@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskweave.functions.expr import rround
 from riskweave.sources.io import table_path
 
 # Fixed reference date the day offsets are measured from.
@@ -137,7 +138,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(
         k.alias("application_id"),
         _target().alias("y_true"),
-        F.round(F.lit(0.75) * (((k * 7919) % 1009) / F.lit(1009.0)) + lift, 6).alias("y_proba"),
+        rround(F.lit(0.75) * (((k * 7919) % 1009) / F.lit(1009.0)) + lift, 6).alias("y_proba"),
     )
 
 
@@ -187,7 +188,7 @@ def predictions_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(
         k.alias("application_id"),
         _target().alias("y_true"),
-        F.round(F.lit(0.9) * (((k * 104729) % 1013) / F.lit(1013.0)) + lift, 6).alias("y_proba"),
+        rround(F.lit(0.9) * (((k * 104729) % 1013) / F.lit(1013.0)) + lift, 6).alias("y_proba"),
     )
 
 

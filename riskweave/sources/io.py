@@ -147,7 +147,8 @@ def model_run_row(spark: SparkSession, *, run_id: str, created_at: str, label: s
 def report_round(c: Column, digits: int = 6) -> Column:
     """Half-up rounding after snapping to 9 decimals, so float summation noise
     (which differs with partitioning) cannot flip a value sitting on a half."""
-    return F.round(F.round(c, 9), digits)
+    from riskweave.functions.expr import rround
+    return rround(c, digits)
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
