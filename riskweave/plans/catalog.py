@@ -1053,3 +1053,23 @@ def q_load_sources(spark, sf):
                                                               F.lit(len(d.columns)).alias("n_cols"))
               for n, d in srcs.items()]
     return reduce(_DF.unionByName, parts)
+
+
+# ---------------------------------------------------------------- final oracle rounding
+def _final_round(sql: str, doubles: list[str], digits: int = 6) -> str:
+    """Apply the Spark side's contract rounding to every double output column of an oracle."""
+    if not doubles:
+        return sql
+    rep = ", ".join(
+        f'CASE WHEN isinf("{c}") OR isnan("{c}") THEN "{c}" '
+        f'ELSE CAST(ROUND(CAST("{c}" AS DECIMAL(38,9)), {digits}) AS DOUBLE) END AS "{c}"' for c in doubles)
+    return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) _final"
+
+
+def _finalize_oracles() -> None:
+    from riskweave.plans.oracle_doubles import DOUBLE_COLUMNS
+    for name in list(ORACLE):
+        ORACLE[name] = _final_round(ORACLE[name], DOUBLE_COLUMNS.get(name, []))
+
+
+_finalize_oracles()

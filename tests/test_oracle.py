@@ -30,6 +30,18 @@ def test_query_matches_oracle(spark, con, name):
     assert r["cols_ok"] and r["rows"][0] == r["rows"][1] and r["hash_ok"], r
 
 
+def test_double_column_lists_match_schemas(spark):
+    from pyspark.sql import types as T
+
+    import __spark_entry__ as E
+    from riskweave.plans.oracle_doubles import DOUBLE_COLUMNS
+    q = E.queries()
+    for name in ("enrich_applications", "threshold_sweep", "feature_summary", "roc_curve"):
+        df = q[name](spark, SF)
+        assert DOUBLE_COLUMNS[name] == [f.name for f in df.schema.fields
+                                        if isinstance(f.dataType, (T.DoubleType, T.FloatType))], name
+
+
 def test_entry_smoke(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
