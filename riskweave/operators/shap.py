@@ -157,7 +157,13 @@ def shap_values(model: PipelineModel, df: DataFrame, names: list[str], id_col: s
     """Long table (id, feature, shap) of margin-space SHAP values for every row of ``df``."""
     trees, weights = tree_table(model)
     bc = df.sparkSession.sparkContext.broadcast((trees, weights, names))
-    feats = model.transform(df).select(F.col(id_col).alias("_id"), vector_to_array("features").alias("_x"))
+    src = df
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        # a bounded explanation sample (top-k output) arrives as one partition: spread it so the
+        # Python kernel runs on every core instead of one task
+        src = df.repartition(par)
+    feats = model.transform(src).select(F.col(id_col).alias("_id"), vector_to_array("features").alias("_x"))
 
     def run(batches):
         tr, ws, nm = bc.value

@@ -85,3 +85,11 @@ def test_shap_values_add_up_to_margin(spark, frame):
     assert np.allclose(j["s"] + base, j["m"], atol=1e-9)
     imp = SH.shap_importance(model, frame, names).collect()
     assert [r["rank"] for r in imp] == list(range(1, len(imp) + 1))
+
+
+def test_tune_finds_signal(spark, frame):
+    num, cat = M.feature_lists(frame)
+    space = {"num_leaves": (4, 8, "int"), "learning_rate": (0.05, 0.3, "log"), "min_child_samples": (1, 5, "int")}
+    row = M.tune(frame, num, cat, n_trials=2, n_folds=2, max_estimators=5, space=space).collect()[0]
+    assert row["n_trials"] == 2 and row["best_cv_auc"] > 0.6
+    assert set(space) <= set(row.asDict())
