@@ -158,8 +158,23 @@ def quantile_edges(df: DataFrame, value_col: str, probs: list[float], n_buckets:
     return list(rows[0]["quantiles"]) if rows else None
 
 
+def quantile_edges_multi(df: DataFrame, cols: list[str], probs: list[float], n_buckets: int | None = None
+                         ) -> dict[str, list[float] | None]:
+    """Quantile lists of several columns from ONE value-count pass (columns unpivoted as groups)."""
+    if len(cols) == 1:
+        return {cols[0]: quantile_edges(df, cols[0], probs, n_buckets)}
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_x")) for c in cols])).alias("_e")
+    ).select("_e._col", "_e._x")
+    rows = exact_quantiles(long, "_x", probs, ["_col"], n_buckets=n_buckets).collect()   # one row per column
+    got = {r["_col"]: list(r["quantiles"]) for r in rows}
+    return {c: got.get(c) for c in cols}
+
+
 def bucket_by_edges(x: Column, edges: list[float]) -> Column:
     """1-based label index: 1 + #edges strictly below x; NULL stays NULL."""
+    if not edges:
+        return F.when(x.isNull(), F.lit(None).cast("int")).otherwise(F.lit(1))
     arr = F.array(*[F.lit(float(e)) for e in edges])
     return F.when(x.isNull(), F.lit(None).cast("int")).otherwise(
         F.size(F.filter(arr, lambda e: x > e)) + 1)

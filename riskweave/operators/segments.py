@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from riskweave.functions.expr import rround
 
 from riskweave.functions import expr as X
-from riskweave.operators.ordered import bucket_by_edges, quantile_edges
+from riskweave.operators.ordered import bucket_by_edges, quantile_edges, quantile_edges_multi
 from riskweave.session import reliable_checkpoint
 
 SEGMENT_COLS = ["segment_name", "segment_value", "n", "default_rate"]
@@ -24,13 +24,15 @@ def quantile_labels(n: int) -> list[str]:
 
 
 def quantile_bin(df: DataFrame, col: str, n: int = 5, labels: list[str] | None = None,
-                 out_col: str | None = None) -> DataFrame:
+                 out_col: str | None = None, edges: list[float] | None = None) -> DataFrame:
     """Label i = first i with x <= Q(i/n) (linear quantiles over non-null); above all -> last.
 
     Tied quantiles collapse bins (the earlier label wins). NULL -> NULL.
+    ``edges`` may be passed when they were computed together with others.
     """
     labels = labels or quantile_labels(n)
-    edges = quantile_edges(df, col, [i / n for i in range(1, n)])
+    if edges is None:
+        edges = quantile_edges(df, col, [i / n for i in range(1, n)])
     out_col = out_col or f"{col}_bin"
     if edges is None:
         return df.withColumn(out_col, F.lit(None).cast("string"))
@@ -53,9 +55,10 @@ def _segment(df: DataFrame, name: str, label: Column, target: str) -> DataFrame:
     ).select(F.lit(name).alias("segment_name"), "segment_value", "n", "default_rate")
 
 
-def segments_by_quantile(df: DataFrame, measure: str, name: str, n: int = 5, target: str = "TARGET") -> DataFrame:
+def segments_by_quantile(df: DataFrame, measure: str, name: str, n: int = 5, target: str = "TARGET",
+                         edges: list[float] | None = None) -> DataFrame:
     """Quantile bins of a measure; per non-empty label n and round(mean target, 6)."""
-    binned = quantile_bin(df.select(measure, target), measure, n, out_col="__band")
+    binned = quantile_bin(df.select(measure, target), measure, n, out_col="__band", edges=edges)
     return _segment(binned, name, F.col("__band"), target)
 
 
@@ -70,18 +73,28 @@ def segments_by_category(df: DataFrame, col: str, name: str, target: str = "TARG
     return _segment(df, name, F.col(col).cast("string"), target)
 
 
+def _edges_or_empty(e):
+    # an all-NULL measure has no edges: every label is NULL and the segment is empty
+    return e if e is not None else []
+
+
 def population_segments(df: DataFrame, target: str = "TARGET") -> DataFrame:
     """Income band, age band, credit band, gender, in that order (segment_order column)."""
     cols = [c for c in ("AMT_INCOME_TOTAL", "DAYS_BIRTH", "AMT_CREDIT", "CODE_GENDER", target) if c in df.columns]
     # several passes (two quantile edge lists + the segment aggregates): materialise the
     # narrow projection once on shared storage instead of re-running the upstream plan
     df = reliable_checkpoint(df.select(*cols))
+    measures = [c for c in ("AMT_INCOME_TOTAL", "AMT_CREDIT") if c in df.columns]
+    # both measures' quintile edges from one value-count pass
+    edges = quantile_edges_multi(df, measures, [i / 5 for i in range(1, 5)]) if measures else {}
     parts = []
     if "AMT_INCOME_TOTAL" in df.columns:
-        parts.append(segments_by_quantile(df, "AMT_INCOME_TOTAL", "income_band", 5, target))
+        parts.append(segments_by_quantile(df, "AMT_INCOME_TOTAL", "income_band", 5, target,
+                                          _edges_or_empty(edges["AMT_INCOME_TOTAL"])))
     parts.append(segments_by_band(df, "DAYS_BIRTH", "age_band", target))
     if "AMT_CREDIT" in df.columns:
-        parts.append(segments_by_quantile(df, "AMT_CREDIT", "credit_amount_band", 5, target))
+        parts.append(segments_by_quantile(df, "AMT_CREDIT", "credit_amount_band", 5, target,
+                                          _edges_or_empty(edges["AMT_CREDIT"])))
     parts.append(segments_by_category(df, "CODE_GENDER", "gender", target))
     out = parts[0]
     for p in parts[1:]:
