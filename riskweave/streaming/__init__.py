@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference reads whole files in batch and has no streams, watermarks,
+windows over event time or stateful operators, so none are invented here.
+Every operator in :mod:`riskweave.operators` is a DataFrame-in,
+DataFrame-out function and therefore also runs unchanged inside a
+Structured Streaming ``foreachBatch`` if a caller needs incremental runs.
+"""

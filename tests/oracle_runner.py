@@ -69,7 +69,12 @@ if __name__ == "__main__":
     import __spark_entry__ as E
     sf_dir = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     only = set(sys.argv[1:])
-    spark = get_session("local[8]", shuffle_partitions=8)
+    if os.environ.get("PLAIN_SESSION"):
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+                 .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+    else:
+        spark = get_session("local[8]", shuffle_partitions=8)
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     qs, oracle = E.queries(), E.oracle_sql()
