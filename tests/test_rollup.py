@@ -107,3 +107,27 @@ def test_missing_id_raises(spark):
         rollup.agg_bureau(df)
     with pytest.raises(ValueError):
         rollup.enrich(df, {})
+
+
+def test_hot_applicant_rollup_is_exact(spark):
+    # one applicant owns a third of all instalment rows; partial aggregation keeps the result exact
+    rows = [(1, -10, -10 + (i % 4), 100.0, 90.0) for i in range(3000)]
+    rows += [(2 + i % 50, -10, -12, 100.0, 100.0) for i in range(6000)]
+    inst = spark.createDataFrame(rows, "SK_ID_CURR long, DAYS_INSTALMENT int, DAYS_ENTRY_PAYMENT int, "
+                                       "AMT_INSTALMENT double, AMT_PAYMENT double").repartition(8)
+    out = {r["SK_ID_CURR"]: r for r in rollup.agg_installments(inst).collect()}
+    hot = out[1]
+    assert hot["INST_N_INSTALMENTS"] == 3000 and hot["INST_LATE_RATE"] == 0.75
+    assert hot["INST_DPD_MEAN"] == 1.5 and hot["INST_DPD_MAX"] == 3
+    assert hot["INST_SHORTFALL_MEAN"] == pytest.approx(0.1)
+    assert len(out) == 51 and all(out[k]["INST_N_INSTALMENTS"] == 120 for k in range(2, 52))
+
+
+def test_require_and_split_columns(spark):
+    from riskweave.operators import checks, profile
+    df = spark.createDataFrame([(1, 2.0, "a", True)], "id long, x double, s string, b boolean")
+    checks.require_columns(df, ["id", "x"])
+    with pytest.raises(ValueError, match="missing"):
+        checks.require_columns(df, ["id", "nope"])
+    # booleans are categorical, as in the pandas pipeline
+    assert profile.split_columns(df, drop=["id"]) == (["x"], ["s", "b"])
