@@ -1,12 +1,13 @@
 """The registered query of each operator, and its SQL where SQL can express it."""
 from __future__ import annotations
 
-from riskweave.llm import decontam, mixing, near_dedup, token_store
+from riskweave.llm import decontam, mixing, near_dedup, token_store, toxicity
 
 QUERIES = {
     "op1_mixing_sources": mixing.op1_mixing_sources,
     "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
     "op6_benchmark_decontamination": decontam.op6_benchmark_decontamination,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_output": token_store.op9_token_output,
 }
 
