@@ -196,6 +196,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of docs, all columns, one for each component: that of the smallest doc_id, repeated rows once."""
+    keep = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
+    return (docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+            .dropDuplicates(["doc_id", "text"]))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of all documents on four-word shingles."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4)

@@ -1,10 +1,11 @@
 """The registered query of each operator, and its SQL where SQL can express it."""
 from __future__ import annotations
 
-from riskweave.llm import decontam, mixing, near_dedup, token_store, toxicity
+from riskweave.llm import decontam, mixing, near_dedup, substrings, token_store, toxicity
 
 QUERIES = {
     "op1_mixing_sources": mixing.op1_mixing_sources,
+    "op4_suffix_array_dedup": substrings.op4_suffix_array_dedup,
     "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
     "op6_benchmark_decontamination": decontam.op6_benchmark_decontamination,
     "op8_toxicity": toxicity.op8_toxicity,
