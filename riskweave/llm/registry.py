@@ -1,7 +1,7 @@
 """The registered query of each operator, and its SQL where SQL can express it."""
 from __future__ import annotations
 
-from riskweave.llm import decontam, mixing, near_dedup, substrings, token_store, toxicity
+from riskweave.llm import decontam, mixing, near_dedup, sentences, substrings, token_store, toxicity
 
 QUERIES = {
     "op1_mixing_sources": mixing.op1_mixing_sources,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_benchmark_decontamination": decontam.op6_benchmark_decontamination,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_output": token_store.op9_token_output,
+    "op10_sentence_spans": sentences.op10_sentence_spans,
 }
 
 ORACLES = {
