@@ -1,14 +1,16 @@
 """The registered query of each operator, and its SQL where SQL can express it."""
 from __future__ import annotations
 
-from riskweave.llm import decontam, imatch, mixing, near_dedup, sentences, substrings, token_store, toxicity
+from riskweave.llm import decontam, imatch, mixing, near_dedup, quality, secrets, sentences, substrings, token_store, toxicity
 
 QUERIES = {
     "op1_mixing_sources": mixing.op1_mixing_sources,
     "op2_document_fingerprints": imatch.op2_document_fingerprints,
+    "op3_secret_scans": secrets.op3_secret_scans,
     "op4_suffix_array_dedup": substrings.op4_suffix_array_dedup,
     "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
     "op6_benchmark_decontamination": decontam.op6_benchmark_decontamination,
+    "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_output": token_store.op9_token_output,
     "op10_sentence_spans": sentences.op10_sentence_spans,
