@@ -108,7 +108,7 @@ class Scorer:
         self.taps = {w: [p["emb"] @ p[f"w{w}"][j] for j in range(w)] for w in WIDTHS}
 
     def logits(self, rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        pad = max(WIDTHS) - 1
+        pad = max(WIDTHS)
         n = len(bounds) - 1
         padded = np.full((len(rows) + pad * n, 2), 1 << ROWS_BITS, np.int32)
         starts, ends = bounds[:-1] + pad * np.arange(n), bounds[1:] + pad * np.arange(n)
