@@ -11,7 +11,6 @@ functions  Column -> Column scalar expressions and binning helpers
 operators  validation, profiling, roll-ups, segments, decisions,
            evaluation, sampling, Spark ML training/scoring/explaining
 plans      end-to-end jobs composed from operators + the query catalog
-streaming  micro-batch scoring sink built on the batch operators
 """
 
 __version__ = "0.1.0"

@@ -7,6 +7,8 @@ ANSI mode raises on x/0 even for doubles.
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,23 +120,20 @@ def age_band(age) -> Column:
     return expr
 
 
-def feature_group(name) -> Column:
-    """First matching regex (search semantics) over the column-name column."""
-    n = _c(name)
-    expr = None
-    for group, pattern in FEATURE_GROUP_RULES:
-        cond = n.rlike(pattern)
-        expr = F.when(cond, F.lit(group)) if expr is None else expr.when(cond, F.lit(group))
-    return expr.otherwise(F.lit("other"))
-
-
-def feature_group_py(name: str) -> str:
-    """Driver-side twin of C10 for schema-level tables (column names are metadata)."""
-    import re
-    for group, pattern in FEATURE_GROUP_RULES:
-        if re.search(pattern, name):
-            return group
-    return "other"
+def feature_group(name, rules: list[tuple[str, str]] | None = None) -> Column:
+    """First matching regex (search semantics) over the column-name column; rules: (group, pattern) in order."""
+    rules = FEATURE_GROUP_RULES if rules is None else rules
+    for rule in rules:
+        if not (isinstance(rule, (tuple, list)) and len(rule) == 2 and all(isinstance(x, str) and x for x in rule)):
+            raise ValueError(f"a feature-group rule is a (group, pattern) pair of strings, not {rule!r}")
+        try:
+            re.compile(rule[1])
+        except re.error as exc:
+            raise ValueError(f"pattern {rule[1]!r} of feature group {rule[0]!r}: {exc}") from exc
+    n, expr = _c(name), F.lit("other")
+    for group, pattern in reversed(rules):
+        expr = F.when(n.rlike(pattern), F.lit(group)).otherwise(expr)
+    return expr
 
 
 def importance_group(name) -> Column:
@@ -175,10 +174,3 @@ def clean_feature_name(name) -> Column:
 def corr_direction(corr) -> Column:
     """>0 raises risk, otherwise lowers risk."""
     return F.when(_c(corr) > 0, F.lit("raises risk")).otherwise(F.lit("lowers risk"))
-
-
-def count_edges_below(x, edges: Column) -> Column:
-    """Shared binning primitive: number of edges e with x > e (NULL x -> NULL)."""
-    xc = _c(x)
-    return F.when(xc.isNull(), F.lit(None).cast("int")).otherwise(
-        F.size(F.filter(edges, lambda e: xc > e)))

@@ -7,12 +7,15 @@ a rows x thresholds loop or a cross join with a parameter table.
 """
 from __future__ import annotations
 
+from itertools import accumulate, repeat, takewhile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions.expr import rround
 
-from riskweave.operators.checks import validate_scenarios, validate_sweep
+from riskweave.operators.checks import validate_scenarios, validate_scores, validate_sweep
+from riskweave.operators.ordered import count_below
 
 # Default sweep and economics (the reference configuration).
 DEFAULT_SWEEP = (0.05, 0.95, 0.05)
@@ -28,11 +31,7 @@ DEFAULT_SCENARIOS = [
 def sweep_thresholds(start: float, stop: float, step: float) -> list[float]:
     """Thresholds by float accumulation, each rounded to 4 places (0.05..0.95 by 0.05 gives 18)."""
     start, stop, step = validate_sweep(start, stop, step)
-    out, t = [], start
-    while t <= stop:
-        out.append(round(t, 4))
-        t += step
-    return out
+    return [round(t, 4) for t in takewhile(lambda t: t <= stop, accumulate(repeat(step), initial=start))]
 
 
 def approval_counts(df: DataFrame, y: str, p: str, thresholds: list[float]) -> DataFrame:
@@ -42,10 +41,9 @@ def approval_counts(df: DataFrame, y: str, p: str, thresholds: list[float]) -> D
     """
     spark: SparkSession = df.sparkSession
     ts = sorted(set(float(t) for t in thresholds))
-    arr = F.array(*[F.lit(t) for t in ts])
     pc, yc = F.col(p), F.col(y).cast("int")
     # a missing score is never approved (NaN < t is false in the pandas original)
-    bucket = F.when(pc.isNull() | F.isnan(pc), F.lit(len(ts))).otherwise(F.size(F.filter(arr, lambda t: t <= pc)))
+    bucket = F.when(pc.isNull() | F.isnan(pc), F.lit(len(ts))).otherwise(count_below(pc, ts, inclusive=True))
     counts = df.select(bucket.alias("b"), yc.alias("y")).groupBy("b").agg(
         F.count(F.lit(1)).alias("cnt"),
         F.sum((F.col("y") == 0).cast("long")).alias("g"),
@@ -78,8 +76,12 @@ def threshold_sweep(df: DataFrame, y: str = "y_true", p: str = "y_proba",
                     start: float = DEFAULT_SWEEP[0], stop: float = DEFAULT_SWEEP[1], step: float = DEFAULT_SWEEP[2],
                     profit_if_good: float = DEFAULT_PROFIT_IF_GOOD,
                     loss_given_default: float = DEFAULT_LOSS_GIVEN_DEFAULT) -> DataFrame:
-    """approval/default/profit/loss/value per threshold (approved = p < t), round 6."""
+    """approval/default/profit/loss/value per threshold (approved = p < t), round 6.
+
+    Raises if a score is missing or not a probability.
+    """
     ts = sweep_thresholds(start, stop, step)
+    validate_scores(df, p)
     e = _economics(approval_counts(df, y, p, ts), F.lit(float(profit_if_good)), F.lit(float(loss_given_default)))
     return e.select(
         "threshold",

@@ -9,6 +9,7 @@ confusion counts) are one-pass global aggregates.
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -179,23 +180,22 @@ def f1_score(confusion: DataFrame) -> DataFrame:
 
 
 # ---- H9: equal-width calibration bins with pandas.cut-style display edges -----
-def _round_frac(x: float, precision: int) -> float:
-    if not np.isfinite(x) or x == 0:
-        return x
-    frac, whole = np.modf(x)
-    digits = (-int(np.floor(np.log10(abs(frac)))) - 1 + precision) if whole == 0 else precision
-    return float(np.around(x, digits))
+def _shown(x: float, digits: int) -> float:
+    """x to ``digits`` decimals, or for |x| < 1 to ``digits`` significant digits."""
+    d = Decimal(repr(x))
+    if d and abs(d) < 1:
+        digits -= d.adjusted() + 1
+    return float(round(d, digits))
 
 
-def _display_edges(edges: list[float], base_precision: int = 3) -> list[float]:
-    """Display edges: shortest precision (>= 3 significant) at which edges stay distinct;
-    the first left edge is lowered by one more unit of that precision."""
-    for precision in range(base_precision, 20):
-        levels = [_round_frac(b, precision) for b in edges]
-        if len(set(levels)) == len(edges):
-            break
-    levels[0] = levels[0] - 10 ** (-precision)
-    return levels
+def _display_edges(edges: list[float], digits: int = 3) -> list[float]:
+    """Edges as they are printed: with the fewest digits (from 3 on) that keep them apart, as they are if none
+    does; the first is lowered by one unit of that precision, so the lowest value lies inside."""
+    for n in range(digits, 20):
+        shown = [_shown(e, n) for e in edges]
+        if len(set(shown)) == len(edges):
+            return [shown[0] - 10.0 ** -n, *shown[1:]]
+    return list(edges)
 
 
 def cut_edges(lo: float, hi: float, n: int) -> list[float]:
@@ -229,7 +229,7 @@ def calibration_bins(df: DataFrame, y: str = "y_true", p: str = "y_proba", n_bin
     pc = F.col(p).cast("double")
     scored = df.where(pc.isNotNull()).select(bucket_by_edges(pc, inner).alias("bin"), F.col(y).cast("double").alias("_y"))
     agg = scored.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("actual_default_rate"))
-    out = bins.join(F.broadcast(agg), "bin", "left").na.fill(0, ["n"])
+    out = bins.join(agg, "bin", "left").na.fill(0, ["n"])
     return out.select("bin", "prob_bin", "predicted_midpoint", "n", "actual_default_rate")
 
 

@@ -2,95 +2,56 @@
 
 A global ``Window.orderBy`` (or ``partitionBy(class)``) funnels every row
 into one task. These primitives keep the exact answer while bounding the
-work per task:
-
-1. approximate equi-depth edges per group (``percentile_approx`` — a
-   mergeable sketch with partial aggregation),
-2. every row gets ``bucket = #edges < key`` (equal keys share a bucket),
-3. running sums inside each (group, bucket) — a window over ~N/B rows,
-4. bucket totals -> exclusive prefix offsets over <= B rows per group,
-   broadcast back and added.
-
-Buckets are only a work split; the result is exact whatever the edges.
+work per task, by one path for any number of rows or groups:
+
+1. rows are range-partitioned on (groups, key): the engine samples the
+   splitters, so a group or key range that holds most rows is cut into many
+   partitions,
+2. the ranged rows are written once (reliable checkpoint), so every later
+   step sees the same partitions,
+3. running sums inside each (group, partition),
+4. totals of the (group, partition) pairs before, at most one pair per
+   partition and group, are joined back null-safely and added.
+
+The partitions only split the work; the result is exact wherever they end.
 """
 from __future__ import annotations
 
-import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.session import reliable_checkpoint
 
-# Above this many edge rows the edge table is shuffled instead of broadcast.
-MAX_BROADCAST_EDGE_ROWS = 200_000
-
-
-def default_buckets(df: DataFrame) -> int:
-    """Work split sized to the cluster: ~2 buckets per shuffle partition, 16..4096."""
-    try:
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    except (TypeError, ValueError):
-        parts = 200
-    return max(16, min(4096, 2 * parts))
-
-
-def _edges(df: DataFrame, key: str, group_cols: list[str], n_buckets: int
-           ) -> tuple[DataFrame | None, list | None, bool]:
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    accuracy = max(10_000, 8 * n_buckets)
-    agg = F.array_distinct(F.percentile_approx(F.col(key).cast("double"), probs, accuracy)).alias("_edges")
-    if not group_cols:
-        row = df.agg(agg).collect()[0]            # parameter-sized: <= n_buckets doubles
-        return None, [float(e) for e in (row["_edges"] or [])], True
-    edges = df.groupBy(*group_cols).agg(agg)
-    max_groups = max(1, MAX_BROADCAST_EDGE_ROWS // n_buckets)
-    rows = edges.limit(max_groups + 1).collect()
-    if len(rows) <= max_groups:
-        # few groups: the edge table is parameter-sized; pin it as a local relation so every
-        # later pass (and any recomputation after a lost executor) sees the same edges
-        return df.sparkSession.createDataFrame(rows, edges.schema), None, True
-    return reliable_checkpoint(edges), None, False   # many groups: computed once, lineage cut
-
-
-def with_bucket(df: DataFrame, key: str, group_cols: list[str], n_buckets: int) -> DataFrame:
-    """Attach ``_bucket`` = number of approximate edges strictly below ``key``."""
-    edges_df, edges, small = _edges(df, key, group_cols, n_buckets)
-    k = F.col(key).cast("double")
-    if edges_df is None:
-        arr = F.array(*[F.lit(e) for e in edges]) if edges else F.array().cast("array<double>")
-        return df.withColumn("_bucket", F.size(F.filter(arr, lambda e: k > e)))
-    side = F.broadcast(edges_df) if small else edges_df
-    out = df.join(side, group_cols, "left")
-    return out.withColumn("_bucket", F.coalesce(F.size(F.filter("_edges", lambda e: k > e)), F.lit(0))
-                          ).drop("_edges")
-
 
 def running_totals(df: DataFrame, order_key: str, measures: list[str], group_cols: list[str] | tuple = (),
                    tie_breakers: list[str] | tuple = (), n_buckets: int | None = None,
                    prefix: str = "cum_") -> DataFrame:
     """Inclusive running sums of ``measures`` ordered by (order_key, *tie_breakers) within groups.
 
+    Every row stays, whatever its group or key: NULL is a group like others, and NULL keys come first.
     Rows should be unique on (group, order_key, tie_breakers) for a
     deterministic order. Adds ``{prefix}{m}`` for every measure.
     """
     group_cols = list(group_cols)
-    n_buckets = n_buckets or default_buckets(df)
-    b = with_bucket(df, order_key, group_cols, n_buckets)
-    part = group_cols + ["_bucket"]
-    w_in = (Window.partitionBy(*part).orderBy(F.col(order_key).asc_nulls_first(), *tie_breakers)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = b.select("*", *[F.sum(m).over(w_in).alias(f"_loc_{m}") for m in measures])
-    totals = local.groupBy(*part).agg(*[F.sum(m).alias(f"_tot_{m}") for m in measures])
-    w_off = (Window.partitionBy(*group_cols).orderBy("_bucket")
-             .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*part, *[F.coalesce(F.sum(f"_tot_{m}").over(w_off), F.lit(0)).alias(f"_off_{m}")
-                                     for m in measures])
-    # offsets has <= groups x n_buckets rows: bounded by parameters, safe to broadcast
-    joined = local.join(F.broadcast(offsets), part, "inner")
-    out = joined.select(*df.columns, *[(F.col(f"_off_{m}") + F.col(f"_loc_{m}")).alias(f"{prefix}{m}")
-                                       for m in measures])
-    return out
+    parts = n_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(order_key).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in tie_breakers]]
+    ranged = reliable_checkpoint(
+        df.repartitionByRange(parts, *[F.col(g).asc_nulls_first() for g in group_cols], *order)
+        .withColumn("_part", F.spark_partition_id()))
+    key = [*group_cols, "_part"]
+    within = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.select("*", *[F.sum(m).over(within).alias(f"_loc_{m}") for m in measures])
+    before = Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*key).agg(*[F.sum(m).alias(f"_tot_{m}") for m in measures])
+    offsets = totals.select(*[F.col(k).alias(f"_at_{k}") for k in key],
+                            *[F.coalesce(F.sum(f"_tot_{m}").over(before), F.lit(0)).alias(f"_off_{m}") for m in measures])
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_at_{k}"))
+    return local.join(offsets, same).select(
+        *df.columns, *[(F.col(f"_off_{m}") + F.col(f"_loc_{m}")).alias(f"{prefix}{m}") for m in measures])
 
 
 def value_counts(df: DataFrame, value_col: str, group_cols: list[str] | tuple = (), keep_nulls: bool = False,
@@ -115,7 +76,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_col
 
     Returns one row per group with ``out_col`` = array of quantiles in
     ``probs`` order. Groups with no non-null value produce no row.
-    Work per task is bounded: values are first collapsed to (value, count)
+    Groups are matched by equality: name a NULL group before the call. Work per task is bounded: values are first collapsed to (value, count)
     with map-side combine (or passed in as ``counts`` with columns
     group..., _v, _n), then ranked with :func:`running_totals`.
     """
@@ -139,13 +100,12 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_col
         F.struct(F.lit(0).alias("_side"), F.col("_lo").alias("_rank")),
         F.struct(F.lit(1).alias("_side"), F.col("_hi").alias("_rank")))).alias("_t")
     ).select(*g, "_j", "_t._side", "_t._rank")
-    # groups x probs x 2 rows: parameter-sized build side
-    hit = ranked.join(F.broadcast(want), g, "inner").where(
+    hit = ranked.join(want, g, "inner").where(
         (F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("cum__n")))
     vals = hit.groupBy(*g, "_j").agg(
         F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_vlo"),
         F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_vhi"))
-    q = vals.join(F.broadcast(targets.select(*g, "_j", "_frac")), g + ["_j"]).select(
+    q = vals.join(targets.select(*g, "_j", "_frac"), g + ["_j"]).select(
         *g, "_j", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("_q"))
     out = q.groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("_j", "_q"))).alias("_s"))
     out = out.select(*g, F.transform("_s", lambda s: s["_q"]).alias(out_col))
@@ -171,14 +131,20 @@ def quantile_edges_multi(df: DataFrame, cols: list[str], probs: list[float], n_b
     return {c: got.get(c) for c in cols}
 
 
-def bucket_by_edges(x: Column, edges: list[float]) -> Column:
-    """1-based label index: 1 + #edges strictly below x; NULL stays NULL."""
-    if not edges:
-        return F.when(x.isNull(), F.lit(None).cast("int")).otherwise(F.lit(1))
-    arr = F.array(*[F.lit(float(e)) for e in edges])
-    return F.when(x.isNull(), F.lit(None).cast("int")).otherwise(
-        F.size(F.filter(arr, lambda e: x > e)) + 1)
+def count_below(x: Column, edges: Sequence[float], inclusive: bool = False) -> Column:
+    """Number of edges below x (or equal, if ``inclusive``): a balanced CASE tree, so codegen and log(edges) comparisons."""
+    edges = sorted(float(e) for e in edges)
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        above = (x >= F.lit(edges[mid])) if inclusive else (x > F.lit(edges[mid]))
+        return F.when(above, tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
+    return tree(0, len(edges))
 
-def ceil_int(x: float) -> int:
-    return int(math.ceil(x))
+
+def bucket_by_edges(x: Column, edges: list[float]) -> Column:
+    """1-based label index: 1 + #edges strictly below x; NULL stays NULL."""
+    return F.when(x.isNotNull(), count_below(x, edges or []) + 1)

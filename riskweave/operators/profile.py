@@ -59,10 +59,11 @@ def missingness(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def column_types(df: DataFrame) -> DataFrame:
-    """(column, dtype) with Spark's type names (a documented difference from NumPy names)."""
-    spark = df.sparkSession
-    return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema.fields],
-                                 "column string, dtype string")
+    """(column, dtype, n_present): Spark's type name and the number of non-null values, in one aggregate."""
+    row = df.agg(*[F.count(F.col(f"`{f.name}`")).alias(f"_{i}") for i, f in enumerate(df.schema.fields)])
+    pairs = [F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"), F.col(f"_{i}").alias("n_present"))
+             for i, f in enumerate(df.schema.fields)]
+    return row.select(F.explode(F.array(*pairs)).alias("s")).select("s.*")
 
 
 def target_stats(df: DataFrame, target: str = "TARGET") -> DataFrame:

@@ -7,13 +7,14 @@ broadcast. ``mapInPandas`` explains Arrow batches of assembled feature
 vectors on the executors and emits long (feature, |shap|) rows; the mean
 per feature is an ordinary ``groupBy``. Rows never visit the driver.
 
-Algorithm: Lundberg, Erion & Lee, "Consistent Individualized Feature
-Attribution for Tree Ensembles" (2018), Algorithm 2, with node covers
-from the training counts. Values are in the booster's margin space
-(Spark's link is 1 / (1 + exp(-2F))), tree weights multiplied in.
+Values are path-dependent Shapley values (Lundberg, Erion & Lee, 2018) with
+node covers from the training counts, summed leaf by leaf from the Shapley
+formula and vectorised over the rows of a batch. They are in the booster's
+margin space (Spark's link is 1 / (1 + exp(-2F))), tree weights multiplied in.
 """
 from __future__ import annotations
 
+import math
 import os
 import uuid
 
@@ -33,11 +34,13 @@ def tree_table(model: PipelineModel) -> tuple[list[dict], list[float]]:
     gbt = model.stages[-1]
     spark = SparkSession.getActiveSession()
     path = os.path.join(ensure_checkpoint_dir(spark), f"shap-model-{uuid.uuid4().hex}")
-    gbt.write().overwrite().save(path)
+    gbt.write().overwrite().save(path)   # goes when the rows are read
     nodes = spark.read.parquet(os.path.join(path, "data")).select(
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.rawCount", "nodeData.leftChild",
         "nodeData.rightChild", "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold",
         "nodeData.split.numCategories").toPandas()
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
     trees = []
     for tid, g in nodes.groupby("treeID"):
         g = g.sort_values("id")
@@ -64,74 +67,54 @@ def tree_table(model: PipelineModel) -> tuple[list[dict], list[float]]:
     return trees, list(gbt.treeWeights)
 
 
-def _goes_left(t: dict, i: int, x: np.ndarray) -> bool:
-    v = x[t["feat"][i]]
-    if t["cats"][i] is not None:
-        return float(v) in t["cats"][i]
-    return v <= t["thr"][i]
+def _leaf_paths(t: dict) -> list[tuple[float, list[tuple]]]:
+    """(value, [(feature, tests, share)]) of every reachable leaf: tests on the path grouped by feature.
+
+    share is the product of child / parent covers of a feature's splits: the weight of the leaf's side
+    where the feature is not known.
+    """
+    out, stack = [], [(t["root"], {})]
+    while stack:
+        node, path = stack.pop()
+        if t["left"][node] < 0:
+            out.append((float(t["value"][node]), [(f, tuple(tests), share) for f, (tests, share) in path.items()]))
+            continue
+        f, whole = int(t["feat"][node]), t["cover"][node] if t["cover"][node] > 0 else 1.0
+        for child, left in ((t["left"][node], True), (t["right"][node], False)):
+            tests, share = path.get(f, ((), 1.0))
+            stack.append((child, path | {f: ((*tests, (t["thr"][node], t["cats"][node], left)), share * t["cover"][child] / whole)}))
+    return out
+
+
+def _satisfied(x: np.ndarray, tests: tuple) -> np.ndarray:
+    """Which values of one feature pass all tests of a path."""
+    ok = np.ones(len(x), bool)
+    for threshold, categories, left in tests:
+        ok &= ((np.isin(x, list(categories)) if categories is not None else x <= threshold) == left)
+    return ok
 
 
 def _tree_shap(t: dict, x: np.ndarray, phi: np.ndarray, weight: float) -> None:
-    """Accumulate weight * SHAP values of one tree for one row into phi (Algorithm 2)."""
-    left, right, feat, value, cover = t["left"], t["right"], t["feat"], t["value"], t["cover"]
-
-    def extend(path, pz, po, pi):
-        path = [list(e) for e in path]
-        path.append([pi, pz, po, 1.0 if not path else 0.0])
-        d = len(path) - 1
-        for i in range(d - 1, -1, -1):
-            path[i + 1][3] += po * path[i][3] * (i + 1) / (d + 1)
-            path[i][3] = pz * path[i][3] * (d - i) / (d + 1)
-        return path
-
-    def unwind(path, k):
-        path = [list(e) for e in path]
-        d = len(path) - 1
-        po, pz = path[k][2], path[k][1]
-        n = path[d][3]
-        for i in range(d - 1, -1, -1):
-            if po != 0:
-                tmp = path[i][3]
-                path[i][3] = n * (d + 1) / ((i + 1) * po)
-                n = tmp - path[i][3] * pz * (d - i) / (d + 1)
-            else:
-                path[i][3] = path[i][3] * (d + 1) / (pz * (d - i))
-        for i in range(k, d):
-            path[i][0], path[i][1], path[i][2] = path[i + 1][0], path[i + 1][1], path[i + 1][2]
-        return path[:-1]
-
-    def unwound_sum(path, k):
-        d = len(path) - 1
-        po, pz = path[k][2], path[k][1]
-        n = path[d][3]
-        total = 0.0
-        for i in range(d - 1, -1, -1):
-            if po != 0:
-                tmp = n * (d + 1) / ((i + 1) * po)
-                total += tmp
-                n = path[i][3] - tmp * pz * (d - i) / (d + 1)
-            else:
-                total += path[i][3] / (pz * (d - i) / (d + 1))
-        return total
-
-    def recurse(j, path, pz, po, pi):
-        path = extend(path, pz, po, pi)
-        if left[j] < 0:
-            for i in range(1, len(path)):
-                w = unwound_sum(path, i)
-                phi[path[i][0]] += weight * w * (path[i][2] - path[i][1]) * value[j]
-            return
-        hot, cold = (left[j], right[j]) if _goes_left(t, j, x) else (right[j], left[j])
-        iz, io = 1.0, 1.0
-        k = next((i for i in range(1, len(path)) if path[i][0] == feat[j]), None)
-        if k is not None:
-            iz, io = path[k][1], path[k][2]
-            path = unwind(path, k)
-        rj = cover[j] if cover[j] > 0 else 1.0
-        recurse(hot, path, iz * cover[hot] / rj, io, feat[j])
-        recurse(cold, path, iz * cover[cold] / rj, 0.0, feat[j])
-
-    recurse(t["root"], [], 1.0, 1.0, -1)
+    """Add weight * SHAP values of one tree for all rows of x to phi.
+
+    A leaf with value v and m path features adds, for feature i, v * (o_i - z_i) * sum over subsets S of the
+    others of |S|! (m - 1 - |S|)! / m! * prod(o_j in S) * prod(z_j not in S), with o_j whether the row passes
+    feature j's tests and z_j its share. The sum needs only the coefficients of prod(z_j + o_j u) in u, so it is
+    a few vector products over the rows.
+    """
+    for value, path in t["paths"]:
+        m = len(path)
+        if not m or value == 0.0:
+            continue
+        ones = [_satisfied(x[:, f], tests).astype(float) for f, tests, _ in path]
+        sizes = [math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)]
+        for i, (f, _, share) in enumerate(path):
+            poly = [np.ones(len(x))]
+            for j, (_, _, z) in enumerate(path):
+                if j != i:
+                    poly = [(poly[k] * z if k < len(poly) else 0.0) + (poly[k - 1] * ones[j] if k else 0.0)
+                            for k in range(len(poly) + 1)]
+            phi[:, f] += weight * value * (ones[i] - share) * sum(w * c for w, c in zip(sizes, poly, strict=True))
 
 
 def expected_margin(trees: list[dict], weights: list[float]) -> float:
@@ -147,42 +130,56 @@ def expected_margin(trees: list[dict], weights: list[float]) -> float:
 
 def explain_rows(trees: list[dict], weights: list[float], X: np.ndarray) -> np.ndarray:
     phi = np.zeros((X.shape[0], X.shape[1]))
-    for r in range(X.shape[0]):
-        for t, w in zip(trees, weights):
-            _tree_shap(t, X[r], phi[r], w)
+    for t, w in zip(trees, weights):
+        if "paths" not in t:
+            t["paths"] = _leaf_paths(t)
+        _tree_shap(t, X, phi, w)
     return phi
 
 
-def shap_values(model: PipelineModel, df: DataFrame, names: list[str], id_col: str = "SK_ID_CURR") -> DataFrame:
-    """Long table (id, feature, shap) of margin-space SHAP values for every row of ``df``."""
-    trees, weights = tree_table(model)
-    bc = df.sparkSession.sparkContext.broadcast((trees, weights, names))
-    src = df
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        # a bounded explanation sample (top-k output) arrives as one partition: spread it so the
-        # Python kernel runs on every core instead of one task
-        src = df.repartition(par)
-    feats = model.transform(src).select(F.col(id_col).alias("_id"), vector_to_array("features").alias("_x"))
+def explain(rows: DataFrame, trees: list[dict], weights: list[float], names: list[str]) -> DataFrame:
+    """Long table (_id, feature, shap) for rows (_id, _x array<double>): margin-space values of weighted trees."""
+    bc = rows.sparkSession.sparkContext.broadcast((trees, weights, names))   # the model itself
 
     def run(batches):
         tr, ws, nm = bc.value
         for pdf in batches:
-            if pdf.empty:
-                continue
-            X = np.stack(pdf["_x"].to_numpy())
-            phi = explain_rows(tr, ws, X)
-            ids = np.repeat(pdf["_id"].to_numpy(), X.shape[1])
-            yield pd.DataFrame({"_id": ids, "feature": np.tile(np.array(nm, dtype=object), X.shape[0]),
-                                "shap": phi.reshape(-1)})
-
-    out = feats.mapInPandas(run, "_id long, feature string, shap double")
+            for at in range(0, len(pdf), 4096):
+                part = pdf.iloc[at:at + 4096]
+                X = np.stack(part["_x"].to_numpy())
+                phi = explain_rows(tr, ws, X)
+                yield pd.DataFrame({"_id": np.repeat(part["_id"].to_numpy(), X.shape[1]),
+                                    "feature": np.tile(np.array(nm, dtype=object), X.shape[0]), "shap": phi.reshape(-1)})
+
+    return rows.mapInPandas(run, "_id long, feature string, shap double")
+
+
+def linear_shap(rows: DataFrame, coefficients: list[float], names: list[str]) -> DataFrame:
+    """Long table (_id, feature, shap) of a linear margin: coefficient * (value - mean over the rows)."""
+    means = rows.agg(*[F.avg(F.col("_x")[i]).alias(f"m{i}") for i in range(len(names))]).first()
+    parts = [F.struct(F.lit(n).alias("feature"), (F.lit(float(c)) * (F.col("_x")[i] - F.lit(float(means[i] or 0.0)))).alias("shap"))
+             for i, (n, c) in enumerate(zip(names, coefficients, strict=True))]
+    return rows.select("_id", F.explode(F.array(*parts)).alias("s")).select("_id", "s.*")
+
+
+def shap_values(model: PipelineModel, df: DataFrame, names: list[str], id_col: str = "SK_ID_CURR") -> DataFrame:
+    """Long table (id, feature, shap) of margin-space SHAP values for every row of ``df``, booster or logistic."""
+    feats = model.transform(df).select(F.col(id_col).alias("_id"), vector_to_array("features").alias("_x"))
+    last = model.stages[-1]
+    if hasattr(last, "coefficients"):
+        out = linear_shap(feats, last.coefficients.toArray().tolist(), names)
+    else:
+        out = explain(feats, *tree_table(model), names)
     return out.withColumnRenamed("_id", id_col)
 
 
-def shap_importance(model: PipelineModel, sample: DataFrame, names: list[str], id_col: str = "SK_ID_CURR") -> DataFrame:
-    """Mean |SHAP| per encoded feature over the sample, ranked 1..n (ties by name)."""
+def importance(values: DataFrame) -> DataFrame:
+    """Mean |SHAP| per feature of a long table (feature, shap), ranked 1..n (ties by name)."""
     from riskweave.operators.evaluate import importance_rank
-    long = shap_values(model, sample, names, id_col)
-    imp = long.groupBy("feature").agg(F.avg(F.abs("shap")).alias("mean_abs_shap"))
+    imp = values.groupBy("feature").agg(F.avg(F.abs("shap")).alias("mean_abs_shap"))
     return importance_rank(imp, "feature", "mean_abs_shap")
+
+
+def shap_importance(model: PipelineModel, sample: DataFrame, names: list[str], id_col: str = "SK_ID_CURR") -> DataFrame:
+    """Mean |SHAP| per encoded feature over every row given, ranked 1..n (ties by name)."""
+    return importance(shap_values(model, sample, names, id_col))

@@ -154,17 +154,20 @@ RUN_ID, CREATED_AT = "20260101_000000", "2026-01-01T00:00:00+00:00"
 
 
 @register("invalid_target_values", with_ctes(
-    "SELECT DISTINCT TARGET AS invalid_value FROM enriched "
-    "WHERE TARGET IS NOT NULL AND CAST(TARGET AS DOUBLE) NOT IN (0, 1)", "enriched"))
+    "SELECT DISTINCT REGION_CODE AS invalid_value FROM enriched "
+    "WHERE REGION_CODE IS NOT NULL AND REGION_CODE <> 0 AND REGION_CODE <> 1", "enriched"))
 def q_invalid_target_values(spark, sf):
-    return checks.invalid_binary_values(enriched_applications(spark, sf), "TARGET")
+    """B2 on a column of region codes, most of which are no target."""
+    return checks.invalid_binary_values(enriched_applications(spark, sf), "REGION_CODE")
 
 
 @register("invalid_scores", with_ctes(
-    "SELECT * FROM predictions WHERE y_proba IS NULL OR isnan(y_proba) OR y_proba < 0 OR y_proba > 1 "
-    "OR y_true IS NULL", "predictions"))
+    "SELECT * FROM (SELECT application_id, y_true, CASE WHEN application_id % 50 = 0 THEN NULL ELSE y_proba * 1.25e0 END AS y_proba "
+    "FROM predictions) WHERE y_proba IS NULL OR y_proba < 0 OR y_proba > 1", "predictions"))
 def q_invalid_scores(spark, sf):
-    return checks.invalid_scores(A.predictions(spark, sf), "y_proba", "y_true")
+    """B7 on scores stretched beyond 1, some missing."""
+    stretched = F.when(F.col("application_id") % 50 != 0, F.col("y_proba") * 1.25)
+    return checks.invalid_scores(A.predictions(spark, sf).withColumn("y_proba", stretched), "y_proba", "y_true")
 
 
 @register("data_shape", with_ctes(f"SELECT count(*) AS rows, {len(O.ENRICHED_COLS)} AS columns FROM enriched",
@@ -180,7 +183,8 @@ def q_missingness(spark, sf):
     return profile.missingness(enriched_applications(spark, sf))
 
 
-@register("column_types")
+@register("column_types", with_ctes("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", '{t}' AS dtype, count({c}) AS n_present FROM enriched" for c, t in O.ENRICHED_TYPES.items()), "enriched"))
 def q_column_types(spark, sf):
     return profile.column_types(enriched_applications(spark, sf))
 
@@ -403,17 +407,17 @@ def q_age_band(spark, sf):
     return A.application(spark, sf).select("SK_ID_CURR", X.age_band(X.age_years("DAYS_BIRTH")).alias("age_band"))
 
 
-_NAMES_SQL = f"(SELECT \"column\" AS feature FROM ({O.missing_union('enriched', O.ENRICHED_COLS)}))"
+_NAMES_SQL = f"(SELECT \"column\" AS feature, round(r, 6) AS missing_ratio FROM ({O.missing_union('enriched', O.ENRICHED_COLS)}))"
 
 
 def _feature_names(spark, sf):
-    return profile.missingness(enriched_applications(spark, sf)).select(F.col("column").alias("feature"))
+    return profile.missingness(enriched_applications(spark, sf)).select(F.col("column").alias("feature"), "missing_ratio")
 
 
 @register("feature_group", with_ctes(
-    f"SELECT feature, {O.FEATURE_GROUP_SQL.format(c='feature')} AS feature_group FROM {_NAMES_SQL}", "enriched"))
+    f"SELECT feature, missing_ratio, {O.FEATURE_GROUP_SQL.format(c='feature')} AS feature_group FROM {_NAMES_SQL}", "enriched"))
 def q_feature_group(spark, sf):
-    return _feature_names(spark, sf).select("feature", X.feature_group("feature").alias("feature_group"))
+    return _feature_names(spark, sf).select("feature", "missing_ratio", X.feature_group("feature").alias("feature_group"))
 
 
 _IMP_SQL = """CASE
@@ -431,10 +435,10 @@ _IMP_SQL = """CASE
   ELSE 'Other' END"""
 
 
-@register("importance_group", with_ctes(f"SELECT feature, {_IMP_SQL} AS importance_group FROM {_NAMES_SQL}",
+@register("importance_group", with_ctes(f"SELECT feature, missing_ratio, {_IMP_SQL} AS importance_group FROM {_NAMES_SQL}",
                                         "enriched"))
 def q_importance_group(spark, sf):
-    return _feature_names(spark, sf).select("feature", X.importance_group("feature").alias("importance_group"))
+    return _feature_names(spark, sf).select("feature", "missing_ratio", X.importance_group("feature").alias("importance_group"))
 
 
 @register("missing_severity", with_ctes(f"""
@@ -448,15 +452,15 @@ def q_missing_severity(spark, sf):
 
 
 @register("clean_feature_name", with_ctes(f"""
-SELECT pref AS encoded_name, regexp_replace(pref, '^(num__|cat__)', '') AS feature FROM (
-  SELECT CASE WHEN {O.dtype_case('feature')} = 'string' THEN 'cat__' ELSE 'num__' END || feature AS pref
+SELECT pref AS encoded_name, missing_ratio, regexp_replace(pref, '^(num__|cat__)', '') AS feature FROM (
+  SELECT missing_ratio, CASE WHEN {O.dtype_case('feature')} = 'string' THEN 'cat__' ELSE 'num__' END || feature AS pref
   FROM {_NAMES_SQL})""", "enriched"))
 def q_clean_feature_name(spark, sf):
     df = enriched_applications(spark, sf)
     kinds = {f.name: ("num__" if profile.is_numeric(f.dataType) else "cat__") for f in df.schema.fields}
     kind_map = F.create_map(*[x for k, v in kinds.items() for x in (F.lit(k), F.lit(v))])
-    names = _feature_names(spark, sf).select(F.concat(kind_map[F.col("feature")], F.col("feature")).alias("encoded_name"))
-    return names.select("encoded_name", X.clean_feature_name("encoded_name").alias("feature"))
+    names = _feature_names(spark, sf).select(F.concat(kind_map[F.col("feature")], F.col("feature")).alias("encoded_name"), "missing_ratio")
+    return names.select("encoded_name", "missing_ratio", X.clean_feature_name("encoded_name").alias("feature"))
 
 
 @register("corr_direction", with_ctes(
@@ -485,11 +489,10 @@ def _dbl(x: float) -> str:
     return f"CAST({x!r} AS DOUBLE)"
 
 
-_SWEEP_TS = D.sweep_thresholds(*D.DEFAULT_SWEEP)
-_SWEEP_VALUES = ", ".join(f"({_dbl(t)})" for t in _SWEEP_TS)
-_SCEN_VALUES = ", ".join(
-    f"({i}, '{s['name']}', {_dbl(s['threshold'])}, {_dbl(s['profit_if_good'])}, {_dbl(s['loss_given_default'])})"
-    for i, s in enumerate(D.DEFAULT_SCENARIOS))
+# written out, not taken from the code under test
+_SWEEP_VALUES = ("(0.05e0), (0.1e0), (0.15e0), (0.2e0), (0.25e0), (0.3e0), (0.35e0), (0.4e0), (0.45e0), (0.5e0), (0.55e0), (0.6e0), "
+                 "(0.65e0), (0.7e0), (0.75e0), (0.8e0), (0.85e0), (0.9e0)")
+_SCEN_VALUES = "(0, 'Base', 0.2e0, 0.2e0, 1e0), (1, 'Conservative', 0.1e0, 0.2e0, 1e0), (2, 'Aggressive', 0.3e0, 0.25e0, 1e0)"
 
 _COUNTS_AT = """SELECT t.threshold, count(*) AS n,
        count(*) FILTER (WHERE y_proba < t.threshold) AS approved,
@@ -501,9 +504,9 @@ _SWEEP_BODY = f"""
 SELECT threshold,
        round(CASE WHEN n > 0 THEN CAST(approved AS DOUBLE) / n ELSE 0e0 END, 6) AS approval_rate,
        round(CASE WHEN approved > 0 THEN CAST(bad AS DOUBLE) / approved ELSE 0e0 END, 6) AS default_rate_among_approved,
-       round(good * {_dbl(D.DEFAULT_PROFIT_IF_GOOD)}, 6) AS expected_profit,
-       round(bad * {_dbl(D.DEFAULT_LOSS_GIVEN_DEFAULT)}, 6) AS expected_loss,
-       round(good * {_dbl(D.DEFAULT_PROFIT_IF_GOOD)} - bad * {_dbl(D.DEFAULT_LOSS_GIVEN_DEFAULT)}, 6) AS expected_value
+       round(good * 0.2e0, 6) AS expected_profit,
+       round(bad * 1e0, 6) AS expected_loss,
+       round(good * 0.2e0 - bad * 1e0, 6) AS expected_value
 FROM ({_COUNTS_AT.format(params=f"(VALUES {_SWEEP_VALUES})")})"""
 
 _SCEN_BODY = f"""
@@ -542,6 +545,12 @@ def q_optimal_threshold(spark, sf):
     return D.optimal_threshold(_sweep(spark, sf))
 
 
+@register("value_vs_optimal", with_ctes(
+    f"SELECT *, expected_value - max(expected_value) OVER () AS delta_vs_optimal FROM ({_SWEEP_BODY})", "predictions"))
+def q_value_vs_optimal(spark, sf):
+    return D.value_vs_optimal(_sweep(spark, sf))
+
+
 @register("portfolio_projection", with_ctes(
     f"SELECT threshold, 100e0 AS scale, expected_profit * 100e0 AS projected_profit, "
     f"expected_loss * 100e0 AS projected_loss, expected_value * 100e0 AS projected_value FROM ({_SWEEP_BODY})",
@@ -575,7 +584,7 @@ def _desc(t: str = "predictions") -> str:
             f"sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM {_SC.format(t=t)})")
 
 
-_EPS = _dbl(EV.LOG_LOSS_EPS)
+_EPS = "2.220446049250313e-16"
 _Q = f"least(greatest(y_proba, {_EPS}), 1e0 - {_EPS})"
 
 
@@ -834,6 +843,24 @@ def q_stratified_folds(spark, sf):
     return S.stratified_folds(A.application(spark, sf), 5, "TARGET", "SK_ID_CURR", 42)
 
 
+_BY_GENDER = (f"SELECT *, row_number() OVER (PARTITION BY CODE_GENDER ORDER BY {_h(7)}, SK_ID_CURR) AS rk, "
+              "count(*) OVER (PARTITION BY CODE_GENDER) AS nc FROM application")
+
+
+@register("stratified_split_null_label", with_ctes(
+    f"SELECT {_app_cols()}, CASE WHEN rk <= ceil(0.3 * nc) THEN 'test' ELSE 'train' END AS split FROM ({_BY_GENDER})", "application"))
+def q_stratified_split_null_label(spark, sf):
+    """I1 on a label with NULLs: they are a class of their own."""
+    return S.stratified_split(A.application(spark, sf), "CODE_GENDER", "SK_ID_CURR", 0.3, 7)
+
+
+@register("stratified_folds_null_label", with_ctes(
+    f"SELECT {_app_cols()}, CAST((rk - 1) % 4 AS INTEGER) AS fold FROM ({_BY_GENDER})", "application"))
+def q_stratified_folds_null_label(spark, sf):
+    """I4 on a label with NULLs."""
+    return S.stratified_folds(A.application(spark, sf), 4, "CODE_GENDER", "SK_ID_CURR", 7)
+
+
 @register("sample_rows", with_ctes(
     f"SELECT {_app_cols()} FROM application ORDER BY {_h(42)}, SK_ID_CURR LIMIT 200", "application"))
 def q_sample_rows(spark, sf):
@@ -904,9 +931,6 @@ def q_run_stamp(spark, sf):
 # ---------------------------------------------------------------- Spark ML
 from riskweave.operators import ml as M  # noqa: E402
 
-_ML_CACHE: dict = {}
-
-
 def _ml_frame(spark, sf):
     # text-shape features scan every document: materialise them once for the multi-pass ML jobs
     from riskweave.session import reliable_checkpoint
@@ -918,17 +942,11 @@ def _ml_split(spark, sf):
     return reliable_checkpoint(S.stratified_split(_ml_frame(spark, sf), "TARGET", "SK_ID_CURR", 0.2, 42))
 
 
-# a small booster so the per-round check stays quick; the defaults are M.DEFAULT_GBT_PARAMS
-QUERY_GBT_PARAMS = {"n_estimators": 20, "learning_rate": 0.1, "num_leaves": 15, "subsample": 0.8,
-                    "colsample_bytree": 0.8, "min_child_samples": 5, "class_weight": "balanced",
-                    "random_state": 42}
-
-
 def _fit(spark, sf, model_type="gbt", params=None):
     split = _ml_split(spark, sf)
     train = split.where(F.col("split") == "train").drop("split")
     num, cat = M.feature_lists(train)
-    model, eff, names = M.train_classifier(train, num, cat, model_type, params or QUERY_GBT_PARAMS)
+    model, eff, names = M.train_classifier(train, num, cat, model_type, params)
     return split, model, eff, names
 
 
@@ -953,14 +971,20 @@ def q_class_weights(spark, sf):
     return M.class_weights(enriched_applications(spark, sf), "TARGET")
 
 
-@register("one_hot", round_digits=None)
+@register("one_hot", """
+SELECT l.doc_id AS SK_ID_CURR, dense_rank() OVER (ORDER BY coalesce(lang, '__null__')) - 1 AS NAME_LANG_slot, 1e0 AS NAME_LANG_sum,
+       dense_rank() OVER (ORDER BY coalesce(source, '__null__')) - 1 AS NAME_SOURCE_slot, 1e0 AS NAME_SOURCE_sum
+FROM labels l JOIN documents d USING (doc_id)""", round_digits=None)
 def q_one_hot(spark, sf):
+    """Where the one of each encoded vector stands, and the vector's sum."""
     from pyspark.ml import Pipeline
     df = _ml_frame(spark, sf)
     _, cat = M.feature_lists(df)
-    model = Pipeline(stages=M.one_hot_stages(cat)).fit(df)
-    out = model.transform(df)
-    return out.select("SK_ID_CURR", *[vector_to_array_col(f"{c}__ohe") for c in cat])
+    out = Pipeline(stages=M.one_hot_stages(cat)).fit(df).transform(df).select(
+        "SK_ID_CURR", *[vector_to_array_col(f"{c}__ohe") for c in cat])
+    return out.select("SK_ID_CURR", *[e for c in cat for e in (
+        (F.array_position(f"{c}_onehot", F.lit(1.0)) - 1).alias(f"{c}_slot"),
+        F.aggregate(f"{c}_onehot", F.lit(0.0), lambda a, x: a + x).alias(f"{c}_sum"))])
 
 
 def vector_to_array_col(c: str):
@@ -986,23 +1010,45 @@ def q_train_logreg_metrics(spark, sf):
     return _metrics_row(spark, sf, "logreg")
 
 
-@register("predictions", round_digits=None)
+# a published scorecard: intercept, then (coefficient, value where missing) per column
+_CARD = (-2.0, {"AMT_INCOME_TOTAL": (2e-5, 40000.0), "BUREAU_N_CREDITS": (0.05, 0.0), "BUREAU_ACTIVE_RATIO": (1.5, 0.5),
+                "INST_LATE_RATE": (0.8, 0.3)})
+_CARD_SQL = """(SELECT SK_ID_CURR, TARGET, 1e0 / (1e0 + exp(-(-2e0 + 2e-5 * coalesce(AMT_INCOME_TOTAL, 4e4) + 0.05e0 * coalesce(BUREAU_N_CREDITS, 0e0)
+  + 1.5e0 * coalesce(BUREAU_ACTIVE_RATIO, 0.5e0) + 0.8e0 * coalesce(INST_LATE_RATE, 0.3e0)))) AS y_proba FROM enriched)"""
+
+
+@register("predictions", with_ctes(f"""
+SELECT '{RUN_ID}' AS run_id, '{CREATED_AT}' AS created_at, SK_ID_CURR AS application_id, TARGET AS y_true, round(y_proba, 6) AS y_proba,
+       CASE WHEN y_proba <= q[1] THEN 'Low' WHEN y_proba <= q[2] THEN 'Medium' ELSE 'High' END AS risk_band
+FROM {_CARD_SQL}, (SELECT quantile_cont(y_proba, [1e0 / 3, 2e0 / 3]) AS q FROM {_CARD_SQL})""", "enriched"), round_digits=None)
 def q_predictions(spark, sf):
-    split, model, _, _ = _fit(spark, sf)
-    scored = M.score(model, split.drop("split"))
-    return M.predictions_table(scored, RUN_ID, CREATED_AT)
+    """The predictions contract over scorecard probabilities of all applicants."""
+    return M.predictions_table(M.score_linear(enriched_applications(spark, sf), *_CARD), RUN_ID, CREATED_AT)
 
 
-@register("calibrated_predictions")
+@register("calibrated_predictions", with_ctes("""
+SELECT application_id, y_true, s AS score, m.cal AS y_proba_calibrated FROM (SELECT *, floor(y_proba * 20) / 20e0 AS s FROM predictions) JOIN (
+  WITH k AS (SELECT floor(y_proba * 20) / 20e0 AS s, sum(y_true) AS y, count(*) AS n FROM predictions WHERE application_id % 2 = 0 GROUP BY 1),
+  a AS (SELECT lo.s AS lo, hi.s AS hi, sum(k.y) / sum(k.n) AS v FROM k lo, k hi, k WHERE lo.s <= hi.s AND k.s BETWEEN lo.s AND hi.s GROUP BY 1, 2),
+  b AS (SELECT k.s, a.lo, min(a.v) AS v FROM k JOIN a ON a.lo <= k.s AND a.hi >= k.s GROUP BY 1, 2)
+  SELECT s, max(v) AS cal FROM b GROUP BY s) m USING (s)""", "predictions"))
 def q_calibrated_predictions(spark, sf):
+    """Isotonic on every other applicant's coarse score, applied to all whose score it has met."""
+    coarse = A.predictions(spark, sf).withColumn("score", F.floor(F.col("y_proba") * 20) / 20.0)
+    calib = coarse.where("application_id % 2 = 0")
+    out = M.calibrate(M.fit_isotonic(calib, "score", "y_true"), coarse.join(calib.select("score").distinct(), "score", "left_semi"), "score")
+    return out.select("application_id", "y_true", "score", "y_proba_calibrated")
+
+
+@register("calibrated_booster")
+def q_calibrated_booster(spark, sf):
+    """Booster on the fit slice, isotonic on the calibration slice, scores of the test slice."""
     parts = S.three_way_split(_ml_frame(spark, sf), "TARGET", "SK_ID_CURR", 0.2, 0.25, 42)
     fit = parts.where(F.col("split") == "fit").drop("split")
     num, cat = M.feature_lists(fit)
-    model, _, _ = M.train_classifier(fit, num, cat, "gbt", QUERY_GBT_PARAMS)
-    calib = M.score(model, parts.where(F.col("split") == "calib").drop("split"))
-    test = M.score(model, parts.where(F.col("split") == "test").drop("split"))
-    iso = M.fit_isotonic(calib, "y_proba", "TARGET")
-    cal = M.calibrate(iso, test, "y_proba", "y_proba_calibrated")
+    model, _, _ = M.train_classifier(fit, num, cat, "gbt")
+    calib, test = (M.score(model, parts.where(F.col("split") == x).drop("split")) for x in ("calib", "test"))
+    cal = M.calibrate(M.fit_isotonic(calib, "y_proba", "TARGET"), test, "y_proba", "y_proba_calibrated")
     return cal.select("SK_ID_CURR", "TARGET", "y_proba", "y_proba_calibrated")
 
 
@@ -1011,26 +1057,64 @@ def q_tuning_results(spark, sf):
     split = _ml_split(spark, sf)
     train = split.where(F.col("split") == "train").drop("split")
     num, cat = M.feature_lists(train)
-    return M.tune(train, num, cat, n_trials=3, n_folds=2, max_estimators=10, parallelism=2)
+    return M.tune(train, num, cat)
+
 
+# a fixed tree: income <= 40000 ? (credits <= 8 ? 0.5 : -0.25) : 1, with covers 100 = 40 (30 + 10) + 60
+def _fixed_tree() -> dict:
+    import numpy as np
+    return {"left": np.array([1, 3, -1, -1, -1]), "right": np.array([2, 4, -1, -1, -1]), "feat": np.array([0, 1, -1, -1, -1]),
+            "thr": np.array([40000.0, 8.0, 0, 0, 0]), "cats": [None] * 5, "value": np.array([0, 0, 1.0, 0.5, -0.25]),
+            "cover": np.array([100.0, 40.0, 60.0, 30.0, 10.0]), "root": 0}
+
+
+def _tree_values(spark, sf):
+    from riskweave.operators import shap as SH
+    rows = enriched_applications(spark, sf).select(
+        F.col("SK_ID_CURR").alias("_id"), F.array(F.col("AMT_INCOME_TOTAL"), F.col("BUREAU_N_CREDITS").cast("double")).alias("_x"))
+    return SH.explain(rows, [_fixed_tree()], [1.0], ["AMT_INCOME_TOTAL", "BUREAU_N_CREDITS"])
 
-@register("split_importance")
-def q_split_importance(spark, sf):
-    _, model, _, names = _fit(spark, sf)
-    return M.split_importance(model, names)
 
+# f(both), f(income only), f(credits only), f(neither): unknown features go by the covers
+_SHAP_SQL = """(SELECT SK_ID_CURR, 0.5e0 * (b - c) + 0.5e0 * (i - 0.725e0) AS s0, 0.5e0 * (b - i) + 0.5e0 * (c - 0.725e0) AS s1 FROM (
+  SELECT SK_ID_CURR, CASE WHEN AMT_INCOME_TOTAL <= 4e4 THEN CASE WHEN BUREAU_N_CREDITS <= 8 THEN 0.5e0 ELSE -0.25e0 END ELSE 1e0 END AS b,
+         CASE WHEN AMT_INCOME_TOTAL <= 4e4 THEN 0.3125e0 ELSE 1e0 END AS i,
+         0.4e0 * CASE WHEN BUREAU_N_CREDITS <= 8 THEN 0.5e0 ELSE -0.25e0 END + 0.6e0 AS c FROM enriched))"""
 
-@register("shap_importance")
+
+@register("shap_values", with_ctes(f"""
+SELECT SK_ID_CURR, 'AMT_INCOME_TOTAL' AS feature, round(s0, 6) AS shap FROM {_SHAP_SQL} UNION ALL
+SELECT SK_ID_CURR, 'BUREAU_N_CREDITS' AS feature, round(s1, 6) AS shap FROM {_SHAP_SQL}""", "enriched"))
+def q_shap_values(spark, sf):
+    """Values of a fixed two-level tree for all applicants."""
+    return _tree_values(spark, sf).withColumnRenamed("_id", "SK_ID_CURR")
+
+
+@register("shap_importance", with_ctes(f"""
+SELECT feature, round(v, 6) AS mean_abs_shap, CAST(row_number() OVER (ORDER BY v DESC, feature) AS INTEGER) AS rank FROM (
+SELECT 'AMT_INCOME_TOTAL' AS feature, avg(abs(s0)) AS v FROM {_SHAP_SQL} UNION ALL
+SELECT 'BUREAU_N_CREDITS', avg(abs(s1)) FROM {_SHAP_SQL})""", "enriched"))
 def q_shap_importance(spark, sf):
+    from riskweave.operators import shap as SH
+    return SH.importance(_tree_values(spark, sf))
+
+
+@register("booster_explained")
+def q_booster_explained(spark, sf):
+    """One booster with default parameters; every test row explained, with split gains beside."""
     from riskweave.operators import shap as SH
     split, model, _, names = _fit(spark, sf)
     test = split.where(F.col("split") == "test").drop("split")
-    sample = S.sample_rows(test, 5000, "SK_ID_CURR", 42)
-    return SH.shap_importance(model, sample, names)
+    gains = M.split_importance(model, names).select("feature", F.col("importance").alias("split_importance"), F.col("rank").alias("split_rank"))
+    return SH.shap_importance(model, test, names).join(gains, "feature")
 
 
 # ---------------------------------------------------------------- sources (A2, B5 companions)
-@register("load_sources")
+@register("load_sources", """
+SELECT 'base' AS source, count(*) AS n_rows, 5 AS n_cols FROM customer UNION ALL
+SELECT 'orders', count(*), 6 FROM orders UNION ALL
+SELECT 'lineitem', count(*), 11 FROM lineitem UNION ALL
+SELECT 'events', count(*), 6 FROM events""")
 def q_load_sources(spark, sf):
     """A2: enabled+present sources are loaded, disabled and missing ones skipped; one row per source."""
     import os

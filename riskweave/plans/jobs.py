@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from riskweave.operators import checks, decisions as D, evaluate as EV, ml as M, profile, rollup, sampling as S
 from riskweave.operators import segments, shap as SH
 from riskweave.session import ensure_checkpoint_dir, reliable_checkpoint
-from riskweave.sources.io import (SourcesConfig, load_sources, model_run_row, new_run_stamp, read_table,
+from riskweave.sources.io import (SourcesConfig, load_sources, model_run_row, new_run_stamp, path_exists, read_table,
                                   run_stamp, save_model, write_contract)
 
 DASHBOARD_REQUIRED = ["AMT_INCOME_TOTAL", "DAYS_BIRTH", "AMT_CREDIT", "CODE_GENDER", "TARGET"]
@@ -51,12 +51,10 @@ def build_features(spark: SparkSession, cfg: SourcesConfig, out_path: str, fmt:
 def make_dashboard_tables(df: DataFrame, out_dir: str, run_id: str | None = None, created_at: str | None = None,
                           fmt: str = "csv") -> dict[str, str]:
     """KPI overview, missingness by feature, population segments, feature summary, correlations."""
-    checks.validate_binary(df, "TARGET")
     checks.require_columns(df, DASHBOARD_REQUIRED, "application table")
+    checks.validate_binary(df, "TARGET")
     if run_id is None or created_at is None:
         run_id, created_at = new_run_stamp()
-    # five builders share one input: materialise it once instead of re-running its lineage five times
-    df = reliable_checkpoint(df)
     outs = {
         "kpi_overview": profile.kpi_overview(df, run_id, created_at),
         "missingness_by_feature": profile.missingness_by_feature(df),
@@ -71,9 +69,18 @@ def train_simulate(df: DataFrame, out_dir: str, model_type: str = "gbt", params:
                    label: str = "champion", target: str = "TARGET", id_col: str = "SK_ID_CURR",
                    test_size: float = 0.2, seed: int = 42, business_threshold: float = 0.2,
                    sweep: tuple[float, float, float] = D.DEFAULT_SWEEP, profit_if_good: float = 0.2,
-                   loss_given_default: float = 1.0, shap_rows: int = 5000, fmt: str = "csv") -> dict[str, str]:
-    """Train, evaluate on a stratified test split, explain, score everything, sweep thresholds."""
+                   loss_given_default: float = 1.0, shap_rows: int | None = None,
+                   config: dict | None = None, fmt: str = "csv") -> dict[str, str]:
+    """Train, evaluate on a stratified test split, explain, score everything, sweep thresholds.
+
+    Every test row is explained; shap_rows limits that to a sample. A champion run ends with the comparison
+    to the baseline's metrics, if there are any.
+    """
     spark = df.sparkSession
+    checks.validate_model_config(config if config is not None else {
+        "model": {"type": model_type, "params": params or {}}, "split": {"test_size": test_size, "random_state": seed},
+        "business": {"profit_if_good": profit_if_good, "loss_given_default": loss_given_default},
+        "thresholds": dict(zip(("start", "stop", "step"), sweep))})
     checks.require_columns(df, [target, id_col])
     checks.validate_binary(df, target)
     t0 = time.time()
@@ -82,7 +89,8 @@ def train_simulate(df: DataFrame, out_dir: str, model_type: str = "gbt", params:
     test = split.where(F.col("split") == "test").drop("split")
     num, cat = M.feature_lists(df, target, id_col)
     model, effective, names = M.train_classifier(train, num, cat, model_type, params, target)
-    test_scored = reliable_checkpoint(M.score(model, test))
+    test_scored = reliable_checkpoint(M.score(model, test).select(id_col, target, "y_proba"))
+    checks.validate_scores(test_scored, "y_proba")
     written: dict[str, str] = {}
     metrics = EV.classification_metrics(test_scored, target, "y_proba")
     written[f"metrics_{label}"] = write_contract(metrics, _out(out_dir, f"metrics_{label}"), fmt, True)
@@ -91,15 +99,12 @@ def train_simulate(df: DataFrame, out_dir: str, model_type: str = "gbt", params:
         fmt, True)
     written["calibration_bins"] = write_contract(
         EV.calibration_bins(test_scored, target, "y_proba"), _out(out_dir, "calibration_bins"), fmt, True)
-    if effective == "gbt":
-        imp = SH.shap_importance(model, S.sample_rows(test, shap_rows, id_col, seed), names, id_col)
-    else:
-        imp = M.split_importance(model, names) if hasattr(model.stages[-1], "featureImportances") else None
-    if imp is not None:
-        written["feature_importance_shap"] = write_contract(imp, _out(out_dir, "feature_importance_shap"), fmt, True)
+    explained = test if shap_rows is None else S.sample_rows(test, shap_rows, id_col, seed)
+    written["feature_importance_shap"] = write_contract(
+        SH.shap_importance(model, explained, names, id_col), _out(out_dir, "feature_importance_shap"), fmt, True)
     save_model(model, _out(out_dir, f"model_{label}"))
     run_id, created_at = new_run_stamp()
-    scored_all = reliable_checkpoint(M.score(model, df))
+    scored_all = reliable_checkpoint(M.score(model, df).select(id_col, target, "y_proba"))
     written["predictions"] = write_contract(
         M.predictions_table(scored_all, run_id, created_at, id_col, target), _out(out_dir, "predictions"), fmt)
     written["decision_simulation"] = write_contract(
@@ -110,6 +115,8 @@ def train_simulate(df: DataFrame, out_dir: str, model_type: str = "gbt", params:
     model_run_row(spark, run_id=run_id, created_at=created_at, label=label, model_type=effective,
                   numeric_features=num, categorical_features=cat, metrics=m,
                   train_seconds=time.time() - t0).write.mode("append").parquet(written["runs"])
+    if label == "champion" and (compared := compare_metrics(spark, out_dir, fmt)):
+        written["metrics_compare"] = compared
     return written
 
 
@@ -118,11 +125,11 @@ def compare_metrics(spark: SparkSession, out_dir: str, fmt: str = "csv",
                     champion: str = "Champion (class_weight=balanced)") -> str | None:
     """metrics_compare from the two labelled metric tables; skipped if either is missing."""
     paths = {baseline: _out(out_dir, "metrics_baseline"), champion: _out(out_dir, "metrics_champion")}
-    if not all(os.path.exists(p) for p in paths.values()):
+    if not all(path_exists(spark, p) for p in paths.values()):
         return None
-    reader = (lambda p: spark.read.option("header", True).option("inferSchema", True).csv(p)) if fmt == "csv" \
-        else spark.read.parquet
-    cmp = EV.metrics_compare({k: reader(p) for k, p in paths.items()})
+    names = ("auc_roc", "average_precision", "brier_score", "log_loss")
+    tables = {k: read_table(spark, p, fmt=fmt).select(*[F.col(n).cast("double").alias(n) for n in names]) for k, p in paths.items()}
+    cmp = EV.metrics_compare(tables)
     return write_contract(cmp, _out(out_dir, "metrics_compare"), fmt, True)
 
 
@@ -136,7 +143,8 @@ def calibrate(df: DataFrame, out_dir: str, params: dict | None = None, target: s
     calib = M.score(model, parts.where(F.col("split") == "calib").drop("split"))
     test = M.score(model, parts.where(F.col("split") == "test").drop("split"))
     iso = M.fit_isotonic(calib, "y_proba", target)
-    cal = reliable_checkpoint(M.calibrate(iso, test, "y_proba", "y_proba_calibrated"))
+    cal = reliable_checkpoint(M.calibrate(iso, test, "y_proba", "y_proba_calibrated")
+                              .select(id_col, target, "y_proba", "y_proba_calibrated"))
     out = {
         "calibration_metrics": EV.calibration_report(cal, "y_proba", "y_proba_calibrated", target),
         "calibration_curve": EV.reliability_curve(cal, {"raw": "y_proba", "calibrated": "y_proba_calibrated"},
@@ -155,7 +163,7 @@ def tune(df: DataFrame, out_dir: str, n_trials: int = 24, n_folds: int = 2, samp
     if sample_size:
         train = S.stratified_sample(train, sample_size, target, id_col, seed)
     num, cat = M.feature_lists(df, target, id_col)
-    res = M.tune(train, num, cat, None, n_trials, n_folds, max_estimators, target, seed)
+    res = M.tune(train, num, cat, None, n_trials, n_folds, max_estimators, target, seed, id_col)
     return write_contract(res, _out(out_dir, "tuning_results"), fmt, True)
 
 

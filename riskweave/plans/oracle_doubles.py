@@ -22,9 +22,11 @@ DOUBLE_COLUMNS = {'age_band': [],
  'calibration_bins': ['predicted_midpoint', 'actual_default_rate'],
  'calibration_report': ['auc_roc', 'raw_brier', 'calibrated_brier', 'raw_log_loss', 'calibrated_log_loss',
                         'brier_improvement'],
+ 'calibrated_predictions': ['score', 'y_proba_calibrated'],
  'class_weights': ['weight'],
  'classification_metrics': ['auc_roc', 'average_precision', 'brier_score', 'log_loss'],
- 'clean_feature_name': [],
+ 'clean_feature_name': ['missing_ratio'],
+ 'column_types': [],
  'confusion_matrix': ['threshold', 'precision', 'recall'],
  'corr_direction': ['corr_with_target'],
  'correlation_top': ['corr_with_target'],
@@ -40,7 +42,7 @@ DOUBLE_COLUMNS = {'age_band': [],
                          'CC_UTILIZATION_MEAN', 'CC_DPD_MEAN'],
  'f1_score': ['threshold', 'precision', 'recall', 'f1'],
  'fairness_report': ['approval_rate', 'tpr', 'approval_rate_gap', 'tpr_gap'],
- 'feature_group': [],
+ 'feature_group': ['missing_ratio'],
  'feature_summary': ['missing_rate', 'mean', 'std', 'p05', 'p50', 'p95', 'top1_rate', 'top2_rate'],
  'feature_summary_categorical': ['missing_rate', 'mean', 'std', 'p05', 'p50', 'p95', 'top1_rate',
                                  'top2_rate'],
@@ -48,7 +50,7 @@ DOUBLE_COLUMNS = {'age_band': [],
  'gini': ['gini'],
  'headline_metrics': ['default_rate', 'champion_auc', 'auc_delta_vs_baseline', 'gini', 'ks_statistic'],
  'importance_by_group': ['importance'],
- 'importance_group': [],
+ 'importance_group': ['missing_ratio'],
  'importance_rank': ['importance'],
  'impute_median': ['median'],
  'invalid_scores': ['y_proba'],
@@ -89,4 +91,8 @@ DOUBLE_COLUMNS = {'age_band': [],
  'threshold_sweep': ['threshold', 'approval_rate', 'default_rate_among_approved', 'expected_profit',
                      'expected_loss', 'expected_value'],
  'top_missing_features': ['missing_rate'],
- 'utilization': ['utilization']}
+ 'utilization': ['utilization'],
+ 'load_sources': [], 'one_hot': [], 'predictions': ['y_proba'], 'shap_importance': ['mean_abs_shap'], 'shap_values': ['shap'],
+ 'stratified_folds_null_label': ['AMT_INCOME_TOTAL', 'AMT_CREDIT'], 'stratified_split_null_label': ['AMT_INCOME_TOTAL', 'AMT_CREDIT'],
+ 'value_vs_optimal': ['threshold', 'approval_rate', 'default_rate_among_approved', 'expected_profit', 'expected_loss', 'expected_value',
+                      'delta_vs_optimal']}

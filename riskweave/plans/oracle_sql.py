@@ -28,25 +28,25 @@ SELECT o_custkey AS SK_ID_CURR, o_orderkey AS SK_ID_BUREAU,
        o_orderkey % 7 AS CREDIT_DAY_OVERDUE,
        CASE WHEN o_orderkey % 7 > 4 THEN o_totalprice * 1e-1 ELSE 0e0 END AS AMT_CREDIT_SUM_OVERDUE,
        {DAYS.format(c='o_orderdate')} AS DAYS_CREDIT
-FROM orders WHERE o_custkey % 5 <> 0""",
+FROM orders""",
     "bureau_balance": """
 SELECT l_orderkey AS SK_ID_BUREAU, -l_linenumber AS MONTHS_BALANCE,
        CASE WHEN l_linestatus = 'F' THEN 'C' ELSE CAST(l_linenumber % 6 AS VARCHAR) END AS STATUS
-FROM lineitem WHERE l_orderkey % 4 <> 0""",
+FROM lineitem""",
     "previous_application": f"""
 SELECT o_custkey AS SK_ID_CURR,
        CASE o_orderstatus WHEN 'F' THEN 'Approved' WHEN 'P' THEN 'Refused' ELSE NULL END AS NAME_CONTRACT_STATUS,
        CASE WHEN o_orderkey % 10 = 0 THEN 0e0 ELSE o_totalprice END AS AMT_APPLICATION,
        CASE o_orderstatus WHEN 'P' THEN 0e0 ELSE o_totalprice * 9e-1 END AS AMT_CREDIT,
        {DAYS.format(c='o_orderdate')} AS DAYS_DECISION
-FROM orders WHERE o_custkey % 7 <> 0""",
+FROM orders""",
     "installments_payments": f"""
 SELECT o_custkey AS SK_ID_CURR,
        {DAYS.format(c='o_orderdate')} AS DAYS_INSTALMENT,
        CASE WHEN l_linenumber = 5 THEN NULL ELSE {DAYS.format(c='l_shipdate')} END AS DAYS_ENTRY_PAYMENT,
        CASE WHEN l_partkey % 13 = 0 THEN 0e0 ELSE l_extendedprice END AS AMT_INSTALMENT,
        l_extendedprice * (1e0 - l_discount) AS AMT_PAYMENT
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 6 <> 0""",
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "pos_cash_balance": """
 SELECT user_id AS SK_ID_CURR,
        CASE WHEN event_type = 'error' THEN CAST(floor(value) AS INTEGER) WHEN event_type = 'signup' THEN NULL ELSE 0 END AS SK_DPD
@@ -55,11 +55,11 @@ FROM events""",
 SELECT user_id AS SK_ID_CURR, value AS AMT_BALANCE,
        CASE WHEN event_type = 'signup' THEN 0e0 ELSE 1e2 END AS AMT_CREDIT_LIMIT_ACTUAL,
        CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS SK_DPD
-FROM events WHERE user_id % 3 <> 0""",
+FROM events""",
     "predictions": """
 SELECT c_custkey AS application_id,
        CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS y_true,
-       round(7.5e-1 * (((c_custkey * 7919) % 1009) / 1009e0) + CASE WHEN c_acctbal < 0 THEN 2.4e-1 ELSE 0e0 END, 6) AS y_proba
+       round(7.5e-1 * (CASE WHEN c_custkey % 8 = 0 THEN (c_custkey % 97) / 97e0 ELSE ((c_custkey * 7919) % 999983) / 999983e0 END) + CASE WHEN c_acctbal < 0 THEN 2.4e-1 ELSE 0e0 END, 6) AS y_proba
 FROM customer""",
     "predictions_baseline": """
 SELECT c_custkey AS application_id,

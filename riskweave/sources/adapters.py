@@ -1,10 +1,10 @@
 """Driver tables reshaped to the lending schemas (customer = applicant, orders = credits, ...).
 
 The driver's TPC-H-ish tables carry no NULLs, so these projections also
-plant the traps the lending operators must survive: join misses, zero
-denominators, NULL statuses, score ties and a constant column. Each is a
-pure projection/filter (plus one equi-join) that Catalyst prunes and
-pushes into the Parquet scan.
+plant the traps the lending operators must survive: zero denominators,
+NULL statuses, score ties and a constant column (customers without orders
+or events are the join misses). Each is a pure projection of whole tables
+(plus one equi-join) that Catalyst prunes down to the columns needed.
 """
 from __future__ import annotations
 
@@ -18,15 +18,8 @@ from riskweave.sources.io import table_path
 EPOCH = "2001-12-31"
 
 
-_READS: dict = {}
-
-
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Plan-level memo of the parquet relation (schema inference once per session and path)."""
-    key = (id(spark), spark.sparkContext.applicationId, table_path(sf_dir, name))
-    if key not in _READS:
-        _READS[key] = spark.read.parquet(table_path(sf_dir, name))
-    return _READS[key]
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 def _days_since_epoch(col: str) -> Column:
@@ -58,7 +51,7 @@ def application(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bureau(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _read(spark, sf_dir, "orders")
     st, key, price = F.col("o_orderstatus"), F.col("o_orderkey"), F.col("o_totalprice")
-    return o.where(F.col("o_custkey") % 5 != 0).select(
+    return o.select(
         F.col("o_custkey").alias("SK_ID_CURR"),
         key.alias("SK_ID_BUREAU"),
         F.when(st == "O", "Active").when(st == "F", "Closed").alias("CREDIT_ACTIVE"),
@@ -72,7 +65,7 @@ def bureau(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bureau_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _read(spark, sf_dir, "lineitem")
-    return li.where(F.col("l_orderkey") % 4 != 0).select(
+    return li.select(
         F.col("l_orderkey").alias("SK_ID_BUREAU"),
         (-F.col("l_linenumber")).alias("MONTHS_BALANCE"),
         F.when(F.col("l_linestatus") == "F", F.lit("C"))
@@ -83,7 +76,7 @@ def bureau_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def previous_application(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _read(spark, sf_dir, "orders")
     st, key, price = F.col("o_orderstatus"), F.col("o_orderkey"), F.col("o_totalprice")
-    return o.where(F.col("o_custkey") % 7 != 0).select(
+    return o.select(
         F.col("o_custkey").alias("SK_ID_CURR"),
         F.when(st == "F", "Approved").when(st == "P", "Refused").alias("NAME_CONTRACT_STATUS"),
         F.when(key % 10 == 0, F.lit(0.0)).otherwise(price).alias("AMT_APPLICATION"),
@@ -95,7 +88,7 @@ def previous_application(spark: SparkSession, sf_dir: str) -> DataFrame:
 def installments_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_extendedprice", "l_discount")
-    o = _read(spark, sf_dir, "orders").where(F.col("o_custkey") % 6 != 0).select(
+    o = _read(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate")
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
     return j.select(
@@ -120,7 +113,7 @@ def pos_cash_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def credit_card_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _read(spark, sf_dir, "events").where(F.col("user_id") % 3 != 0)
+    e = _read(spark, sf_dir, "events")
     et = F.col("event_type")
     return e.select(
         F.col("user_id").alias("SK_ID_CURR"),
@@ -131,14 +124,15 @@ def credit_card_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score table with ties (1009 distinct base scores) and a class-dependent lift."""
+    """Score table with a continuous base score per applicant (one in eight tied at a coarse value) and a class-dependent lift."""
     c = _read(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     lift = F.when(F.col("c_acctbal") < 0, F.lit(0.24)).otherwise(F.lit(0.0))
     return c.select(
         k.alias("application_id"),
         _target().alias("y_true"),
-        rround(F.lit(0.75) * (((k * 7919) % 1009) / F.lit(1009.0)) + lift, 6).alias("y_proba"),
+        rround(F.lit(0.75) * F.when(k % 8 == 0, (k % 97) / F.lit(97.0)).otherwise(
+            ((k * 7919) % 999983) / F.lit(999983.0)) + lift, 6).alias("y_proba"),
     )
 
 

@@ -25,7 +25,7 @@ def normalize_nan(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -34,15 +34,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
                fmt: str | None = None) -> DataFrame:
-    """A1: lazily read a Parquet or CSV table; a missing path raises FileNotFoundError."""
-    if not _exists(spark, path):
+    """A1: lazily read a Parquet or CSV table; a missing path raises FileNotFoundError.
+
+    CSV without a schema is read as strings under its header's names (one pass, no inference).
+    """
+    if not path_exists(spark, path):
         raise FileNotFoundError(f"table not found: {path}")
     fmt = fmt or ("csv" if path.lower().endswith(".csv") else "parquet")
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        df = reader.option("header", True).option("inferSchema", schema is None).csv(path)
+        df = reader.option("header", True).csv(path)
     else:
         df = reader.format(fmt).load(path)
     return normalize_nan(df)
@@ -74,7 +77,7 @@ def load_sources(spark: SparkSession, cfg: SourcesConfig) -> tuple[DataFrame, di
     for name, spec in cfg.sources.items():
         if not spec.enabled:
             continue
-        if not _exists(spark, spec.path):
+        if not path_exists(spark, spec.path):
             LOG.warning("source %r enabled but missing (%s); skipping", name, spec.path)
             continue
         loaded[name] = read_table(spark, spec.path, spec.schema, spec.fmt)
@@ -162,7 +165,3 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
-
-
-def col_or_none(df: DataFrame, name: str) -> Column | None:
-    return F.col(name) if name in df.columns else None

@@ -10,6 +10,9 @@ from riskweave.sources.io import SourceSpec, SourcesConfig, load_model, read_tab
 from tests.conftest import SMOKE
 
 
+SMALL_BOOSTER = {"n_estimators": 10, "learning_rate": 0.1, "num_leaves": 15, "class_weight": "balanced", "random_state": 42}
+
+
 def test_flows_write_contracts(spark):
     out = tempfile.mkdtemp(prefix="rw-jobs-")
     app = catalog.enriched_applications(spark, SMOKE)
@@ -19,7 +22,11 @@ def test_flows_write_contracts(spark):
     kpi = spark.read.option("header", True).csv(d["kpi_overview"]).collect()[0]
     assert kpi["run_id"] == "r1" and int(kpi["n_cols"]) == len(app.columns)
     ml = A.ml_frame(spark, SMOKE)
-    t = jobs.train_simulate(ml, out, params=catalog.QUERY_GBT_PARAMS, shap_rows=50)
+    b = jobs.train_simulate(ml, out, "logreg", {"max_iter": 20}, "baseline")
+    assert os.path.exists(b["feature_importance_shap"]) and "metrics_compare" not in b
+    t = jobs.train_simulate(ml, "file://" + out, params=SMALL_BOOSTER)
+    t = {k: v.removeprefix("file://") for k, v in t.items()}
+    assert spark.read.option("header", True).csv(t["metrics_compare"]).count() >= 2
     for k in ("metrics_champion", "confusion_matrix", "calibration_bins", "predictions", "decision_simulation"):
         assert os.path.exists(t[k]), k
     preds = spark.read.option("header", True).option("inferSchema", True).csv(t["predictions"])
