@@ -8,6 +8,8 @@ so they are read from ``df.schema`` at plan-build time.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from riskweave.functions.expr import rround
 from pyspark.sql import types as T
 
 from riskweave.functions import expr as X
-from riskweave.operators.ordered import exact_quantiles
+from riskweave.operators.ordered import running_totals
 from riskweave.session import reliable_checkpoint
 
 SUMMARY_PROBS = [0.05, 0.5, 0.95]
@@ -109,60 +111,89 @@ def missingness_by_feature(df: DataFrame) -> DataFrame:
                     X.feature_group(F.col("column")).alias("feature_group"))
 
 
-def feature_value_counts(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
-    """ONE pass over the table: (feature, dv, sv, _n) occurrences of every value of every column.
+#: Rank resolution of the quantile sketch, and the margin in its units that brackets a quantile for sure.
+SKETCH_ACCURACY = 10_000
+SKETCH_MARGIN = 5
+
+
+def category_counts(df: DataFrame, categorical: list[str]) -> DataFrame:
+    """(feature, value, c): occurrences of every value of the categorical columns, NULL included, map-side combined."""
+    entries = [F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("string").alias("value")) for c in categorical]
+    long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.feature", "e.value")
+    return reliable_checkpoint(long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c")))
 
-    Numeric columns fill ``dv`` (as double), categorical ones ``sv`` (as
-    string); NULL values are kept so totals and missing rates come from the
-    same table. The result (at most rows x columns, usually far fewer) is
-    checkpointed once and feeds every summary pass.
+
+def _refined_quantiles(wide: DataFrame, brackets: list[tuple]) -> dict[tuple[str, int], float]:
+    """Exact quantiles from brackets (column, probability index, low, high, first rank, second rank, fraction).
+
+    One aggregate counts the values below each bracket; only values inside a bracket (about a thousandth of the
+    rows) are grouped and ranked. At most two values per bracket reach the driver.
     """
-    entries = [F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("dv"),
-                        F.lit(None).cast("string").alias("sv")) for c in numeric]
-    entries += [F.struct(F.lit(c).alias("feature"), F.lit(None).cast("double").alias("dv"),
-                         F.col(f"`{c}`").cast("string").alias("sv")) for c in categorical]
-    long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.feature", "e.dv", "e.sv")
-    return reliable_checkpoint(long.groupBy("feature", "dv", "sv").agg(F.count(F.lit(1)).alias("_n")))
-
-
-def _numeric_summary(df: DataFrame, counts: DataFrame, exact: bool, n_buckets: int | None) -> DataFrame:
-    v, c = F.col("_v"), F.col("_n")
-    tot = counts.groupBy("feature").agg(
-        F.sum(c).alias("_rows"),
-        F.sum(F.when(v.isNotNull(), c)).alias("n"),
-        F.sum(F.when(v.isNotNull(), v * c)).alias("_s"))
-    tot = tot.withColumn("n", F.coalesce("n", F.lit(0))).withColumn(
-        "mean", F.try_divide(F.col("_s"), F.col("n").cast("double")))
-    # one row per feature (schema-bounded): broadcast
-    dev = counts.where(v.isNotNull()).join(F.broadcast(tot.select("feature", F.col("mean").alias("_m"))), "feature")
-    m2 = dev.groupBy("feature").agg(F.sum(c * F.pow(v - F.col("_m"), 2)).alias("_m2"))
-    stats = tot.join(F.broadcast(m2), "feature", "left").withColumn(
-        "std", F.when(F.col("n") > 1, F.sqrt(F.col("_m2") / (F.col("n") - 1))))
-    if exact:
-        q = exact_quantiles(None, "_v", SUMMARY_PROBS, ["feature"], n_buckets=n_buckets, counts=counts)
-    else:
-        q = (counts.where(v.isNotNull()).groupBy("feature")
-             .agg(F.percentile_approx("_v", SUMMARY_PROBS, 10_000).cast("array<double>").alias("quantiles")))
-    out = stats.join(F.broadcast(q), "feature", "left")
-    return out.select(
+    if not brackets:
+        return {}
+    below = wide.agg(*[F.count_if(F.col(f"`{c}`") < F.lit(lo)).alias(f"b{k}") for k, (c, _, lo, *_) in enumerate(brackets)]).first()
+    inside = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.when(F.col(f"`{c}`").between(lo, hi), F.col(f"`{c}`")).alias("v"))
+                                for k, (c, _, lo, hi, *_) in enumerate(brackets)]), lambda e: e["v"].isNotNull())
+    counts = (wide.select(F.explode(inside).alias("e")).select("e.k", "e.v").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")))
+    ranked = running_totals(counts, "v", ["n"], ["k"])
+    wanted = wide.sparkSession.createDataFrame(
+        [(k, side, r - below[f"b{k}"]) for k, x in enumerate(brackets) for side, r in enumerate(x[4:6])], "k int, side int, r long")
+    got = {(x["k"], x["side"]): x["v"] for x in ranked.join(wanted, "k").where("cum_n - n <= r and r < cum_n").select("k", "side", "v").collect()}
+    out = {}
+    for k, (c, j, _, _, _, _, fraction) in enumerate(brackets):
+        if (k, 0) not in got or (k, 1) not in got:
+            raise RuntimeError(f"the sketch did not bracket quantile {j} of {c}")
+        out[c, j] = got[k, 0] + (got[k, 1] - got[k, 0]) * fraction
+    return out
+
+
+def _numeric_summary(df: DataFrame, wide: DataFrame, numeric: list[str], exact: bool) -> DataFrame:
+    """Wide aggregates (no row is multiplied) for counts, moments and quantile sketches; then the brackets are refined."""
+    row = wide.agg(F.count(F.lit(1)).alias("rows"), *[e for i, c in enumerate(numeric) for e in (
+        F.count(f"`{c}`").alias(f"n{i}"), F.avg(f"`{c}`").alias(f"m{i}"), F.stddev_samp(f"`{c}`").alias(f"s{i}"))]).first()
+
+    def around(n: int) -> list[float]:
+        margin = SKETCH_MARGIN / SKETCH_ACCURACY + 2 / n if exact and n else 0.0
+        return [min(1.0, max(0.0, p + d)) for p in SUMMARY_PROBS for d in (-margin, margin)]
+
+    sketch = wide.agg(*[F.percentile_approx(f"`{c}`", around(row[f"n{i}"]), SKETCH_ACCURACY).alias(f"q{i}")
+                        for i, c in enumerate(numeric)]).first()                             # one row each, schema-bounded
+    quantiles, brackets = {}, []
+    for i, c in enumerate(numeric):
+        for j, p in enumerate(SUMMARY_PROBS if row[f"n{i}"] else ()):
+            lo, hi = sketch[f"q{i}"][2 * j:2 * j + 2]
+            at = p * (row[f"n{i}"] - 1)
+            if lo == hi:
+                quantiles[c, j] = lo
+            else:
+                brackets.append((c, j, lo, hi, int(at), math.ceil(at), at - int(at)))
+    quantiles |= _refined_quantiles(wide, brackets)
+    rows = [(c, row["rows"], row[f"n{i}"], row[f"m{i}"], row[f"s{i}"] if row[f"n{i}"] > 1 else None,
+             *(quantiles.get((c, j)) for j in range(len(SUMMARY_PROBS)))) for i, c in enumerate(numeric)]
+    stats = df.sparkSession.createDataFrame(
+        rows, "feature string, _rows long, n long, mean double, std double, p05 double, p50 double, p95 double")
+    return stats.select(
         "feature", _dtype_map(df)[F.col("feature")].alias("dtype"), "n",
-        rround((F.col("_rows") - F.col("n")) / F.col("_rows"), 6).alias("missing_rate"),
-        rround("mean", 6).alias("mean"), rround("std", 6).alias("std"),
-        *[rround(F.col("quantiles")[i], 6).alias(name) for i, name in enumerate(["p05", "p50", "p95"])],
+        rround(F.try_divide((F.col("_rows") - F.col("n")).cast("double"), F.col("_rows").cast("double")), 6).alias("missing_rate"),
+        *[rround(c, 6).alias(c) for c in ("mean", "std", "p05", "p50", "p95")],
         F.lit(None).cast("string").alias("top1"), F.lit(None).cast("double").alias("top1_rate"),
         F.lit(None).cast("string").alias("top2"), F.lit(None).cast("double").alias("top2_rate"),
         X.feature_group(F.col("feature")).alias("feature_group"))
 
 
+def _as_doubles(df: DataFrame, numeric: list[str]) -> list:
+    return [F.col(f"`{c}`").cast("double").alias(c) for c in numeric]
+
+
 def _categorical_summary(df: DataFrame, allvc: DataFrame) -> DataFrame:
     """Top-2 via ``min(struct(-count, value))`` twice — partially aggregated, no per-feature window."""
     base = allvc.groupBy("feature").agg(F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("c"))),
                                                    F.lit(0)).alias("n"), F.sum("c").alias("_rows"))
     vc = allvc.where(F.col("value").isNotNull())
     top1 = vc.groupBy("feature").agg(F.min(F.struct((-F.col("c")).alias("nc"), F.col("value").alias("v"))).alias("t1"))
-    rest = vc.join(F.broadcast(top1), "feature").where(F.col("value") != F.col("t1.v"))
+    rest = vc.join(top1, "feature").where(F.col("value") != F.col("t1.v"))
     top2 = rest.groupBy("feature").agg(F.min(F.struct((-F.col("c")).alias("nc"), F.col("value").alias("v"))).alias("t2"))
-    out = base.join(F.broadcast(top1), "feature", "left").join(F.broadcast(top2), "feature", "left")
+    out = base.join(top1, "feature", "left").join(top2, "feature", "left")
     rate = lambda t: rround(F.try_divide((-F.col(f"{t}.nc")).cast("double"), F.col("n").cast("double")) * 100, 4)
     return out.select(
         "feature", _dtype_map(df)[F.col("feature")].alias("dtype"), "n",
@@ -173,27 +204,18 @@ def _categorical_summary(df: DataFrame, allvc: DataFrame) -> DataFrame:
         X.feature_group(F.col("feature")).alias("feature_group"))
 
 
-def feature_summary_numeric(df: DataFrame, exact: bool = True, n_buckets: int | None = None) -> DataFrame:
-    """E9 numeric part: n, missing_rate, mean, sample std, p05/p50/p95 (linear), round 6.
-
-    Totals and mean come from one aggregate over the value-count table, the
-    sample variance from a second, numerically stable pass (sum of
-    c * (v - mean)^2), quantiles by distributed rank.
-    """
+def feature_summary_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
+    """E9 numeric part: n, missing_rate, mean, sample std, p05/p50/p95 (linear), round 6; the numeric columns are written once."""
     num, _ = split_columns(df)
     if not num:
         return _empty_summary(df)
-    counts = feature_value_counts(df, num, []).select("feature", F.col("dv").alias("_v"), "_n")
-    return _numeric_summary(df, counts, exact, n_buckets)
+    return _numeric_summary(df, reliable_checkpoint(df.select(*_as_doubles(df, num))), num, exact)
 
 
 def feature_summary_categorical(df: DataFrame) -> DataFrame:
     """E9 categorical part: two most frequent values and their % of non-null rows (ties: value asc)."""
     _, cat = split_columns(df)
-    if not cat:
-        return _empty_summary(df)
-    counts = feature_value_counts(df, [], cat).select("feature", F.col("sv").alias("value"), F.col("_n").alias("c"))
-    return _categorical_summary(df, counts)
+    return _categorical_summary(df, category_counts(df, cat)) if cat else _empty_summary(df)
 
 
 def _empty_summary(df: DataFrame) -> DataFrame:
@@ -203,19 +225,15 @@ def _empty_summary(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], schema)
 
 
-def feature_summary(df: DataFrame, exact: bool = True, n_buckets: int | None = None) -> DataFrame:
-    """Numeric stats or categorical tops per column, other kind's cells NULL — one table pass."""
+def feature_summary(df: DataFrame, exact: bool = True) -> DataFrame:
+    """Numeric stats or categorical tops per column, other kind's cells NULL — the table is written once and read in passes."""
     num, cat = split_columns(df)
     if not num and not cat:
         return _empty_summary(df)
-    counts = feature_value_counts(df, num, cat)
-    parts = []
-    if num:
-        parts.append(_numeric_summary(df, counts.where(F.col("feature").isin(num))
-                                      .select("feature", F.col("dv").alias("_v"), "_n"), exact, n_buckets))
+    wide = reliable_checkpoint(df.select(*_as_doubles(df, num), *[F.col(f"`{c}`") for c in cat]))
+    parts = [_numeric_summary(df, wide, num, exact)] if num else []
     if cat:
-        parts.append(_categorical_summary(df, counts.where(F.col("feature").isin(cat))
-                                          .select("feature", F.col("sv").alias("value"), F.col("_n").alias("c"))))
+        parts.append(_categorical_summary(df, category_counts(wide, cat)))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 

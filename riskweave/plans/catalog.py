@@ -1040,18 +1040,6 @@ def q_calibrated_predictions(spark, sf):
     return out.select("application_id", "y_true", "score", "y_proba_calibrated")
 
 
-@register("calibrated_booster")
-def q_calibrated_booster(spark, sf):
-    """Booster on the fit slice, isotonic on the calibration slice, scores of the test slice."""
-    parts = S.three_way_split(_ml_frame(spark, sf), "TARGET", "SK_ID_CURR", 0.2, 0.25, 42)
-    fit = parts.where(F.col("split") == "fit").drop("split")
-    num, cat = M.feature_lists(fit)
-    model, _, _ = M.train_classifier(fit, num, cat, "gbt")
-    calib, test = (M.score(model, parts.where(F.col("split") == x).drop("split")) for x in ("calib", "test"))
-    cal = M.calibrate(M.fit_isotonic(calib, "y_proba", "TARGET"), test, "y_proba", "y_proba_calibrated")
-    return cal.select("SK_ID_CURR", "TARGET", "y_proba", "y_proba_calibrated")
-
-
 @register("tuning_results")
 def q_tuning_results(spark, sf):
     split = _ml_split(spark, sf)
@@ -1099,14 +1087,14 @@ def q_shap_importance(spark, sf):
     return SH.importance(_tree_values(spark, sf))
 
 
-@register("booster_explained")
-def q_booster_explained(spark, sf):
-    """One booster with default parameters; every test row explained, with split gains beside."""
+@register("split_importance")
+def q_split_importance(spark, sf):
+    """Split gains of a booster with default parameters, and its mean |SHAP| over every test row."""
     from riskweave.operators import shap as SH
     split, model, _, names = _fit(spark, sf)
     test = split.where(F.col("split") == "test").drop("split")
-    gains = M.split_importance(model, names).select("feature", F.col("importance").alias("split_importance"), F.col("rank").alias("split_rank"))
-    return SH.shap_importance(model, test, names).join(gains, "feature")
+    shap = SH.shap_importance(model, test, names).select("feature", "mean_abs_shap", F.col("rank").alias("shap_rank"))
+    return M.split_importance(model, names).join(shap, "feature")
 
 
 # ---------------------------------------------------------------- sources (A2, B5 companions)

@@ -53,7 +53,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if not (sc.master == "local" or sc.master.startswith("local[")):   # local-cluster has executors of its own
         raise RuntimeError(
             "spark.checkpoint.dir is not set; point it at a shared folder "
             "(HDFS/S3/ABFS) so lineage cuts survive executor loss")
@@ -65,14 +65,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable (shared-storage) checkpoint, never a local one.
 
-    The rows are persisted for the duration of the write: without it the
-    eager checkpoint computes the upstream plan twice (once for the count
-    that triggers it, once for the files).
+    The eager checkpoint runs the plan once, to write its files.
     """
-    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return held.checkpoint(eager=True)
-    finally:
-        held.unpersist(blocking=False)
+    return df.checkpoint(eager=True)
