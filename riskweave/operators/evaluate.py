@@ -32,12 +32,10 @@ def fold_rows(dfs: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).agg(*[F.max(c).alias(c) for c, _ in cols])
 
 
-def class_totals(df: DataFrame, y: str = "y_true", p: str = "y_proba") -> tuple[int, int]:
-    """(positives, negatives) among scored rows: two numbers, parameter-sized."""
-    yc = F.col(y).cast("int")
-    r = (df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
-         .agg(F.sum((yc == 1).cast("long")).alias("P"), F.sum((yc == 0).cast("long")).alias("N")).collect()[0])
-    return int(r["P"] or 0), int(r["N"] or 0)
+def class_totals(cumulated: DataFrame) -> tuple[int, int]:
+    """(positives, negatives) from a cumulated score table: two numbers."""
+    r = cumulated.agg(F.max("cum_pos"), F.max("cum_neg")).first()
+    return int(r[0] or 0), int(r[1] or 0)
 
 
 def score_counts(df: DataFrame, y: str = "y_true", p: str = "y_proba") -> DataFrame:
@@ -75,8 +73,8 @@ def average_precision(df: DataFrame, y: str = "y_true", p: str = "y_proba", n_bu
 
 def ks_statistic(df: DataFrame, y: str = "y_true", p: str = "y_proba", n_buckets: int | None = None) -> DataFrame:
     """G1: max |CDF_bad - CDF_good| over distinct scores, round 4; NULL with one class only."""
-    P, N = class_totals(df, y, p)
     c = _cum(df, y, p, descending=False, n_buckets=n_buckets)
+    P, N = class_totals(c)
     if P == 0 or N == 0:
         return c.agg(F.lit(None).cast("double").alias("ks_statistic"))
     gap = F.abs(F.col("cum_pos") / F.lit(float(P)) - F.col("cum_neg") / F.lit(float(N)))
@@ -85,8 +83,8 @@ def ks_statistic(df: DataFrame, y: str = "y_true", p: str = "y_proba", n_buckets
 
 def roc_curve(df: DataFrame, y: str = "y_true", p: str = "y_proba", n_buckets: int | None = None) -> DataFrame:
     """(threshold, fpr, tpr) per distinct score, descending, plus the (inf, 0, 0) origin."""
-    P, N = class_totals(df, y, p)
     c = _cum(df, y, p, descending=True, n_buckets=n_buckets)
+    P, N = class_totals(c)
     body = c.select(F.col("score").alias("threshold"),
                     F.try_divide(F.col("cum_neg").cast("double"), F.lit(float(N))).alias("fpr"),
                     F.try_divide(F.col("cum_pos").cast("double"), F.lit(float(P))).alias("tpr"))
