@@ -2,8 +2,8 @@
 
 Sentences end at a line's end, or after a word that ends in ``.``, ``!`` or ``?``. From every sentence
 a span slides on until it holds at least ``SENTENCES`` sentences and ``WORDS`` words; its words are
-hashed, blanks between them aside. Span hashes are counted over all documents (pre-aggregated in every
-task), only spans that repeat are joined back, and every sentence that lies in a repeated span which is
+hashed, blanks between them aside. Counts and first occurrences of span hashes are taken over all documents
+(pre-aggregated in every task) and joined back where a span repeats; every sentence that lies in a repeated span which is
 not the span's first occurrence (by doc_id, then place) is removed. A very common span costs each task one
 count and its join side is split by the engine's skew join.
 
@@ -107,11 +107,9 @@ def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WOR
     path = f"{ensure_checkpoint_dir(spark)}/spans-{uuid.uuid4().hex}"
     base.select("did", "tid", "text").mapInArrow(_spans(sentences, words), _SPAN).write.parquet(path)
     every = spark.read.schema(_SPAN).parquet(path)
-    again = every.groupBy("span").agg(F.count("*").alias("n")).where("n > 1").select("span")
-    met = every.join(again, "span")
-    lead = met.groupBy("span").agg(F.min("did").alias("did0"))
-    lead = (met.join(lead, "span").where("did = did0").groupBy("span", "did0").agg(F.min("place").alias("place0")))
-    gone = (met.join(lead, "span").where("did <> did0 or place <> place0")
+    first = (every.groupBy("span").agg(F.count("*").alias("n"), F.min(F.struct("did", "place")).alias("first"))
+             .where("n > 1").select("span", F.col("first.did").alias("did0"), F.col("first.place").alias("place0")))
+    gone = (every.join(first, "span").where("did <> did0 or place <> place0")
             .select("did", F.expr("place & 2147483647").alias("tid"), F.expr("cast(shiftright(place, 31) as int)").alias("first"), "last")
             .groupBy("did", "tid").agg(F.collect_list(F.struct("first", "last")).alias("gone")))
     return base.join(gone, ["did", "tid"], "left").select("doc_id", "text", "gone").mapInArrow(
