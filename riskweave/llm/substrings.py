@@ -266,7 +266,8 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, key_rows: int = K
     wanted = (units.join(counts, "half").withColumn("salt", salt).withColumn("cut", F.col("n_half") > key_rows)
               .groupBy("did", "tid").agg(F.collect_list(F.struct("first", "n", "off", "half", "salt", "cut")).alias("units")))
     texts = base.repartition(parts, "did", "tid")  # moved once, read by both joins
-    contexts = texts.join(wanted, ["did", "tid"]).select("did", "tid", "text", "units").mapInArrow(
+    # all columns of texts are taken along, so that both joins have the same exchange
+    contexts = texts.join(wanted, ["did", "tid"]).select("did", "tid", "text", "units", "doc_id").mapInArrow(
         _contexts(length), "lead long, half long, salt int, cut boolean, did long, tid long, first int, n int, off int, bytes binary")
     found = (contexts.repartitionByRange(parts, "lead", "half", "salt").sortWithinPartitions("lead", "half", "salt")
              .mapInArrow(_bucket(length), "did long, tid long, start long, end long, w1 long, w2 long, sure boolean"))
