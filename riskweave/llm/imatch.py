@@ -8,8 +8,8 @@ a bit set of ``SLOTS`` bits, one hash each: a rare term outside the lexicon pass
 then, the same one everywhere.
 
 A fingerprint hashes the sorted distinct lexicon terms of a text under several subsets of the lexicon:
-the whole, and ``DRAWS`` draws of randomised subsets. A draw halves the lexicon again and again
-(``LEVELS`` times, by bits of a seeded hash, passing over a half in which the text has no term) and
+the whole, and ``DRAWS`` draws of randomised subsets. A draw quarters the lexicon again and again
+(``LEVELS`` times, by seeded hashes, passing over a quarter in which the text has no term) and
 hashes the terms left at the end, so long and short texts all find a subset of a fitting density.
 Likeness is the share of equal subset hashes. A text without lexicon terms uses all its terms.
 
@@ -32,13 +32,13 @@ from riskweave.session import reliable_checkpoint
 IDF_BAND = (1.6, 6.2)
 SLOTS = 1 << 18
 DRAWS = 16
-LEVELS = 16
+LEVELS = 8
 
 
 def terms(text: Column) -> Column:
-    """Sorted distinct 64-bit hashes of the terms of a text."""
+    """Distinct 64-bit hashes of the terms of a text."""
     words = F.split(F.lower(text), r"[\x20\x09-\x0D]+")
-    return F.array_remove(F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))), F.xxhash64(F.lit("")))
+    return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def lexicon(docs: DataFrame, band=IDF_BAND) -> str:
@@ -56,26 +56,26 @@ def lexicon(docs: DataFrame, band=IDF_BAND) -> str:
 def fingerprint(text: Column, lexicon_sql: str) -> Column:
     """DRAWS + 1 subset hashes of a text; none if it has no term."""
     of = F.expr(lexicon_sql)
-    every = terms(text)
 
     def known(x):
         word = F.element_at(of, (F.shiftright(x.bitwiseAND(F.lit(SLOTS - 1)), 6) + 1).cast("int"))
         return F.getbit(word, x.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-    kept = F.filter(every, known)
-    kept = F.transform(F.array(F.struct(every.alias("every"), kept.alias("kept"))),
-                       lambda s: F.when(F.size(s["kept"]) > 0, s["kept"]).otherwise(s["every"]))[0]
+    def bound(value, then):  # a value that is used several times is computed once
+        return F.transform(F.array(value), then)[0]
 
     def thinned(ids, r, j):
-        left = F.filter(ids, lambda x: F.getbit(F.xxhash64(x, r), j) == 0)
-        return F.transform(F.array(left), lambda n: F.when(F.size(n) > 0, n).otherwise(ids))[0]
+        left = F.filter(ids, lambda x: F.xxhash64(x, r, j).bitwiseAND(F.lit(3)) == 0)
+        return bound(left, lambda n: F.when(F.size(n) > 0, n).otherwise(ids))
 
     def draw(r, ids):
-        return F.xxhash64(F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), ids, lambda left, j: thinned(left, r, j)))
+        return F.xxhash64(F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), ids, lambda left, j: F.when(
+            F.size(left) > 1, thinned(left, r, j)).otherwise(left)))
 
-    return F.transform(F.array(kept), lambda ids: F.when(F.size(ids) > 0, F.concat(
+    kept = bound(terms(text), lambda t: bound(F.filter(t, known), lambda k: F.array_sort(F.when(F.size(k) > 0, k).otherwise(t))))
+    return bound(kept, lambda ids: F.when(F.size(ids) > 0, F.concat(
         F.array(F.xxhash64(ids)), F.transform(F.sequence(F.lit(1), F.lit(DRAWS)), lambda r: draw(r, ids)))).otherwise(
-        F.array().cast("array<bigint>")))[0]
+        F.array().cast("array<bigint>")))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -88,8 +88,15 @@ def as_string(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda x: F.lower(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))))), ".")
 
 
+def in_order():
+    return Window.partitionBy("bucket").orderBy("copy", F.col("doc_id").asc_nulls_first(), F.col("text"))
+
+
 def successors(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, fp, next_text, next_fp) from (doc_id, text, fp): each row and the one after it by doc_id."""
+    """(bucket, copy, doc_id, text, next_text) from (doc_id, text): each row and the text after it by doc_id.
+
+    Rows stand in order inside their bucket; one that is marked as a copy is the next bucket's first.
+    """
     spark: SparkSession = docs.sparkSession
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
@@ -102,20 +109,17 @@ def successors(docs: DataFrame) -> DataFrame:
     bucket = F.when(F.col("doc_id").isNull() | (below == 0), F.lit(0)).otherwise(
         start + F.size(F.filter(F.slice(fine, start + 1, F.lit(stride)), lambda c: c <= F.col("doc_id"))))
     rows = docs.withColumn("bucket", bucket)
-    order = (F.col("doc_id").asc_nulls_first(), F.col("text"))
     # at most one row a bucket from here on: the smallest id of each, then its first text
     ids = rows.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))).alias("low"))
     ids = reliable_checkpoint(ids.select(F.col("bucket").alias("of"), "low.id"))
     heads = (rows.join(F.broadcast(ids), (F.col("bucket") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
-             .groupBy("bucket").agg(F.min_by(F.struct("doc_id", "text", "fp"), "text").alias("head")))
+             .groupBy("bucket").agg(F.min_by(F.struct("doc_id", "text"), "text").alias("head")))
     around = Window.orderBy("bucket")
     whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select("bucket", F.coalesce(F.lead("head").over(around), F.first("head").over(whole)).alias("head"))
-    every = rows.select("bucket", F.lit(False).alias("copy"), "doc_id", "text", "fp").unionByName(
-        heads.select("bucket", F.lit(True).alias("copy"), "head.doc_id", "head.text", "head.fp"))
-    after = Window.partitionBy("bucket").orderBy("copy", *order)
-    return (every.withColumn("next_text", F.lead("text").over(after)).withColumn("next_fp", F.lead("fp").over(after))
-            .where("not copy").drop("bucket", "copy"))
+    every = rows.select("bucket", F.lit(False).alias("copy"), "doc_id", "text").unionByName(
+        heads.select("bucket", F.lit(True).alias("copy"), "head.doc_id", "head.text"))
+    return every.withColumn("next_text", F.lead("text").over(in_order()))
 
 
 def fingerprints(docs: DataFrame, band=IDF_BAND) -> DataFrame:
@@ -123,7 +127,8 @@ def fingerprints(docs: DataFrame, band=IDF_BAND) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = lexicon(base, band)
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    return (successors(base.withColumn("fp", fingerprint(F.col("text"), known)))
+    return (successors(base).withColumn("fp", fingerprint(F.col("text"), known))
+            .withColumn("next_fp", F.lead("fp").over(in_order())).where("not copy")
             .withColumn("n_chars", F.char_length("text").cast("long"))
             .withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")),
                                            F.substring("next_text", F.lit(1), half)))
