@@ -18,7 +18,6 @@ rows each get their own result; extra columns are ignored (``decontaminate`` kee
 """
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa

@@ -1,7 +1,7 @@
 """Vectorised word spans and hashes over the UTF-8 bytes of Arrow string columns.
 
-Helpers for Arrow-batch functions: a batch is walked in chunks of about a
-megabyte (a longer text is a chunk of its own), so memory follows the chunk, not
+Helpers for Arrow-batch functions: a batch is walked in chunks of about
+half a megabyte (a longer text is a chunk of its own), so memory follows the chunk, not
 the batch. Nothing here knows Spark.
 """
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -44,7 +44,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """First n powers of the odd base and of its inverse modulo 2**64."""
     if len(_powers["up"]) < n:
-        size = 1 << int(n).bit_length()
+        size = n + n // 8
         for key, base in (("up", _ODD), ("down", _INV)):
             p = np.full(size, base, np.uint64)
             p[0] = 1

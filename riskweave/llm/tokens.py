@@ -17,9 +17,9 @@ from riskweave.llm import text as T
 
 #: Code points below this have had their classes since the oldest Unicode version in use.
 PLAIN = 0x0530
-MEMO_PIECES = 1_500_000
-MEMO_IDS = 8_000_000
-CHUNK_BYTES = 2 << 20
+MEMO_PIECES = 1_000_000
+MEMO_IDS = 5_000_000
+CHUNK_BYTES = 1 << 20
 #: White space as Unicode's property has it, below PLAIN.
 _SPACE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0)
 _OTHER, _LETTER, _NUMBER, _BLANK = 0, 1, 2, 3
