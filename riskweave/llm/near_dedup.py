@@ -1,7 +1,8 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
 A text's set holds its distinct word shingles (lower-cased A-Z, words ``[^\\x20\\x09-\\x0D]+``).
-Texts with the same set form a class; one signature of K minima stands for each class. The
+Texts with the same set form a class; one signature of K 64-bit minima stands for each class (of 32 bits, unrelated
+classes would share tokens by accident, corpus shingles / 2**33 a token). Hashes of the
 K (coordinate, value) pairs are its tokens, and classes are posted under them:
 
 * *match threshold*: at similarity s each coordinate agrees with probability s, so classes at
@@ -41,8 +42,8 @@ MIN_MATCHES = 37
 BLOCK_CLASSES = 1024
 BLOCK_SHINGLES = 2_000_000
 _rng = np.random.default_rng(815)
-_SCALE = _rng.integers(1, 1 << 32, 256, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_SHIFT = _rng.integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
+_SCALE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
+_SHIFT = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
 def shingle_sets(column: pa.Array, words: int):
@@ -73,12 +74,11 @@ def _signatures(words: int, k: int):
                 if not pack:
                     return
                 x = np.concatenate(pack)
-                x = (x >> np.uint64(32)).astype(np.uint32) ^ x.astype(np.uint32)
                 at = np.cumsum([0] + [len(p) for p in pack[:-1]])
-                out = np.empty((k, len(pack)), np.uint32)
+                out = np.empty((k, len(pack)), np.uint64)
                 for j in range(k):
                     out[j] = np.minimum.reduceat(x * _SCALE[j] + _SHIFT[j], at)
-                sigs.extend(out.T.copy().view(np.int32))
+                sigs.extend(out.T.copy().view(np.int64))
                 pack.clear()
 
             for _, s in shingle_sets(batch.column(1), words):
@@ -90,7 +90,7 @@ def _signatures(words: int, k: int):
                     flush()
                     packed = 0
             flush()
-            flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int32)
+            flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
             sig = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * k), pa.array(flat))
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), sig],
                                              ["doc_id", "n_shingles", "digest", "sig"])
@@ -151,14 +151,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     spark: SparkSession = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     signed = reliable_checkpoint(base.mapInArrow(
-        _signatures(words, coordinates), "doc_id long, n_shingles long, digest string, sig array<int>"))
+        _signatures(words, coordinates), "doc_id long, n_shingles long, digest string, sig array<bigint>"))
     classes = reliable_checkpoint(
         signed.where("n_shingles > 0").groupBy("digest")
         .agg(F.min("doc_id").alias("class_id"), F.max("n_shingles").alias("n_shingles"), F.any_value("sig").alias("sig"))
         .withColumn("cid", F.monotonically_increasing_id()))
 
     tokens = classes.select("cid", F.posexplode("sig")).select(
-        "cid", F.expr("shiftleft(cast(pos as bigint), 32) | (cast(col as bigint) & 4294967295)").alias("token"))
+        "cid", F.xxhash64("pos", "col").alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
     rest = coordinates - min_matches + 1
     prefix = (tokens.join(common, "token").groupBy("cid")
