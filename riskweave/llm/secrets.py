@@ -4,8 +4,10 @@ Three base patterns find assignments of long values to tell-tale names, access k
 Beside them every text is lexed as source or configuration: names before ``=``, ``:``, ``:=`` or ``=>`` are
 paired with the literals of the expression that follows (quoted strings, joined by ``+``, and bare names).
 Names assigned before stand for their literals, so a constant keeps its spans when it is passed on under
-another name. A literal is scored by the most sensitive target name that it reaches and by its shape
-(length, variety, no placeholder), and reported as kind ``literal`` from ``THRESHOLD`` on.
+another name; a type between ``:`` and ``=`` is skipped. A literal's score is the weight of a target name that it
+reaches plus a grade of its length, variety and mix of letters and digits; the best one counts, and from ``THRESHOLD``
+on the literal is reported as kind ``literal``. Short, uniform and placeholder literals score 0, and so do
+literals with blanks unless the name is that of a passphrase.
 
 Texts are scanned whole, in place; a byte-class pass and substring tests leave most texts to no lexer.
 
@@ -39,12 +41,17 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _HEX_BYTES = T.byte_class(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x66)
-_TARGET = re.compile(r"""(?<![\w.-])(["']?)([A-Za-z_][A-Za-z0-9_.-]{0,127})\1[ \t]*(?::=|=>|[:=])[ \t]*""", re.ASCII)
+_TYPE = r"""&?(?:'[a-z_]+[ \t]+)?(?:mut[ \t]+)?[A-Za-z_][A-Za-z0-9_.:]{0,63}(?:[\[<][^\n=;"]{0,80}[\]>])?(?:\[\])?[?!]?"""
+_TARGET = re.compile(
+    r"""(?<![\w.-])(["']?)([A-Za-z_][A-Za-z0-9_.-]{0,127})\1\??[ \t]*"""
+    rf"""(?::[ \t]*{_TYPE}(?:[ \t]*\|[ \t]*{_TYPE}){{0,4}}(?:[ \t]*=(?=[ \t]*["'])|[ \t]+=(?=[ \t]+[A-Za-z_]))|:=|=>|[:=])[ \t]*""", re.ASCII)
 _TERM = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9_][A-Za-z0-9_.+/=-]*))""", re.ASCII)
 _PLUS = re.compile(r"[ \t]*\+")
 _NAME_WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 _PLACEHOLDER = re.compile(r"(?i)\$\{|\{\{|<[^>]*>|xxxx|example|change.?me|your|placeholder|redacted|\*\*\*")
-_HINTS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "private", "bearer", "salt")
+_HINTS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "private", "bearer", "salt", "api", "access", "signing", "encryption")
+#: Bits of a literal from which its grade is full; a full grade, letters and digits mixed or not.
+FULL_BITS, MIXED, UNMIXED = 48, 0.55, 0.3
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -55,18 +62,38 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def name_words(name: str) -> list[str]:
+    return list(dict.fromkeys(w.lower() for w in _NAME_WORD.findall(name)))
+
+
 def name_weight(name: str) -> float:
     """Sensitivity of a target name: the weights of its words, summed."""
-    words = [w.lower() for w in _NAME_WORD.findall(name)]
-    return sum(SENSITIVE.get(w, 0.0) for w in dict.fromkeys(words))
+    return sum(SENSITIVE.get(w, 0.0) for w in name_words(name))
 
 
-def shape(value: str) -> float:
-    """0 for short, uniform or placeholder literals, up to 1 for long and varied ones."""
-    if len(value) < MIN_LITERAL or _PLACEHOLDER.search(value) or any(c.isspace() for c in value):
+def shape(value: str, blanks: bool = False) -> float:
+    """0 for short, uniform or placeholder literals, and for those with blanks unless allowed; up to ``MIXED`` for long and varied ones."""
+    if len(value) < MIN_LITERAL or _PLACEHOLDER.search(value) or not blanks and any(c.isspace() for c in value):
         return 0.0
     bits = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    return 0.0 if bits < 2.0 else 1.0
+    if bits < 2.0:
+        return 0.0
+    mixed = any(c.isdigit() for c in value) and sum(c.isalpha() for c in value) >= 3
+    return (MIXED if mixed else UNMIXED) * min(1.0, bits * len(value) / FULL_BITS)
+
+
+def score(name: str, value: str, quoted: bool = True) -> float:
+    """Score of a literal under a target name: the name's weight plus the literal's grade, 0 where either is 0.
+
+    Bare values under names below the threshold count only if they cannot be names of code themselves.
+    """
+    words = name_words(name)
+    weight = name_weight(name)
+    grade = shape(value, "passphrase" in words or {"pass", "phrase"} <= set(words)) if weight else 0.0
+    if not grade or not quoted and weight < THRESHOLD and (
+            "_" in value or "." in value or not any(c.isdigit() for c in value)):
+        return 0.0
+    return weight + grade
 
 
 def literal_spans(text: str) -> list[tuple[int, int, int]]:
@@ -86,11 +113,10 @@ def literal_spans(text: str) -> list[tuple[int, int, int]]:
                 break
             at = plus.end()
         known[m[2]] = spans
-        weight = name_weight(m[2])
-        if weight:
-            for s in spans:
-                best[s] = max(best.get(s, 0.0), weight)
-    return sorted((a, 3, b) for (a, b), w in best.items() if w * shape(text[a:b]) >= THRESHOLD)
+        if name_weight(m[2]):
+            for a, b in spans:
+                best[a, b] = max(best.get((a, b), 0.0), score(m[2], text[a:b], text[a - 1] in "\"'"))
+    return sorted((a, 3, b) for (a, b), w in best.items() if w >= THRESHOLD)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
