@@ -12,9 +12,11 @@ anchor, and each anchor stands for the run of suffixes (starts) whose 400 bytes
 2. *Pre-aggregation*: candidates whose whole context (all bytes of their run of strings) is equal
    collapse to one row; their strings are all repeated. A group of copies costs one row a context.
 3. *Suffix sort*: distinct contexts are range-partitioned by their leading tokens, the bytes at the
-   anchor, between splitters sampled from all contexts. A splitter may fall inside a hot key. Each bucket
-   sorts its suffixes by multikey quicksort on eight-byte tokens and compares neighbours; of each bucket's first and
-   last key the suffixes are compared across the boundaries through counts of their digests.
+   anchor, between splitters sampled from all contexts. A splitter may fall inside a hot key. Inside a bucket no
+   bytes are compared: each suffix stands as two 64-bit hashes, one of its half and place and one digest of its 400
+   bytes, sorted by multikey quicksort, and neighbours with both equal count as equal strings. Only equality is asked
+   for, and two hashes a suffix take the place of up to 50 tokens; digests also compare the suffixes of each bucket's
+   first and last key across the boundaries, through counts. A wrong match needs both hashes to collide.
 4. Repeated starts return to their documents as runs and the bytes they cover are removed.
 
 Texts move once (to meet their spans), contexts of candidates once; anchors move as hashes.
