@@ -1,12 +1,11 @@
 """Phrase collocations from a weighted de Bruijn graph of three-word edges, per language.
 
 * *Edges*: every three consecutive words of a piece are one edge, from the node of its first two words to the node of its last two.
-  Tasks count the edges of a chunk of text before they are shuffled, so a passage in a third of all documents
-  costs a row a chunk. Next to the edges, the last two words and the last word of each piece are posted as
-  edges without an end: the corrections for what leaves a node without continuing.
+  Tasks count the edges of a chunk of text before they are shuffled, one row a node with the edges that leave it, so a
+  passage in a third of all documents costs a row a node and chunk.
 * *Node flow*: a phrase of two words occurs as often as edges leave its node, plus as often as it ends a
-  piece; a word as often as nodes begin with it, plus as often as it ends a piece. Both come from the edge table alone. Edges
-  are exchanged once, by their node, which serves the edges' counts, the flows and the heaviest edge out of each node.
+  piece; a word as often as nodes begin with it, plus as often as it ends a piece. Chunks add these up from their edges and piece
+  ends; the rows are exchanged once, by node, and the one exchange serves both the flows and the counts of heavy nodes' edges.
 * *Unary paths*: among edges of at least ``MIN_COUNT``, a node with one edge in and one out is unary. ``JOIN_ROUNDS``
   rounds join a path that ends at a unary node to the one that starts there (nodes are paired by a coin of their hash, so
   paths grow without conflict); what a longer path leaves unjoined stays as several rows, which changes no count. A path carries its words, edge counts
@@ -33,128 +32,125 @@ MIN_COUNT = 10
 TOP = 2000
 JOIN_ROUNDS = 2
 SALTS = 64
-_CHUNK = 4 << 20
+_CHUNK = 6 << 20
 _PART_WORDS = 1 << 20
 _BREAK = T.byte_class(lambda b: chr(b) in ".,;:!?" or 0x0A <= b <= 0x0D)
 _WORD = T.byte_class(lambda b: not _BREAK[b] and b not in (0x20, 0x09))
-_PART = "lang string, head string, next string, n long"
 
 
 # ---------------------------------------------------------------- edges
 def _words(data: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """(words, piece number of each) of one chunk of lower-cased texts."""
     starts, ends, bounds = T.word_spans(data, offs, _WORD)
-    inside = np.zeros(len(data) + 1, np.int32)
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, ends, -1)
-    kept = data[np.cumsum(inside[:-1]).astype(bool)]
+    kept = data[_WORD[data]]
     at = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(kept.tobytes()))
-    row = np.searchsorted(bounds[1:], np.arange(len(starts)), "right")
-    breaks = np.concatenate(([0], np.cumsum(_BREAK[data])))[starts]
-    new = np.ones(len(starts), bool)
-    new[1:] = (breaks[1:] != breaks[:-1]) | (row[1:] != row[:-1])
+    new = np.zeros(len(starts), bool)
+    new[bounds[:-1][bounds[:-1] < len(starts)]] = True                # first words of texts
+    breaks = np.cumsum(_BREAK[data], dtype=np.int32)[starts]
+    new[1:] |= breaks[1:] != breaks[:-1]
     return words, np.cumsum(new)
 
 
-def _counted(vocabulary: pa.Array, *codes: np.ndarray) -> tuple[list[pa.Array], np.ndarray]:
-    """Distinct combinations of word codes (as words) and how often each occurs."""
-    size, key = len(vocabulary), np.zeros(len(codes[0]), np.int64)
-    for c in codes:
-        key = key * size + c                       # a chunk has under 2^21 words, so three codes fit 63 bits
-    distinct, n = np.unique(key, return_counts=True)
-    out = []
-    for _ in codes:
-        out.insert(0, vocabulary.take(pa.array(distinct % size)))
-        distinct = distinct // size
-    return out, n
-
-
 def _edges(batches):
-    """Counted parts of each chunk: (lang, "w1 w2", w3, n), and with a null next (lang, "w1 w2" or "w", null, n) for piece ends."""
+    """Each chunk's nodes: (lang, "w1 w2", flow, nexts), and its words: (lang, "w", flow, null).
+
+    nexts holds a node's edges, null if it has none: next words, each with a count if that is not 1, between tabs.
+    """
     for batch in batches:
         langs = batch.column(1).dictionary_encode()
         of_row = langs.indices.to_numpy(zero_copy_only=False)
         for lang, name in enumerate(langs.dictionary.to_pylist()):
             texts = batch.column(0).take(pa.array(np.flatnonzero(of_row == lang)))
             for _, _, data, offs in T.chunks(texts, _CHUNK):
-                yield from _chunk(name, T.LOWER[data], offs)
-
-
-def _chunk(lang: str, data: np.ndarray, offs: np.ndarray):
-    words, piece = _words(data, offs)
-    if not len(words):
-        return
-    coded = words.dictionary_encode()
-    vocabulary, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-    for a in range(0, len(code), _PART_WORDS):     # a text longer than a chunk: parts that overlap by two words
-        b = min(len(code), a + _PART_WORDS)
-        c, p = code[a:min(len(code), b + 2)], piece[a:min(len(code), b + 2)]
-        here = b - a
-        in_use, c = np.unique(c, return_inverse=True)
-        local = vocabulary.take(pa.array(in_use))
-        three = np.flatnonzero(p[2:] == p[:-2])
-        three = three[three < here]
-        ends_piece = np.append(p[1:] != p[:-1], b == len(code))[:here]
-        one = np.flatnonzero(ends_piece)
-        # the last two words of a piece end at one of these, if the word before is of the same piece
-        before = one[one > 0]
-        before = before[p[before - 1] == p[before]]
-        if a and here and ends_piece[0] and piece[a - 1] == piece[a]:
-            yield _rows(lang, [vocabulary.take(pa.array([code[a - 1]])), vocabulary.take(pa.array([code[a]]))], np.ones(1, int), False)
-        for codes, with_next in (((c[three], c[three + 1], c[three + 2]), True), ((c[before - 1], c[before]), False), ((c[one],), False)):
-            if len(codes[0]):
-                yield _rows(lang, *_counted(local, *codes), with_next)
-
-
-def _rows(lang: str, parts: list[pa.Array], n: np.ndarray, with_next: bool) -> pa.RecordBatch:
-    heads = parts[:-1] if with_next else parts
-    head = heads[0] if len(heads) == 1 else pc.binary_join_element_wise(*heads, pa.scalar(" ", pa.large_string()))
-    nexts = parts[-1].cast(pa.string()) if with_next else pa.nulls(len(n), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(n), int))), head.cast(pa.string()), nexts, pa.array(n, pa.int64())],
-                                      ["lang", "head", "next", "n"])
-
-
-def edge_counts(docs: DataFrame) -> DataFrame:
-    """(lang, head, next, n): edges and piece ends with their counts, partitioned by their node."""
-    parts = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang")).mapInArrow(_edges, _PART)
-    # chunks are counted already; the exchange by node serves both the edges' sums and their nodes' flows
-    return parts.repartition("lang", "head").groupBy("lang", "head", "next").agg(F.sum("n").alias("n"))
+                words, piece = _words(T.LOWER[data], offs)
+                if len(words):
+                    coded = words.dictionary_encode()
+                    yield from _chunk(name, coded.dictionary, coded.indices.to_numpy().astype(np.int64), piece)
+
+
+def _chunk(lang: str, vocabulary: pa.Array, code: np.ndarray, piece: np.ndarray):
+    for a in range(0, len(code), _PART_WORDS):     # a text longer than a chunk: nodes that start in a part, seen with two words more
+        used, c = np.unique(code[a:a + _PART_WORDS + 2], return_inverse=True)
+        p, words, size = piece[a:a + _PART_WORDS + 2], vocabulary.take(pa.array(used)), len(used)
+        here = min(_PART_WORDS, len(code) - a)
+        follows = np.zeros(here, bool)
+        follows[:len(p) - 1] = (p[1:] == p[:-1])[:here]
+        at = np.flatnonzero(follows)
+        third = np.zeros(len(at), bool)
+        inside = at + 2 < len(p)
+        third[inside] = p[at[inside] + 2] == p[at[inside]]
+        node = c[at] * size + c[at + 1]
+        # three codes of a part fit 63 bits: it has at most 2^20 + 2 words
+        edges, n = np.unique(node[third] * size + c[at[third] + 2], return_counts=True)
+        ends, n_end = np.unique(node[~third], return_counts=True)
+        nodes = np.union1d(edges // size, ends)
+        of_edge = np.searchsorted(nodes, edges // size)
+        flow = np.bincount(of_edge, n, len(nodes)) + np.bincount(np.searchsorted(nodes, ends), n_end, len(nodes))
+        word_flow = np.bincount(nodes // size, flow, size) + np.bincount(c[:here][~follows], minlength=size)
+        heads = pc.binary_join_element_wise(words.take(pa.array(nodes // size)), words.take(pa.array(nodes % size)), _text(" "))
+        nexts = words.take(pa.array(edges % size))
+        nexts = pc.if_else(pa.array(n == 1), nexts, pc.binary_join_element_wise(nexts, _numbers(n), _text(" ")))
+        with_edges = np.unique(of_edge)
+        lists = pa.LargeListArray.from_arrays(pa.array(np.append(np.searchsorted(of_edge, with_edges), len(edges))), nexts)
+        place = np.full(len(nodes), -1)
+        place[with_edges] = np.arange(len(with_edges))
+        joined = pc.binary_join(lists, _text("\t")).take(pa.array(place, mask=place < 0))
+        seen = np.flatnonzero(word_flow)
+        yield _rows(lang, heads, flow, joined)
+        yield _rows(lang, words.take(pa.array(seen)), word_flow[seen], pa.nulls(len(seen), pa.string()))
+
+
+def _text(value: str) -> pa.Scalar:
+    return pa.scalar(value, pa.large_string())
+
+
+def _numbers(n: np.ndarray) -> pa.Array:
+    return pa.array(n.astype(np.int64)).cast(pa.large_string())
+
+
+def _rows(lang: str, head: pa.Array, flow: np.ndarray, nexts: pa.Array) -> pa.RecordBatch:
+    langs = pa.array([lang]).take(pa.array(np.zeros(len(head), np.int64)))
+    return pa.RecordBatch.from_arrays([langs, head.cast(pa.string()), pa.array(flow.astype(np.int64)), nexts.cast(pa.string())],
+                                      ["lang", "head", "flow", "nexts"])
 
 
 # ---------------------------------------------------------------- graph
 def graph(docs: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, words, heavy edges): (lang, node, flow, out, top) of two-word phrases of at least min_count, (lang, word, flow) of all words,
-    (lang, node, next, n) of edges of at least min_count."""
-    counted = edge_counts(docs)
-    # a node's edges stand in one partition: flow and heavy edges are one pass of one grouping, no further exchange
-    heavy = (F.col("n") >= min_count) & F.col("next").isNotNull()
-    grouped = reliable_checkpoint(counted.groupBy("lang", "head").agg(
-        F.sum("n").alias("flow"), F.collect_list(F.when(heavy, F.struct("next", "n"))).alias("out")))   # list: at most flow / min_count
-    word = F.substring_index("head", " ", 1)
-    words = reliable_checkpoint(grouped.groupBy("lang", word.alias("word")).agg(F.sum("flow").alias("flow")))
-    nodes = grouped.where(F.col("head").contains(" ") & (F.col("flow") >= min_count)).select(
-        "lang", F.col("head").alias("node"), "flow", "out")
-    edges = nodes.select("lang", "node", F.col("flow").alias("node_flow"), F.size("out").alias("outs"), F.explode("out").alias("e")) \
-        .select("lang", "node", "node_flow", "outs", F.col("e.next").alias("next"), F.col("e.n").alias("n"))
-    return nodes, words, edges
+    """(nodes, words, edges): (lang, node, flow) of two-word phrases and (lang, node, next, n) of edges of at least min_count,
+    (lang, word, flow) of all words."""
+    posted = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang")) \
+        .mapInArrow(_edges, "lang string, head string, flow long, nexts string")
+    is_node = F.col("head").contains(" ")
+    # an edge is no heavier than its node, so edges of light nodes are never taken apart; one exchange serves flows and edges
+    total = F.sum("flow").over(Window.partitionBy("lang", "head"))
+    kept = posted.withColumn("total", total).where(~is_node | (F.col("total") >= min_count))
+    entry, first = F.col("col"), F.col("pos") == 0
+    counted = kept.select("lang", "head", F.posexplode(F.split(F.concat_ws("\t", F.col("flow").cast("string"), "nexts"), "\t"))).select(
+        "lang", "head", F.when(~first, F.substring_index(entry, " ", 1)).alias("next"),
+        F.when(first, entry).when(entry.contains(" "), F.substring_index(entry, " ", -1)).otherwise(F.lit("1")).cast("long").alias("n"))
+    table = reliable_checkpoint(counted.groupBy("lang", "head", "next").agg(F.sum("n").alias("n"))
+                                .where(F.col("next").isNull() | (F.col("n") >= min_count)))
+    nodes = table.where(is_node & F.col("next").isNull()).select("lang", F.col("head").alias("node"), F.col("n").alias("flow"))
+    words = table.where(~is_node).select("lang", F.col("head").alias("word"), F.col("n").alias("flow"))
+    return nodes, words, table.where("next is not null").select("lang", F.col("head").alias("node"), "next", "n")
 
 
 def _second(column: str):
     return F.substring_index(column, " ", -1)
 
 
-def paths(edges: DataFrame, rounds: int = JOIN_ROUNDS) -> DataFrame:
-    """(lang, words, counts, flows): unary paths of heavy edges, each edge in exactly one.
+def paths(nodes: DataFrame, edges: DataFrame, rounds: int = JOIN_ROUNDS) -> DataFrame:
+    """(lang, start, end, words, counts, flows): unary paths of heavy edges, each edge in exactly one.
 
     words has two more entries than counts, the edges' counts; flows holds the flow of each edge's first node.
     """
     end = F.concat_ws(" ", _second("node"), F.col("next"))
-    rows = edges.withColumn("end", end)
-    into = rows.groupBy("lang", "end").agg(F.count("*").alias("ins"))
+    rows = edges.join(nodes.withColumnRenamed("flow", "node_flow"), ["lang", "node"]).withColumn("end", end)
+    outs = edges.groupBy("lang", "node").agg(F.count("*").alias("outs")).where("outs = 1")
+    into = edges.groupBy("lang", end.alias("node")).agg(F.count("*").alias("ins")).where("ins = 1")
     # the nodes at which paths may be joined: one heavy edge in, one out
-    unary = reliable_checkpoint(rows.where("outs = 1").select("lang", "node").join(into.where("ins = 1").withColumnRenamed("end", "node"), ["lang", "node"])
-                                .select("lang", "node"))
+    unary = reliable_checkpoint(outs.join(into, ["lang", "node"]).select("lang", "node"))
     at = reliable_checkpoint(rows.select("lang", F.col("node").alias("start"), "end", F.array_append(F.split("node", " "), F.col("next")).alias("words"),
                                          F.array("n").alias("counts"), F.array("node_flow").alias("flows")))
     for i in range(rounds):
@@ -182,8 +178,8 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP) ->
     nodes, words, edges = graph(docs, min_count)
     total = words.groupBy("lang").agg(F.sum("flow").alias("n"))
     f1 = words.where(F.col("flow") >= min_count)
-    f2 = nodes.select("lang", "node", "flow")
-    runs = paths(edges)
+    f2 = nodes
+    runs = paths(nodes, edges)
     last = runs.select("lang", "words", "counts", "flows", "end").join(f2.select("lang", F.col("node").alias("end"), F.col("flow").alias("end_flow")), ["lang", "end"])
     # three-word phrases with the flows of both their nodes, read off the paths
     three = last.withColumn("to", F.array_append(F.slice("flows", F.lit(2), F.size("flows")), F.col("end_flow"))) \

@@ -145,7 +145,10 @@ def test_texts_longer_than_a_part(spark, monkeypatch):
         c = Counter()
         for b in collocations._edges(batches):
             for r in b.to_pylist():
-                c[r["lang"], r["head"], r["next"]] += r["n"]
+                c[r["lang"], r["head"], None] += r["flow"]
+                for e in r["nexts"].split("\t") if r["nexts"] else ():
+                    w, _, n = e.partition(" ")
+                    c[r["lang"], r["head"], w] += int(n or 1)
         return c
     whole = counted()
     for size in (1, 2, 3, 7):
@@ -156,10 +159,11 @@ def test_texts_longer_than_a_part(spark, monkeypatch):
 def test_paths_hold_every_edge_once(spark):
     data = spoken()
     df = spark.createDataFrame(data, "lang string, text string")
-    _, _, edges = collocations.graph(df, 5)
-    want = ordered((r["lang"], f"{r['node']} {r['next']}", r["n"], r["node_flow"]) for r in edges.collect())
+    nodes, _, edges = collocations.graph(df, 5)
+    flow = {(r["lang"], r["node"]): r["flow"] for r in nodes.collect()}
+    want = ordered((r["lang"], f"{r['node']} {r['next']}", r["n"], flow[r["lang"], r["node"]]) for r in edges.collect())
     for rounds in (0, 1, 6):
-        runs = collocations.paths(edges, rounds).collect()
+        runs = collocations.paths(nodes, edges, rounds).collect()
         got = [(r["lang"], " ".join(r["words"][i:i + 3]), c, r["flows"][i]) for r in runs for i, c in enumerate(r["counts"])]
         assert ordered(got) == want
     assert max(len(r["counts"]) for r in runs) > 3                            # the passage's edges stand in one row
