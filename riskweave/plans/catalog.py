@@ -137,6 +137,20 @@ def enriched_applications(spark: SparkSession, sf: str) -> DataFrame:
     return rollup.enrich_applications(A.application(spark, sf), A.lending_sources(spark, sf))
 
 
+@register("enrich_from_csv", rounded(with_ctes("SELECT * FROM enriched", "enriched"), ENRICHED_DBL))
+def q_enrich_from_csv(spark, sf):
+    """The flagship from CSV files without schemas: the applications and six histories are written as CSV, typed from their values and enriched."""
+    from riskweave.session import reliable_checkpoint, scratch_folder
+    from riskweave.sources.io import SourceSpec, SourcesConfig, load_sources
+    with scratch_folder(spark, "csv") as folder:
+        tables = {"base": A.application(spark, sf)} | A.lending_sources(spark, sf)
+        for name, df in tables.items():
+            df.write.option("header", True).csv(f"{folder}/{name}.csv")
+        cfg = SourcesConfig(f"{folder}/base.csv", {n: SourceSpec(f"{folder}/{n}.csv") for n in tables if n != "base"})
+        base, sources = load_sources(spark, cfg)
+        return reliable_checkpoint(rollup.enrich_applications(base, sources))
+
+
 @register("enrich_applications", rounded(with_ctes("SELECT * FROM enriched", "enriched"), ENRICHED_DBL))
 def q_enrich_applications(spark, sf):
     """Flagship: 31 relational features joined onto every applicant."""

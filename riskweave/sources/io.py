@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskweave.sources.typed_csv import read_csv
+
 LOG = logging.getLogger(__name__)
 
 
@@ -32,23 +34,23 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-               fmt: str | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, fmt: str | None = None,
+               tolerance: float = 0.0, rejects_path: str | None = None) -> DataFrame:
     """A1: lazily read a Parquet or CSV table; a missing path raises FileNotFoundError.
 
-    CSV without a schema is read as strings under its header's names (one pass, no inference).
+    CSV columns that ``schema`` does not name get the types that their values fit (one pass over the file, see
+    :mod:`riskweave.sources.typed_csv`). Rows that do not fit are written to ``rejects_path``; without one the read fails on the first.
     """
     if not path_exists(spark, path):
         raise FileNotFoundError(f"table not found: {path}")
-    fmt = fmt or ("csv" if path.lower().endswith(".csv") else "parquet")
-    reader = spark.read
-    if schema is not None:
-        reader = reader.schema(schema)
+    fmt = fmt or ("csv" if path.lower().endswith((".csv", ".csv.gz")) else "parquet")
     if fmt == "csv":
-        df = reader.option("header", True).csv(path)
-    else:
-        df = reader.format(fmt).load(path)
-    return normalize_nan(df)
+        rows, rejected = read_csv(spark, path, schema, tolerance, strict=rejects_path is None)
+        if rejects_path is not None:
+            write_contract(rejected, rejects_path)
+        return rows
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return normalize_nan(reader.format(fmt).load(path))
 
 
 @dataclass
@@ -64,15 +66,25 @@ class SourcesConfig:
     base_path: str
     sources: dict[str, SourceSpec] = field(default_factory=dict)
     id_col: str = "SK_ID_CURR"
+    base_fmt: str | None = None
+    base_schema: T.StructType | str | None = None
+    #: Share of a CSV column's values that may fail to parse before the column is text.
+    tolerance: float = 0.0
+    #: Folder of the rejected rows, one table a CSV source; without it a row that does not fit fails the read.
+    rejects_dir: str | None = None
 
 
 def load_sources(spark: SparkSession, cfg: SourcesConfig) -> tuple[DataFrame, dict[str, DataFrame]]:
     """A2: base table (required) plus every enabled source whose path exists.
 
     Disabled sources are skipped silently; enabled-but-missing ones are
-    skipped with a warning. Nothing is read eagerly.
+    skipped with a warning. Parquet is not read eagerly; CSV takes one pass for the types its schema leaves open.
     """
-    base = read_table(spark, cfg.base_path)
+    def read(name: str, path: str, schema, fmt) -> DataFrame:
+        rejects = os.path.join(cfg.rejects_dir, name) if cfg.rejects_dir else None
+        return read_table(spark, path, schema, fmt, cfg.tolerance, rejects)
+
+    base = read("base", cfg.base_path, cfg.base_schema, cfg.base_fmt)
     loaded: dict[str, DataFrame] = {}
     for name, spec in cfg.sources.items():
         if not spec.enabled:
@@ -80,7 +92,7 @@ def load_sources(spark: SparkSession, cfg: SourcesConfig) -> tuple[DataFrame, di
         if not path_exists(spark, spec.path):
             LOG.warning("source %r enabled but missing (%s); skipping", name, spec.path)
             continue
-        loaded[name] = read_table(spark, spec.path, spec.schema, spec.fmt)
+        loaded[name] = read(name, spec.path, spec.schema, spec.fmt)
     return base, loaded
 
 
