@@ -952,8 +952,9 @@ def _ml_frame(spark, sf):
 
 
 def _ml_split(spark, sf):
+    """The enriched applications, four fifths of each class for training."""
     from riskweave.session import reliable_checkpoint
-    return reliable_checkpoint(S.stratified_split(_ml_frame(spark, sf), "TARGET", "SK_ID_CURR", 0.2, 42))
+    return reliable_checkpoint(S.stratified_split(enriched_applications(spark, sf), "TARGET", "SK_ID_CURR", 0.2, 42))
 
 
 def _fit(spark, sf, model_type="gbt", params=None):
@@ -1056,10 +1057,77 @@ def q_calibrated_predictions(spark, sf):
 
 @register("tuning_results")
 def q_tuning_results(spark, sf):
+    """Model-guided search for the leaf-wise booster; no trial starts after a minute, one always ends."""
     split = _ml_split(spark, sf)
     train = split.where(F.col("split") == "train").drop("split")
     num, cat = M.feature_lists(train)
-    return M.tune(train, num, cat)
+    return M.tune(train, num, cat, max_estimators=60, patience=10, timeout_s=60.0)
+
+
+@register("train_booster_metrics")
+def q_train_booster_metrics(spark, sf):
+    """Held-out metrics of the leaf-wise booster with L1 and L2 terms over the enriched applications."""
+    split, model, eff, _ = _fit(spark, sf, "lightgbm", M.DEFAULT_GBT_PARAMS | {"n_estimators": 40, "reg_alpha": 0.1, "reg_lambda": 1.0})
+    scored = M.score(model, split.where(F.col("split") == "test").drop("split"))
+    return EV.classification_metrics(scored, "TARGET", "y_proba").select(F.lit(eff).alias("model_type"), "*")
+
+
+# J5 on small integers: three features (one with NULLs), two trees of three leaves, checked value by value
+_BOOST = {"num_leaves": 3, "learning_rate": 0.1, "reg_alpha": 0.5, "reg_lambda": 1.0, "min_child_samples": 5}
+_BOOST_X = ("REGION_CODE", "AGE_DECADE", "GENDER_CODE")
+
+
+def _boost_rows(spark, sf):
+    app = A.application(spark, sf)
+    gender = F.when(F.col("CODE_GENDER") == "AUTOMOBILE", 0).when(F.col("CODE_GENDER") == "FURNITURE", 1).when(F.col("CODE_GENDER") == "HOUSEHOLD", 2) \
+        .when(F.col("CODE_GENDER") == "MACHINERY", 3)
+    x = (F.col("REGION_CODE"), F.floor(-F.col("DAYS_BIRTH") / 3650), gender)
+    return app.select(F.array(*[c.cast("double") for c in x]).alias("_x"), F.col("TARGET").cast("double").alias("y"), F.lit(1.0).alias("w"))
+
+
+def _split_ctes(name: str, rows: str) -> str:
+    """Best split of the rows (x0, x1, x2, g, h) of one leaf, as ``name`` (no row if none helps); helper tables are prefixed."""
+    score = "(pow(sign({g}) * greatest(abs({g}) - 0.5e0, 0e0), 2) / ({h} + 1e0))"
+    gain = " + ".join([score.format(g="gl", h="hl"), score.format(g="(gt - gl)", h="(ht - hl)")]) + " - " + score.format(g="gt", h="ht")
+    unpivoted = " UNION ALL ".join(f"SELECT {i} AS f, x{i} AS v, g, h FROM {rows}" for i in range(3))
+    return f"""
+{name}_l AS ({unpivoted}),
+{name}_t AS (SELECT f, sum(g) AS gt, sum(h) AS ht, count(*) AS nt, coalesce(sum(g) FILTER (v IS NULL), 0e0) AS g0,
+  coalesce(sum(h) FILTER (v IS NULL), 0e0) AS h0, count(*) FILTER (v IS NULL) AS n0 FROM {name}_l GROUP BY f),
+{name}_c AS (SELECT f, v, sum(sum(g)) OVER w AS gc, sum(sum(h)) OVER w AS hc, sum(count(*)) OVER w AS nc FROM {name}_l WHERE v IS NOT NULL
+  GROUP BY f, v WINDOW w AS (PARTITION BY f ORDER BY v)),
+{name}_s AS (SELECT f, v, side, n0, gt, ht, nt, gc + side * g0 AS gl, hc + side * h0 AS hl, nc + side * n0 AS nl
+  FROM {name}_c JOIN {name}_t USING (f), (VALUES (1), (0)) AS sides(side)),
+{name} AS (SELECT *, CASE WHEN n0 > 0 THEN side = 1 ELSE hl >= ht - hl END AS null_left FROM (
+  SELECT *, ROUND({gain}, 9) AS gain FROM {name}_s WHERE nl >= 5 AND nt - nl >= 5 AND hl >= 1e-3 AND ht - hl >= 1e-3) WHERE gain > 0
+  ORDER BY gain DESC, f, v, side DESC LIMIT 1)"""
+
+
+def _boost_sql() -> str:
+    value = "-0.1e0 * sign({g}) * greatest(abs({g}) - 0.5e0, 0e0) / ({h} + 1e0)"
+    left = "CASE WHEN (CASE f WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END) IS NULL THEN null_left ELSE (CASE f WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END) <= v END"
+    ctes = ["""r0 AS (SELECT SK_ID_CURR AS id, TARGET AS y, CAST(REGION_CODE AS DOUBLE) AS x0, floor(-DAYS_BIRTH / 3650e0) AS x1,
+  CASE CODE_GENDER WHEN 'AUTOMOBILE' THEN 0e0 WHEN 'FURNITURE' THEN 1e0 WHEN 'HOUSEHOLD' THEN 2e0 WHEN 'MACHINERY' THEN 3e0 END AS x2,
+  ln(avg(TARGET) OVER () / (1e0 - avg(TARGET) OVER ())) AS m FROM application)"""]
+    for t in (1, 2):
+        ctes.append(f"""g{t} AS (SELECT *, 1e0 / (1e0 + exp(-m)) - y AS g, 1e0 / (1e0 + exp(-m)) * (1e0 - 1e0 / (1e0 + exp(-m))) AS h FROM r{t - 1})""")
+        ctes.append(_split_ctes(f"a{t}", f"g{t}"))
+        ctes.append(f"b{t} AS (SELECT g{t}.*, CASE WHEN {left} THEN 1 ELSE 2 END AS node FROM g{t}, a{t})")
+        ctes += [_split_ctes(f"c{t}{k}", f"(SELECT * FROM b{t} WHERE node = {k})") for k in (1, 2)]
+        ctes.append(f"d{t} AS (SELECT 1 AS cut_leaf, f, v, null_left, gain FROM c{t}1 UNION ALL SELECT 2, f, v, null_left, gain FROM c{t}2 ORDER BY gain DESC, cut_leaf LIMIT 1)")
+        ctes.append(f"e{t} AS (SELECT b{t}.* REPLACE (CASE WHEN node = cut_leaf THEN CASE WHEN {left} THEN 3 ELSE 4 END ELSE node END AS node) FROM b{t} LEFT JOIN d{t} ON true)")
+        ctes.append(f"l{t} AS (SELECT node, count(*) AS n_rows, {value.format(g='sum(g)', h='sum(h)')} AS leaf_value FROM e{t} GROUP BY node)")
+        ctes.append(f"r{t} AS (SELECT id, y, x0, x1, x2, m + leaf_value AS m FROM e{t} JOIN l{t} USING (node))")
+    return f"SELECT * FROM (WITH {', '.join(ctes)} SELECT 1 AS tree, * REPLACE (ROUND(leaf_value, 6) AS leaf_value) FROM l1 UNION ALL SELECT 2, * REPLACE (ROUND(leaf_value, 6) AS leaf_value) FROM l2)"
+
+
+@register("booster_leaves", with_ctes(_boost_sql(), "application"), round_digits=None)
+def q_booster_leaves(spark, sf):
+    """Every leaf of two trees grown on three small integer features: its number, rows and value."""
+    from riskweave.operators import boost
+    booster = boost.Growing(_boost_rows(spark, sf), _BOOST, len(_BOOST_X)).add(2)
+    rows = [(i, node, int(t.cover[node]), round(t.value[node], 6)) for i, t in enumerate(booster.trees, 1) for node in range(len(t.left)) if t.left[node] < 0]
+    return spark.createDataFrame(rows, "tree int, node int, n_rows long, leaf_value double")
 
 
 # a fixed tree: income <= 40000 ? (credits <= 8 ? 0.5 : -0.25) : 1, with covers 100 = 40 (30 + 10) + 60
