@@ -1041,18 +1041,46 @@ def q_predictions(spark, sf):
     return M.predictions_table(M.score_linear(enriched_applications(spark, sf), *_CARD), RUN_ID, CREATED_AT)
 
 
-@register("calibrated_predictions", with_ctes("""
-SELECT application_id, y_true, s AS score, m.cal AS y_proba_calibrated FROM (SELECT *, floor(y_proba * 20) / 20e0 AS s FROM predictions) JOIN (
-  WITH k AS (SELECT floor(y_proba * 20) / 20e0 AS s, sum(y_true) AS y, count(*) AS n FROM predictions WHERE application_id % 2 = 0 GROUP BY 1),
-  a AS (SELECT lo.s AS lo, hi.s AS hi, sum(k.y) / sum(k.n) AS v FROM k lo, k hi, k WHERE lo.s <= hi.s AND k.s BETWEEN lo.s AND hi.s GROUP BY 1, 2),
-  b AS (SELECT k.s, a.lo, min(a.v) AS v FROM k JOIN a ON a.lo <= k.s AND a.hi >= k.s GROUP BY 1, 2)
-  SELECT s, max(v) AS cal FROM b GROUP BY s) m USING (s)""", "predictions"))
+# scores of the three-way split's calibration rows pooled by the max-min formula: prefix sums give every range's mean
+_CALIBRATED_SQL = f"""
+SELECT application_id, y_true, y_proba, ROUND(CASE WHEN hi2 IS NULL OR lo1 = hi2 THEN coalesce(v1, v2)
+       WHEN lo1 IS NULL THEN v2 ELSE v1 + (v2 - v1) * (y_proba - lo1) / (hi2 - lo1) END, 6) AS y_proba_calibrated FROM (
+  WITH inner_rows AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY {_h('42-outer').replace('SK_ID_CURR', 'application_id')}, application_id) AS rk,
+      count(*) OVER (PARTITION BY y_true) AS nc FROM predictions) WHERE rk > ceil(0.2 * nc)),
+  calib AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY {_h('42-inner').replace('SK_ID_CURR', 'application_id')}, application_id) AS rk2,
+      count(*) OVER (PARTITION BY y_true) AS nc2 FROM inner_rows) WHERE rk2 <= ceil(0.25 * nc2)),
+  k AS (SELECT y_proba AS s, sum(sum(y_true)) OVER w AS y, sum(count(*)) OVER w AS n, row_number() OVER w AS i FROM calib
+        GROUP BY y_proba WINDOW w AS (ORDER BY y_proba)),
+  r AS (SELECT a.i AS lo, b.i AS hi, (b.y - coalesce(z.y, 0)) / (b.n - coalesce(z.n, 0)) AS v
+        FROM k a JOIN k b ON b.i >= a.i LEFT JOIN k z ON z.i = a.i - 1),
+  least_above AS (SELECT lo, hi, min(v) OVER (PARTITION BY lo ORDER BY hi DESC) AS v FROM r),
+  fit AS (SELECT s, v FROM k JOIN (SELECT hi AS i, max(v) AS v FROM least_above GROUP BY hi) USING (i))
+  SELECT p.*, a.s AS lo1, a.v AS v1, b.s AS hi2, b.v AS v2
+  FROM predictions p ASOF LEFT JOIN fit a ON p.y_proba >= a.s ASOF LEFT JOIN fit b ON p.y_proba <= b.s)"""
+
+
+@register("calibrated_predictions", with_ctes(_CALIBRATED_SQL, "predictions"), round_digits=None)
 def q_calibrated_predictions(spark, sf):
-    """Isotonic on every other applicant's coarse score, applied to all whose score it has met."""
-    coarse = A.predictions(spark, sf).withColumn("score", F.floor(F.col("y_proba") * 20) / 20.0)
-    calib = coarse.where("application_id % 2 = 0")
-    out = M.calibrate(M.fit_isotonic(calib, "score", "y_true"), coarse.join(calib.select("score").distinct(), "score", "left_semi"), "score")
-    return out.select("application_id", "y_true", "score", "y_proba_calibrated")
+    """Isotonic on the calibration rows of the three-way split, applied to all applicants, interpolated between pools."""
+    scored = A.predictions(spark, sf)
+    parts = S.three_way_split(scored, "y_true", "application_id", 0.2, 0.25, 42)
+    model = M.fit_isotonic(parts.where("split = 'calib'"), "y_proba", "y_true")
+    out = M.calibrate(model, scored)
+    return out.select("application_id", "y_true", "y_proba", F.round("y_proba_calibrated", 6).alias("y_proba_calibrated"))
+
+
+@register("train_calibrate_score")
+def q_train_calibrate_score(spark, sf):
+    """Booster fitted on one part of the enriched applications, calibrated on another, all applicants scored and banded."""
+    parts = S.three_way_split(enriched_applications(spark, sf), "TARGET", "SK_ID_CURR", 0.2, 0.25, 42)
+    from riskweave.session import reliable_checkpoint
+    parts = reliable_checkpoint(parts)
+    fit = parts.where("split = 'fit'").drop("split")
+    num, cat = M.feature_lists(fit)
+    model, _, _ = M.train_classifier(fit, num, cat, "lightgbm", M.DEFAULT_GBT_PARAMS | {"n_estimators": 30})
+    scored = reliable_checkpoint(M.score(model, parts).select("SK_ID_CURR", "TARGET", "split", "y_proba"))
+    cal = M.calibrate(M.fit_isotonic(scored.where("split = 'calib'")), scored)
+    return M.predictions_table(cal.select("SK_ID_CURR", "TARGET", F.col("y_proba_calibrated").alias("y_proba")), RUN_ID, CREATED_AT)
 
 
 @register("tuning_results")

@@ -150,7 +150,7 @@ def calibrate(df: DataFrame, out_dir: str, params: dict | None = None, target: s
         "calibration_curve": EV.reliability_curve(cal, {"raw": "y_proba", "calibrated": "y_proba_calibrated"},
                                                   target).drop("bin"),
     }
-    save_model(iso, _out(out_dir, "model_calibrator"))
+    iso.save(_out(out_dir, "model_calibrator"))
     return {k: write_contract(v, _out(out_dir, k), fmt, True) for k, v in out.items()}
 
 

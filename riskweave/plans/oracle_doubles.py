@@ -22,7 +22,6 @@ DOUBLE_COLUMNS = {'age_band': [],
  'calibration_bins': ['predicted_midpoint', 'actual_default_rate'],
  'calibration_report': ['auc_roc', 'raw_brier', 'calibrated_brier', 'raw_log_loss', 'calibrated_log_loss',
                         'brier_improvement'],
- 'calibrated_predictions': ['score', 'y_proba_calibrated'],
  'class_weights': ['weight'],
  'classification_metrics': ['auc_roc', 'average_precision', 'brier_score', 'log_loss'],
  'clean_feature_name': ['missing_ratio'],
