@@ -8,9 +8,11 @@ vectors on the executors and emits long (feature, |shap|) rows; the mean
 per feature is an ordinary ``groupBy``. Rows never visit the driver.
 
 Values are path-dependent Shapley values (Lundberg, Erion & Lee, 2018) with
-node covers from the training counts, summed leaf by leaf from the Shapley
-formula and vectorised over the rows of a batch. They are in the booster's
-margin space (Spark's link is 1 / (1 + exp(-2F))), tree weights multiplied in.
+node covers from the training counts, summed leaf by leaf. What a leaf adds
+depends only on which of its path's m features a row passes, so the formula
+is worked out once for each pass/fail pattern that the batch holds (at most
+2^m) and a row costs one lookup a leaf. Values are in the booster's margin
+space (Spark's link is 1 / (1 + exp(-2F))), tree weights multiplied in.
 """
 from __future__ import annotations
 
@@ -25,6 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.operators.boost import BoosterModel, Tree
 from riskweave.session import ensure_checkpoint_dir
 
 
@@ -32,6 +35,8 @@ def tree_table(model: PipelineModel) -> tuple[list[dict], list[float]]:
     """Node arrays per tree from the saved booster, and the tree weights."""
     from pyspark.sql import SparkSession
     gbt = model.stages[-1]
+    if isinstance(gbt, BoosterModel):
+        return [leafwise_tree(t) for t in gbt.booster.trees], [1.0] * len(gbt.booster.trees)
     spark = SparkSession.getActiveSession()
     path = os.path.join(ensure_checkpoint_dir(spark), f"shap-model-{uuid.uuid4().hex}")
     gbt.write().overwrite().save(path)   # goes when the rows are read
@@ -67,54 +72,95 @@ def tree_table(model: PipelineModel) -> tuple[list[dict], list[float]]:
     return trees, list(gbt.treeWeights)
 
 
-def _leaf_paths(t: dict) -> list[tuple[float, list[tuple]]]:
-    """(value, [(feature, tests, share)]) of every reachable leaf: tests on the path grouped by feature.
+def leafwise_tree(t: Tree) -> dict:
+    """Node arrays of a leaf-wise tree; NULL goes left where ``null_left``."""
+    n = len(t.left)
+    return {"left": np.array(t.left), "right": np.array(t.right), "feat": np.array(t.feature), "thr": np.array(t.threshold), "cats": [None] * n,
+            "value": np.array(t.value), "cover": np.array(t.cover), "root": 0, "null_left": np.array(t.null_left)}
 
-    share is the product of child / parent covers of a feature's splits: the weight of the leaf's side
-    where the feature is not known.
+
+class _Test:
+    """What one feature must be for a row to stay on a path: in (above, upto], in all category sets, NULL if every split lets it."""
+
+    def __init__(self):
+        self.above, self.upto, self.sets, self.null, self.share = -math.inf, math.inf, [], True, 1.0
+
+    def narrowed(self, threshold: float, categories: set | None, left: bool, null: bool, share: float) -> _Test:
+        out = _Test()
+        out.above, out.upto, out.sets = self.above, self.upto, self.sets
+        out.null, out.share = self.null and null, self.share * share
+        if categories is not None:
+            out.sets = [*self.sets, (sorted(categories), left)]
+        elif left:
+            out.upto = min(self.upto, threshold)
+        else:
+            out.above = max(self.above, threshold)
+        return out
+
+    def passed(self, x: np.ndarray) -> np.ndarray:
+        ok = (x <= self.upto) & ((x > self.above) if self.above > -math.inf else True)
+        for categories, left in self.sets:
+            ok &= np.isin(x, categories) == left
+        return np.where(np.isnan(x), self.null, ok)
+
+
+def _leaf_paths(t: dict) -> list[tuple[float, list[tuple[int, _Test]]]]:
+    """(value, [(feature, test)]) of every reachable leaf.
+
+    A test's share is the product of child / parent covers of its feature's splits: the weight of the leaf's side
+    where the feature is not known. Without ``null_left``, NULL goes right.
     """
     out, stack = [], [(t["root"], {})]
+    null_left = t.get("null_left")
     while stack:
         node, path = stack.pop()
         if t["left"][node] < 0:
-            out.append((float(t["value"][node]), [(f, tuple(tests), share) for f, (tests, share) in path.items()]))
+            out.append((float(t["value"][node]), list(path.items())))
             continue
         f, whole = int(t["feat"][node]), t["cover"][node] if t["cover"][node] > 0 else 1.0
+        to_left = bool(null_left[node]) if null_left is not None else False
         for child, left in ((t["left"][node], True), (t["right"][node], False)):
-            tests, share = path.get(f, ((), 1.0))
-            stack.append((child, path | {f: ((*tests, (t["thr"][node], t["cats"][node], left)), share * t["cover"][child] / whole)}))
+            stack.append((child, path | {f: path.get(f, _Test()).narrowed(t["thr"][node], t["cats"][node], left, left == to_left, t["cover"][child] / whole)}))
     return out
 
 
-def _satisfied(x: np.ndarray, tests: tuple) -> np.ndarray:
-    """Which values of one feature pass all tests of a path."""
-    ok = np.ones(len(x), bool)
-    for threshold, categories, left in tests:
-        ok &= ((np.isin(x, list(categories)) if categories is not None else x <= threshold) == left)
-    return ok
+def _pattern_values(ones: np.ndarray, shares: list[float]) -> np.ndarray:
+    """Shapley weights (patterns x features) of a leaf of value 1 for rows of pass/fail flags.
+
+    Feature i gets (o_i - z_i) * sum over subsets S of the others of |S|! (m - 1 - |S|)! / m! * prod(o_j in S) * prod(z_j not
+    in S), with o_j whether feature j passes and z_j its share; the sum needs the coefficients of prod(z_j + o_j u) in u.
+    """
+    m = len(shares)
+    sizes = [math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)]
+    out = np.empty(ones.shape)
+    for i, z_i in enumerate(shares):
+        poly = [np.ones(len(ones))]
+        for j, z in enumerate(shares):
+            if j != i:
+                poly = [(poly[k] * z if k < len(poly) else 0.0) + (poly[k - 1] * ones[:, j] if k else 0.0) for k in range(len(poly) + 1)]
+        out[:, i] = (ones[:, i] - z_i) * sum(w * c for w, c in zip(sizes, poly, strict=True))
+    return out
 
 
 def _tree_shap(t: dict, x: np.ndarray, phi: np.ndarray, weight: float) -> None:
-    """Add weight * SHAP values of one tree for all rows of x to phi.
-
-    A leaf with value v and m path features adds, for feature i, v * (o_i - z_i) * sum over subsets S of the
-    others of |S|! (m - 1 - |S|)! / m! * prod(o_j in S) * prod(z_j not in S), with o_j whether the row passes
-    feature j's tests and z_j its share. The sum needs only the coefficients of prod(z_j + o_j u) in u, so it is
-    a few vector products over the rows.
-    """
+    """Add weight * SHAP values of one tree for all rows of x to phi."""
     for value, path in t["paths"]:
         m = len(path)
         if not m or value == 0.0:
             continue
-        ones = [_satisfied(x[:, f], tests).astype(float) for f, tests, _ in path]
-        sizes = [math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)]
-        for i, (f, _, share) in enumerate(path):
-            poly = [np.ones(len(x))]
-            for j, (_, _, z) in enumerate(path):
-                if j != i:
-                    poly = [(poly[k] * z if k < len(poly) else 0.0) + (poly[k - 1] * ones[j] if k else 0.0)
-                            for k in range(len(poly) + 1)]
-            phi[:, f] += weight * value * (ones[i] - share) * sum(w * c for w, c in zip(sizes, poly, strict=True))
+        code = np.zeros(len(x), np.int64)
+        for j, (f, test) in enumerate(path):
+            code |= test.passed(x[:, f]).astype(np.int64) << j
+        if m <= 16:                                        # which patterns are there: without sorting the rows
+            met = np.flatnonzero(np.bincount(code, minlength=1 << m))
+            place = np.zeros(1 << m, np.int64)
+            place[met] = np.arange(len(met))
+            at = place[code]
+        else:
+            met, at = np.unique(code, return_inverse=True)
+        ones = (met[:, None] >> np.arange(m) & 1).astype(float)
+        table = weight * value * _pattern_values(ones, [test.share for _, test in path])
+        phi[:, [f for f, _ in path]] += table[at]
 
 
 def expected_margin(trees: list[dict], weights: list[float]) -> float:
