@@ -9,6 +9,7 @@ so they are read from ``df.schema`` at plan-build time.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from riskweave.functions.expr import rround
 from pyspark.sql import types as T
 
 from riskweave.functions import expr as X
-from riskweave.operators.ordered import running_totals
+from riskweave.operators.ordered import running_totals, value_counts
 from riskweave.session import reliable_checkpoint
 
 SUMMARY_PROBS = [0.05, 0.5, 0.95]
@@ -117,10 +118,13 @@ SKETCH_MARGIN = 5
 
 
 def category_counts(df: DataFrame, categorical: list[str]) -> DataFrame:
-    """(feature, value, c): occurrences of every value of the categorical columns, NULL included, map-side combined."""
-    entries = [F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("string").alias("value")) for c in categorical]
-    long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.feature", "e.value")
-    return reliable_checkpoint(long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c")))
+    """(feature, value, c): occurrences of every value of the categorical columns, NULL included, map-side combined.
+
+    Each column is grouped on its own over that column alone, so no row is multiplied.
+    """
+    parts = [df.groupBy(F.col(f"`{c}`").cast("string").alias("value")).agg(F.count(F.lit(1)).alias("c")).select(F.lit(c).alias("feature"), "value", "c")
+             for c in categorical]
+    return reliable_checkpoint(reduce(DataFrame.unionByName, parts))
 
 
 def _refined_quantiles(wide: DataFrame, brackets: list[tuple]) -> dict[tuple[str, int], float]:
@@ -140,9 +144,12 @@ def _refined_quantiles(wide: DataFrame, brackets: list[tuple]) -> dict[tuple[str
         [(k, side, r - below[f"b{k}"]) for k, x in enumerate(brackets) for side, r in enumerate(x[4:6])], "k int, side int, r long")
     got = {(x["k"], x["side"]): x["v"] for x in ranked.join(wanted, "k").where("cum_n - n <= r and r < cum_n").select("k", "side", "v").collect()}
     out = {}
-    for k, (c, j, _, _, _, _, fraction) in enumerate(brackets):
+    for k, (c, j, _, _, *ranks, fraction) in enumerate(brackets):
         if (k, 0) not in got or (k, 1) not in got:
-            raise RuntimeError(f"the sketch did not bracket quantile {j} of {c}")
+            # the sketch missed this quantile: rank all values of the column
+            every = running_totals(value_counts(wide, c), "_v", ["_n"])
+            for side, r in enumerate(ranks):
+                got[k, side] = every.where((F.col("cum__n") - F.col("_n") <= r) & (F.lit(r) < F.col("cum__n"))).first()["_v"]
         out[c, j] = got[k, 0] + (got[k, 1] - got[k, 0]) * fraction
     return out
 

@@ -1002,6 +1002,20 @@ def q_one_hot(spark, sf):
         F.aggregate(f"{c}_onehot", F.lit(0.0), lambda a, x: a + x).alias(f"{c}_sum"))])
 
 
+@register("category_dictionary", """
+SELECT feature, label, n, CAST(dense_rank() OVER (PARTITION BY feature ORDER BY shown) - 1 AS INTEGER) AS slot FROM (
+  SELECT *, CASE WHEN n < 12 AND label <> '__null__' THEN '__rare__' ELSE label END AS shown FROM (
+    SELECT 'p_name' AS feature, p_name AS label, count(*) AS n FROM part GROUP BY 2 UNION ALL
+    SELECT 'p_type', p_type, count(*) FROM part GROUP BY 2 UNION ALL
+    SELECT 'p_size', coalesce(CASE WHEN p_size % 10 = 0 THEN NULL ELSE CAST(p_size AS VARCHAR) END, '__null__'), count(*) FROM part GROUP BY 2))""", round_digits=None)
+def q_category_dictionary(spark, sf):
+    """The dictionary of three part columns, labels under twelve rows together."""
+    from riskweave.operators import categories
+    from riskweave.sources.io import table_path
+    part = spark.read.parquet(table_path(sf, "part")).withColumn("p_size", F.when(F.col("p_size") % 10 != 0, F.col("p_size")))
+    return categories.dictionary(part, ["p_name", "p_type", "p_size"], min_count=12)
+
+
 def vector_to_array_col(c: str):
     from pyspark.ml.functions import vector_to_array
     return vector_to_array(c).alias(c.replace("__ohe", "_onehot"))
