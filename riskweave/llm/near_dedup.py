@@ -30,7 +30,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm import text as T
@@ -92,8 +92,8 @@ def _signatures(words: int, k: int):
             flush()
             flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
             sig = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * k), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), sig],
-                                             ["doc_id", "n_shingles", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), sig, batch.column(2)],
+                                             ["doc_id", "n_shingles", "digest", "sig", "text_hash"])
     return run
 
 
@@ -148,10 +148,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
 
     Texts are linked when 100 * |A and B| >= percent * |A or B| over their sets of ``words``-word shingles.
     """
-    spark: SparkSession = docs.sparkSession
+    return _components(docs, words, percent, coordinates, min_matches).drop("text_hash")
+
+
+def _components(docs: DataFrame, words: int, percent: int, coordinates: int, min_matches: int) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = reliable_checkpoint(base.mapInArrow(
-        _signatures(words, coordinates), "doc_id long, n_shingles long, digest string, sig array<bigint>"))
+    signed = reliable_checkpoint(base.select("doc_id", "text", F.md5("text").alias("text_hash")).mapInArrow(
+        _signatures(words, coordinates), "doc_id long, n_shingles long, digest string, sig array<bigint>, text_hash string"))
     classes = reliable_checkpoint(
         signed.where("n_shingles > 0").groupBy("digest")
         .agg(F.min("doc_id").alias("class_id"), F.max("n_shingles").alias("n_shingles"), F.any_value("sig").alias("sig"))
@@ -190,17 +193,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     of_class = (classes.select("cid", "digest", "class_id")
                 .join(joined.withColumnRenamed("node", "cid"), "cid", "left").join(best, "component", "left")
                 .select("digest", F.coalesce("component_id", "class_id").alias("component_id")))
-    return (signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
-            .select("doc_id", "n_shingles",
+    return (signed.select("doc_id", "n_shingles", "digest", "text_hash").join(of_class, "digest", "left")
+            .select("doc_id", "n_shingles", "text_hash",
                     F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of docs, all columns, one for each component: that of the smallest doc_id, repeated rows once."""
-    keep = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return (docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-            .dropDuplicates(["doc_id", "text"]))
+    """Rows of docs, all columns, one for each component: that of the smallest doc_id.
+
+    Rows that repeat both id and text are one, that of the smallest hash of all columns. Rows without an id stay where their
+    component has no id; of those with one text, one stays. Texts move once, dealt by id, which serves the join and the repeats.
+    """
+    names = docs.columns
+    mark, key = (_free(names, n) for n in ("kept", "key"))
+    labelled = _components(docs, words, percent, COORDINATES, MIN_MATCHES)
+    kept = labelled.where("kept").select(F.col("doc_id").alias(key), F.col("text_hash").alias(mark)).distinct()
+    rows = docs.withColumn(mark, F.md5(F.coalesce("text", F.lit(""))))
+    named = rows.where(F.col("doc_id").isNotNull()).join(
+        kept.where(F.col(key).isNotNull()).select(key).distinct(), F.col("doc_id").cast("long") == F.col(key), "left_semi")
+    nameless = rows.where(F.col("doc_id").isNull()).join(kept.where(F.col(key).isNull()).select(mark).distinct(), mark, "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", mark).orderBy(F.xxhash64(*names)))
+    return named.withColumn(key, first).where(F.col(key) == 1).select(*names).unionByName(
+        nameless.withColumn(key, first).where(F.col(key) == 1).select(*names))
+
+
+def _free(names: list[str], wanted: str) -> str:
+    """A column name that docs does not have."""
+    name = f"_{wanted}"
+    while name in names:
+        name += "_"
+    return name
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

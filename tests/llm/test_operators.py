@@ -160,3 +160,34 @@ def test_empty_tables(spark, nothing, docs):
                token_store.store_and_read(nothing), decontam.contamination(nothing, bench)):
         assert df.count() == 0
     assert decontam.decontaminate(docs, bench).count() == docs.count()
+
+
+def test_one_of_each_with_clashing_columns_and_repeats(spark):
+    from riskweave.llm import near_dedup
+    text = "one two three four five six seven"
+    rows = [(1, text, "a", "z", 1), (1, text, "b", "z", 1), (1, "other words stand here in row two", "c", "z", 1), (2, text, "a", "z", 1),
+            (None, text, "a", "z", 1), (None, "nothing like the rest of these rows", "a", "z", 1), (None, "nothing like the rest of these rows", "a", "z", 1),
+            (3, None, "a", "z", 1), (4, None, "a", "z", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _keep string, _kept string, _key int").repartition(3)
+    got = near_dedup.one_of_each(df)
+    assert got.columns == df.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    assert kept == sorted([(1, text), (1, "other words stand here in row two"), (3, None), (4, None),
+                           (None, "nothing like the rest of these rows")], key=str)
+    again = near_dedup.one_of_each(df.repartition(1))
+    assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))          # which of the repeated rows stays is fixed
+    assert near_dedup.one_of_each(df.limit(0)).count() == 0
+
+
+def test_components_of_chains_and_stars(spark):
+    import random
+
+    from riskweave.llm import graph
+    r = random.Random(1)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000), (7, 3)]
+    names = list(range(6000))
+    r.shuffle(names)
+    df = spark.createDataFrame([(names[a], names[b]) if r.random() < 0.5 else (names[b], names[a]) for a, b in edges], "u long, v long")
+    want = {names[i]: min(names[j] for j in range(301)) for i in range(301)} | {names[1000 + i]: min(names[1000 + j] for j in range(200)) for i in range(200)}
+    assert {x["node"]: x["component"] for x in graph.components(df).collect()} == want
+    assert graph.components(df.limit(0)).count() == 0
