@@ -9,6 +9,7 @@ Typical use on a cluster::
 """
 from __future__ import annotations
 
+import logging
 import os
 import time
 
@@ -21,6 +22,8 @@ from riskweave.session import ensure_checkpoint_dir, reliable_checkpoint
 from riskweave.sources.io import (SourcesConfig, load_sources, model_run_row, new_run_stamp, path_exists, read_table,
                                   run_stamp, save_model, write_contract)
 
+LOG = logging.getLogger(__name__)
+
 DASHBOARD_REQUIRED = ["AMT_INCOME_TOTAL", "DAYS_BIRTH", "AMT_CREDIT", "CODE_GENDER", "TARGET"]
 
 
@@ -100,8 +103,7 @@ def train_simulate(df: DataFrame, out_dir: str, model_type: str = "gbt", params:
     written["calibration_bins"] = write_contract(
         EV.calibration_bins(test_scored, target, "y_proba"), _out(out_dir, "calibration_bins"), fmt, True)
     explained = test if shap_rows is None else S.sample_rows(test, shap_rows, id_col, seed)
-    written["feature_importance_shap"] = write_contract(
-        SH.shap_importance(model, explained, names, id_col), _out(out_dir, "feature_importance_shap"), fmt, True)
+    written["feature_importance_shap"] = _explained(model, explained, names, id_col, _out(out_dir, "feature_importance_shap"), fmt)
     save_model(model, _out(out_dir, f"model_{label}"))
     run_id, created_at = new_run_stamp()
     scored_all = reliable_checkpoint(M.score(model, df).select(id_col, target, "y_proba"))
@@ -120,6 +122,18 @@ def train_simulate(df: DataFrame, out_dir: str, model_type: str = "gbt", params:
     return written
 
 
+def _explained(model, rows: DataFrame, names: list[str], id_col: str, path: str, fmt: str) -> str:
+    """Mean |SHAP| by feature; split importances under the same names if it cannot be worked out for this model."""
+    try:
+        return write_contract(SH.shap_importance(model, rows, names, id_col), path, fmt, True)
+    except Exception as exc:  # noqa: BLE001 - a failed job is no reason for another table
+        if M.failed_job(exc):
+            raise
+        LOG.warning("Shapley values failed (%s); writing split importances", exc)
+        split = M.split_importance(model, names)
+        return write_contract(split.withColumnRenamed("importance", "mean_abs_shap"), path, fmt, True)
+
+
 def compare_metrics(spark: SparkSession, out_dir: str, fmt: str = "csv",
                     baseline: str = "Baseline (no class weight)",
                     champion: str = "Champion (class_weight=balanced)") -> str | None:

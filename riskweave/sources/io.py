@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskweave.sources import publish
 from riskweave.sources.typed_csv import read_csv
 
 LOG = logging.getLogger(__name__)
@@ -36,14 +37,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, fmt: str | None = None,
                tolerance: float = 0.0, rejects_path: str | None = None) -> DataFrame:
-    """A1: lazily read a Parquet or CSV table; a missing path raises FileNotFoundError.
+    """A1: lazily read a Parquet or CSV table, the current version of a published one; a missing path raises FileNotFoundError.
 
     CSV columns that ``schema`` does not name get the types that their values fit (one pass over the file, see
     :mod:`riskweave.sources.typed_csv`). Rows that do not fit are written to ``rejects_path``; without one the read fails on the first.
     """
+    publish.repaired(spark, path)
     if not path_exists(spark, path):
         raise FileNotFoundError(f"table not found: {path}")
     fmt = fmt or ("csv" if path.lower().endswith((".csv", ".csv.gz")) else "parquet")
+    path = publish.current(spark, path)
     if fmt == "csv":
         rows, rejected = read_csv(spark, path, schema, tolerance, strict=rejects_path is None)
         if rejects_path is not None:
@@ -98,7 +101,7 @@ def load_sources(spark: SparkSession, cfg: SourcesConfig) -> tuple[DataFrame, di
 
 def write_contract(df: DataFrame, path: str, fmt: str = "parquet", report_sized: bool = False,
                    sort_cols: list[str] | None = None) -> str:
-    """A3: write one stable, header-ed table.
+    """A3: write one stable, header-ed table; the table before stays readable until the new one is whole.
 
     Report-sized outputs (a handful of rows) are coalesced to one file so
     BI tools see a single CSV; row-per-applicant outputs keep their
@@ -109,12 +112,7 @@ def write_contract(df: DataFrame, path: str, fmt: str = "parquet", report_sized:
         out = out.orderBy(*sort_cols)
     if report_sized:
         out = out.coalesce(1)
-    writer = out.write.mode("overwrite")
-    if fmt == "csv":
-        writer.option("header", True).csv(path)
-    else:
-        writer.format(fmt).save(path)
-    return path
+    return publish.replace(out, path, fmt)
 
 
 def save_model(model, path: str) -> str:
