@@ -231,31 +231,35 @@ def _bucket(length: int):
 
 
 def _without(batches):
-    """Rows (doc_id, text, runs) to sizes and the digest of what stays."""
+    """Rows (doc_id, text, runs) to sizes, and the digest and text of what stays."""
     for batch in batches:
-        sizes, gone, spans, digests = [], [], [], []
+        sizes, gone, spans, digests, texts = [], [], [], [], []
         for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            raw, merged, kept, at = text.encode(), [], hashlib.sha256(), 0
+            raw, merged, kept, at = text.encode(), [], [], 0
             for r in sorted(runs or [], key=lambda r: (r["start"], r["end"])):
                 if merged and r["start"] <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], r["end"])
                 else:
                     merged.append([r["start"], r["end"]])
             for a, b in merged:
-                kept.update(raw[at:a])
+                kept.append(raw[at:a])
                 at = b
-            kept.update(raw[at:])
+            rest = b"".join([*kept, raw[at:]])
             sizes.append(len(raw))
             gone.append(sum(b - a for a, b in merged))
             spans.append(len(merged))
-            digests.append(kept.hexdigest())
+            digests.append(hashlib.sha256(rest).hexdigest())
+            texts.append(rest.decode(errors="replace"))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, gone, spans)), pa.array(digests, pa.string())],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, gone, spans)), pa.array(digests, pa.string()), pa.array(texts, pa.string())],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
 
 def repeated_substrings(docs: DataFrame, length: int = LENGTH, key_rows: int = KEY_ROWS) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs (doc_id, text)."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) for each row of docs (doc_id, text).
+
+    text is what stays; a character that a removal cut in two shows as U+FFFD (the digest is of the bytes).
+    """
     spark: SparkSession = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select(
@@ -277,7 +281,7 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, key_rows: int = K
             .where("did is not null and (sure or seen > 1)")
             .groupBy("did", "tid").agg(F.collect_list(F.struct("start", "end")).alias("runs")))
     return texts.join(runs, ["did", "tid"], "left").select("doc_id", "text", "runs").mapInArrow(
-        _without, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        _without, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
