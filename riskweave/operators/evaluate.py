@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from riskweave.functions.expr import rround
 
 from riskweave.functions import expr as X
-from riskweave.operators.ordered import bucket_by_edges, quantile_edges_multi, running_totals
+from riskweave.operators.ordered import bucket_by_edges, running_totals
+from riskweave.operators.quantiles import column_quantiles
 
 LOG_LOSS_EPS = float(np.finfo(np.float64).eps)   # 2**-52
 
@@ -236,7 +237,7 @@ def reliability_curve(df: DataFrame, scores: dict[str, str], y: str = "y_true",
     """Quantile-binned reliability rows (bin = #interior edges < p), empty bins dropped,
     one block per method (score column), unioned."""
     out = None
-    all_edges = quantile_edges_multi(df, list(scores.values()), [i / n_bins for i in range(1, n_bins)])
+    all_edges = column_quantiles(df, list(scores.values()), [i / n_bins for i in range(1, n_bins)])
     for method, p in scores.items():
         edges = all_edges[p]
         if edges is None:

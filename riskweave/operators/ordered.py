@@ -69,7 +69,7 @@ def value_counts(df: DataFrame, value_col: str, group_cols: list[str] | tuple =
     return reliable_checkpoint(counts) if materialize else counts
 
 
-def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_cols: list[str] | tuple = (),
+def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_cols: list[str] | tuple,
                     n_buckets: int | None = None, out_col: str = "quantiles",
                     counts: DataFrame | None = None) -> DataFrame:
     """Linear-interpolated quantiles (NumPy 'linear' / SQL quantile_cont) over non-null values.
@@ -80,13 +80,12 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_col
     with map-side combine (or passed in as ``counts`` with columns
     group..., _v, _n), then ranked with :func:`running_totals`.
     """
-    group_cols = list(group_cols)
-    g = group_cols or ["_g"]
+    g = list(group_cols)
+    if not g:
+        raise ValueError("name the groups; column_quantiles takes whole columns")
     if counts is None:
-        counts = value_counts(df, value_col, group_cols)
+        counts = value_counts(df, value_col, g)
     counts = counts.where(F.col("_v").isNotNull())
-    if not group_cols:
-        counts = counts.withColumn("_g", F.lit(0))
     ranked = running_totals(counts, "_v", ["_n"], g, n_buckets=n_buckets)
     ranked = ranked.withColumn("_before", F.col("cum__n") - F.col("_n"))
     n_tot = counts.groupBy(*g).agg(F.sum("_n").alias("_N"))
@@ -108,27 +107,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], group_col
     q = vals.join(targets.select(*g, "_j", "_frac"), g + ["_j"]).select(
         *g, "_j", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("_q"))
     out = q.groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("_j", "_q"))).alias("_s"))
-    out = out.select(*g, F.transform("_s", lambda s: s["_q"]).alias(out_col))
-    return out if group_cols else out.drop("_g")
-
-
-def quantile_edges(df: DataFrame, value_col: str, probs: list[float], n_buckets: int | None = None) -> list[float] | None:
-    """Parameter-sized driver result: the quantile list of one column (None if all NULL)."""
-    rows = exact_quantiles(df, value_col, probs, n_buckets=n_buckets).collect()
-    return list(rows[0]["quantiles"]) if rows else None
-
-
-def quantile_edges_multi(df: DataFrame, cols: list[str], probs: list[float], n_buckets: int | None = None
-                         ) -> dict[str, list[float] | None]:
-    """Quantile lists of several columns from ONE value-count pass (columns unpivoted as groups)."""
-    if len(cols) == 1:
-        return {cols[0]: quantile_edges(df, cols[0], probs, n_buckets)}
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_x")) for c in cols])).alias("_e")
-    ).select("_e._col", "_e._x")
-    rows = exact_quantiles(long, "_x", probs, ["_col"], n_buckets=n_buckets).collect()   # one row per column
-    got = {r["_col"]: list(r["quantiles"]) for r in rows}
-    return {c: got.get(c) for c in cols}
+    return out.select(*g, F.transform("_s", lambda s: s["_q"]).alias(out_col))
 
 
 def count_below(x: Column, edges: Sequence[float], inclusive: bool = False) -> Column:

@@ -8,7 +8,6 @@ so they are read from ``df.schema`` at plan-build time.
 """
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +17,7 @@ from riskweave.functions.expr import rround
 from pyspark.sql import types as T
 
 from riskweave.functions import expr as X
-from riskweave.operators.ordered import running_totals, value_counts
+from riskweave.operators.quantiles import sketched_quantiles
 from riskweave.session import reliable_checkpoint
 
 SUMMARY_PROBS = [0.05, 0.5, 0.95]
@@ -112,11 +111,6 @@ def missingness_by_feature(df: DataFrame) -> DataFrame:
                     X.feature_group(F.col("column")).alias("feature_group"))
 
 
-#: Rank resolution of the quantile sketch, and the margin in its units that brackets a quantile for sure.
-SKETCH_ACCURACY = 10_000
-SKETCH_MARGIN = 5
-
-
 def category_counts(df: DataFrame, categorical: list[str]) -> DataFrame:
     """(feature, value, c): occurrences of every value of the categorical columns, NULL included, map-side combined.
 
@@ -127,54 +121,12 @@ def category_counts(df: DataFrame, categorical: list[str]) -> DataFrame:
     return reliable_checkpoint(reduce(DataFrame.unionByName, parts))
 
 
-def _refined_quantiles(wide: DataFrame, brackets: list[tuple]) -> dict[tuple[str, int], float]:
-    """Exact quantiles from brackets (column, probability index, low, high, first rank, second rank, fraction).
-
-    One aggregate counts the values below each bracket; only values inside a bracket (about a thousandth of the
-    rows) are grouped and ranked. At most two values per bracket reach the driver.
-    """
-    if not brackets:
-        return {}
-    below = wide.agg(*[F.count_if(F.col(f"`{c}`") < F.lit(lo)).alias(f"b{k}") for k, (c, _, lo, *_) in enumerate(brackets)]).first()
-    inside = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.when(F.col(f"`{c}`").between(lo, hi), F.col(f"`{c}`")).alias("v"))
-                                for k, (c, _, lo, hi, *_) in enumerate(brackets)]), lambda e: e["v"].isNotNull())
-    counts = (wide.select(F.explode(inside).alias("e")).select("e.k", "e.v").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")))
-    ranked = running_totals(counts, "v", ["n"], ["k"])
-    wanted = wide.sparkSession.createDataFrame(
-        [(k, side, r - below[f"b{k}"]) for k, x in enumerate(brackets) for side, r in enumerate(x[4:6])], "k int, side int, r long")
-    got = {(x["k"], x["side"]): x["v"] for x in ranked.join(wanted, "k").where("cum_n - n <= r and r < cum_n").select("k", "side", "v").collect()}
-    out = {}
-    for k, (c, j, _, _, *ranks, fraction) in enumerate(brackets):
-        if (k, 0) not in got or (k, 1) not in got:
-            # the sketch missed this quantile: rank all values of the column
-            every = running_totals(value_counts(wide, c), "_v", ["_n"])
-            for side, r in enumerate(ranks):
-                got[k, side] = every.where((F.col("cum__n") - F.col("_n") <= r) & (F.lit(r) < F.col("cum__n"))).first()["_v"]
-        out[c, j] = got[k, 0] + (got[k, 1] - got[k, 0]) * fraction
-    return out
-
-
 def _numeric_summary(df: DataFrame, wide: DataFrame, numeric: list[str], exact: bool) -> DataFrame:
     """Wide aggregates (no row is multiplied) for counts, moments and quantile sketches; then the brackets are refined."""
     row = wide.agg(F.count(F.lit(1)).alias("rows"), *[e for i, c in enumerate(numeric) for e in (
         F.count(f"`{c}`").alias(f"n{i}"), F.avg(f"`{c}`").alias(f"m{i}"), F.stddev_samp(f"`{c}`").alias(f"s{i}"))]).first()
 
-    def around(n: int) -> list[float]:
-        margin = SKETCH_MARGIN / SKETCH_ACCURACY + 2 / n if exact and n else 0.0
-        return [min(1.0, max(0.0, p + d)) for p in SUMMARY_PROBS for d in (-margin, margin)]
-
-    sketch = wide.agg(*[F.percentile_approx(f"`{c}`", around(row[f"n{i}"]), SKETCH_ACCURACY).alias(f"q{i}")
-                        for i, c in enumerate(numeric)]).first()                             # one row each, schema-bounded
-    quantiles, brackets = {}, []
-    for i, c in enumerate(numeric):
-        for j, p in enumerate(SUMMARY_PROBS if row[f"n{i}"] else ()):
-            lo, hi = sketch[f"q{i}"][2 * j:2 * j + 2]
-            at = p * (row[f"n{i}"] - 1)
-            if lo == hi:
-                quantiles[c, j] = lo
-            else:
-                brackets.append((c, j, lo, hi, int(at), math.ceil(at), at - int(at)))
-    quantiles |= _refined_quantiles(wide, brackets)
+    quantiles = sketched_quantiles(wide, {c: row[f"n{i}"] for i, c in enumerate(numeric)}, SUMMARY_PROBS, exact)
     rows = [(c, row["rows"], row[f"n{i}"], row[f"m{i}"], row[f"s{i}"] if row[f"n{i}"] > 1 else None,
              *(quantiles.get((c, j)) for j in range(len(SUMMARY_PROBS)))) for i, c in enumerate(numeric)]
     stats = df.sparkSession.createDataFrame(
@@ -254,12 +206,16 @@ def correlation_top(df: DataFrame, target: str = "TARGET", digits: int = 6) -> D
     num, _ = split_columns(df, drop=[target])
     if not num:
         return df.sparkSession.createDataFrame([], "feature string, corr_with_target double")
-    sel = df.select(F.col(f"`{target}`").cast("double").alias("__y"),
-                    *[F.col(f"`{c}`").cast("double").alias(c) for c in num])
-    long = sel.unpivot(["__y"], num, "feature", "x").where(F.col("x").isNotNull() & F.col("__y").isNotNull())
-    st = long.groupBy("feature").agg(
-        F.covar_pop("x", "__y").alias("cov"), F.stddev_pop("x").alias("sx"), F.stddev_pop("__y").alias("sy"),
-        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("__y").alias("y0"), F.max("__y").alias("y1"))
+    y, aggs = F.col(f"`{target}`").cast("double"), []
+    for i, c in enumerate(num):
+        # moments over the rows that hold both; one aggregate for all columns, no row is multiplied
+        x = F.col(f"`{c}`").cast("double")
+        xs, ys = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        aggs += [F.covar_pop(x, y).alias(f"cov{i}"), F.stddev_pop(xs).alias(f"sx{i}"), F.stddev_pop(ys).alias(f"sy{i}"),
+                 *[f(v).alias(f"{n}{i}") for f, v, n in ((F.min, xs, "x0"), (F.max, xs, "x1"), (F.min, ys, "y0"), (F.max, ys, "y1"))]]
+    row = df.agg(*aggs)
+    st = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), *[F.col(f"{n}{i}").alias(n) for n in ("cov", "sx", "sy", "x0", "x1", "y0", "y1")])
+                                        for i, c in enumerate(num)])).alias("s")).select("s.*")
     r = F.when((F.col("x0") == F.col("x1")) | (F.col("y0") == F.col("y1")), F.lit(None)).otherwise(
         F.try_divide(F.col("cov"), F.col("sx") * F.col("sy")))
     out = st.select("feature", r.alias("r")).where(F.col("r").isNotNull() & ~F.isnan("r"))

@@ -29,7 +29,7 @@ def _has(df: DataFrame, *cols: str) -> bool:
 
 def _require_id(df: DataFrame, what: str, id_col: str) -> None:
     if id_col not in df.columns:
-        raise ValueError(f"{what} must contain {id_col}")
+        raise ValueError(f"{what}: no id column {id_col}; columns are {', '.join(df.columns)}")
 
 
 def _sum0(c: Column) -> Column:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from riskweave.functions.expr import rround
 
 from riskweave.functions import expr as X
-from riskweave.operators.ordered import bucket_by_edges, quantile_edges, quantile_edges_multi
+from riskweave.operators.ordered import bucket_by_edges
+from riskweave.operators.quantiles import column_quantiles, quantile_edges
 from riskweave.session import reliable_checkpoint
 
 SEGMENT_COLS = ["segment_name", "segment_value", "n", "default_rate"]
@@ -86,7 +87,7 @@ def population_segments(df: DataFrame, target: str = "TARGET") -> DataFrame:
     df = reliable_checkpoint(df.select(*cols))
     measures = [c for c in ("AMT_INCOME_TOTAL", "AMT_CREDIT") if c in df.columns]
     # both measures' quintile edges from one value-count pass
-    edges = quantile_edges_multi(df, measures, [i / 5 for i in range(1, 5)]) if measures else {}
+    edges = column_quantiles(df, measures, [i / 5 for i in range(1, 5)]) if measures else {}
     parts = []
     if "AMT_INCOME_TOTAL" in df.columns:
         parts.append(segments_by_quantile(df, "AMT_INCOME_TOTAL", "income_band", 5, target,

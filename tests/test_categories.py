@@ -4,7 +4,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from riskweave.operators import categories as C, ml as M, profile
+from riskweave.operators import categories as C, ml as M, profile, quantiles
 
 
 @pytest.fixture(scope="module")
@@ -53,7 +53,7 @@ def test_a_million_labels_stay_off_the_driver(spark):
 def test_a_missed_bracket_falls_back_to_ranks(spark):
     wide = spark.createDataFrame([(float(i),) for i in range(100)], "v double")
     # the bracket 3..4 does not hold rank 50
-    assert profile._refined_quantiles(wide, [("v", 1, 3.0, 4.0, 50, 51, 0.5)]) == {("v", 1): 50.5}
+    assert quantiles.refine(wide, [("v", 1, 3.0, 4.0, 50, 51, 0.5)]) == {("v", 1): 50.5}
 
 
 def test_summary_counts_each_column_on_its_own(frame):

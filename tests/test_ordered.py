@@ -32,8 +32,21 @@ def test_exact_quantiles_match_numpy(spark, probs):
         assert np.allclose(out[key], expect, rtol=0, atol=1e-12)
 
 
-def test_exact_quantiles_ungrouped(spark):
-    vals = [1.0, 2.0, 3.0, 4.0]
-    df = spark.createDataFrame([(v,) for v in vals], "v double")
-    q = exact_quantiles(df, "v", [0.5, 0.25]).collect()[0]["quantiles"]
-    assert q == [2.5, 1.75]
+def test_quantiles_of_whole_columns(spark):
+    from riskweave.operators.quantiles import column_quantiles, quantile_edges
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=3000), rng.integers(0, 5, 3000).astype(float)
+    df = spark.createDataFrame([(float(a), float(b) if i % 3 else None, None) for i, (a, b) in enumerate(zip(x, y))], "`a b` double, y double, z double")
+    probs = [0.0, 0.1, 1 / 3, 0.5, 0.999, 1.0]
+    got = column_quantiles(df, ["a b", "y", "z"], probs)
+    assert np.allclose(got["a b"], np.quantile(x, probs)) and got["z"] is None
+    assert np.allclose(got["y"], np.quantile(y[np.arange(3000) % 3 != 0], probs))
+    assert quantile_edges(df.limit(1), "y", [0.5]) is None and column_quantiles(df, [], probs) == {}
+
+
+def test_plans_without_expand_or_nested_loops(spark):
+    from riskweave.operators import profile, segments
+    df = spark.createDataFrame([(i % 2, float(i), i % 7) for i in range(50)], "TARGET int, a double, b int")
+    for out in (profile.correlation_top(df), segments.quantile_bin(df, "a", 3, ["x", "y", "z"])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Expand" not in plan and "Cartesian" not in plan
