@@ -82,5 +82,5 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 def test_registry_is_complete():
-    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 14))
     assert set(registry.ORACLES) <= set(registry.QUERIES) and "pipeline" in corpus_pipeline.QUERIES
