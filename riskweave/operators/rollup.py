@@ -200,8 +200,7 @@ def enrich(base: DataFrame, aggregates: dict[str, DataFrame | None], id_col: str
     drops the columns of sources with no keyed row, as the pandas pipeline
     does, at the cost of one LIMIT-1 probe job over all sources.
     """
-    if id_col not in base.columns:
-        raise ValueError(f"application table must contain {id_col}")
+    _require_id(base, "application table", id_col)
     out = base
     added: list[str] = []
     probed = ({n: s for n, s in (sources or {}).items() if n in aggregates and id_col in s.columns}
