@@ -92,8 +92,8 @@ def _signatures(words: int, k: int):
             flush()
             flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
             sig = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * k), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), sig, batch.column(2)],
-                                             ["doc_id", "n_shingles", "digest", "sig", "text_hash"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), sig, *batch.columns[2:]],
+                                             ["doc_id", "n_shingles", "digest", "sig", *batch.schema.names[2:]])
     return run
 
 
