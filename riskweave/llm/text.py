@@ -15,6 +15,9 @@ CHUNK_BYTES = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
+_GRAM_SEED = 97
+#: Values of a run that one polynomial covers.
+BLOCK = 32
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -92,14 +95,37 @@ def word_spans(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[n
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run of 64-bit values, equal for equal runs wherever they stand.
+
+    A polynomial modulo 2**64 alone is the same for some pairs of long runs of two values (a Thue-Morse word of
+    1,024 letters and its complement). So runs of more than ``BLOCK`` values are hashed in blocks from their start,
+    and what is summed are the mixed hashes of the numbered blocks.
+    """
+    up, down = powers(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[:-1], out=total[1:])
+
+    def polynomial(a, b):
+        h = (total[b] - total[a]) * down[a]
+        h += (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return mix(h)
+
+    out = polynomial(starts, ends)
+    long = np.flatnonzero(ends - starts > BLOCK)
+    if len(long):
+        n = -(-(ends[long] - starts[long]) // BLOCK)
+        head = np.cumsum(n) - n
+        place = np.arange(n.sum()) - np.repeat(head, n)
+        a = np.repeat(starts[long], n) + BLOCK * place
+        b = np.minimum(a + BLOCK, np.repeat(ends[long], n))
+        out[long] = mix(np.add.reduceat(mix(polynomial(a, b) + (place + 1).astype(np.uint64) * _ODD), head))
+    return out
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte span, equal for equal bytes wherever they stand."""
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    h += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(h)
+    return run_hashes(_BYTE[data], starts, ends)
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -107,6 +133,7 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     if len(words) < n:
         return np.zeros(0, np.uint64)
     out = np.zeros(len(words) - n + 1, np.uint64)
+    scale = np.random.default_rng(_GRAM_SEED).integers(0, 1 << 64, max(n, 1), dtype=np.uint64) | np.uint64(1)
     for j in range(n):
-        out += words[j:len(words) - n + 1 + j] * np.uint64((2 * j + 1) * 0x9E3779B97F4A7C15 % (1 << 64) | 1)
+        out += words[j:len(words) - n + 1 + j] * scale[j]
     return mix(out)

@@ -164,11 +164,6 @@ class Encoder:
 
     @staticmethod
     def _hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        up, down = T.powers(len(points) + 1)
         v = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
         v ^= v >> np.uint64(29)
-        total = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(v * up[:-1], out=total[1:])
-        h = (total[ends] - total[starts]) * down[starts]
-        h += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        return np.maximum(T.mix(h), np.uint64(1))
+        return np.maximum(T.run_hashes(v, starts, ends), np.uint64(1))
