@@ -3,9 +3,9 @@
 Terms are lower-cased runs without white space, by 64-bit hash. Their document frequencies are counted
 exactly over all documents; the lexicon keeps the terms within a band of inverse document frequency,
 log(documents / df). The band's upper end bounds the lexicon whatever the corpus: terms in at least a
-share x of the documents number at most (mean distinct terms of a document) / x. It reaches the tasks as
-a bit set of ``SLOTS`` bits, one hash each: a rare term outside the lexicon passes by accident now and
-then, the same one everywhere.
+share x of the documents number at most (mean distinct terms of a document) / x. Its hashes reach the
+tasks sorted by ``SLOTS`` slots, with a bit set of the slots that are filled: a term whose bit is unset is
+outside, any other is looked up among the few lexicon terms of its slot, so the band is exact.
 
 A fingerprint hashes the sorted distinct lexicon terms of a text under several subsets of the lexicon:
 the whole, and ``DRAWS`` draws of randomised subsets. A draw quarters the lexicon again and again
@@ -22,7 +22,9 @@ successor; an empty table gives an empty result; extra columns are ignored.
 """
 from __future__ import annotations
 
+import itertools
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,25 +43,44 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def lexicon(docs: DataFrame, band=IDF_BAND) -> str:
-    """SQL array literal of the bit set of the terms of docs (text) within the idf band."""
+class Lexicon(NamedTuple):
+    """SQL array literals: bits of the filled slots, terms in slot order, and where each group of 64 slots begins."""
+
+    bits: str
+    terms: str
+    starts: str
+
+
+def lexicon(docs: DataFrame, band=IDF_BAND) -> Lexicon:
+    """The terms of docs (text) within the idf band."""
     n = docs.count()
     low, high = n * math.exp(-band[1]), n * math.exp(-band[0])
     df = docs.select(F.explode(terms(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    words = (df.where((F.col("df") >= low) & (F.col("df") <= high))
-             .select(F.expr(f"t & {SLOTS - 1}").alias("slot")).groupBy(F.expr("slot >> 6").alias("word"))
-             .agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).collect())  # SLOTS / 64 rows at most
-    bits = {r["word"]: r["bits"] for r in words}
-    return "cast(split('" + ",".join(str(bits.get(i, 0)) for i in range(SLOTS // 64)) + "', ',') as array<bigint>)"
+    groups = (df.where((F.col("df") >= low) & (F.col("df") <= high))
+              .select("t", F.expr(f"t & {SLOTS - 1}").alias("slot")).groupBy(F.expr("slot >> 6").alias("word"))
+              .agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"),
+                   F.array_sort(F.collect_list("t")).alias("terms")).collect())  # bounded: see above
+    of = {r["word"]: r for r in groups}
+    found = [of[i]["terms"] if i in of else [] for i in range(SLOTS // 64)]
+    return Lexicon(_literal((of[i]["bits"] if i in of else 0 for i in range(SLOTS // 64)), "bigint"),
+                   _literal((t for group in found for t in group), "bigint"),
+                   _literal(itertools.accumulate((len(group) for group in found), initial=1), "int"))
+
+
+def _literal(values, kind: str) -> str:
+    text = ",".join(map(str, values))
+    return f"cast(split('{text}', ',') as array<{kind}>)" if text else f"cast(array() as array<{kind}>)"
 
 
-def fingerprint(text: Column, lexicon_sql: str) -> Column:
+def fingerprint(text: Column, lexicon: Lexicon) -> Column:
     """DRAWS + 1 subset hashes of a text; none if it has no term."""
-    of = F.expr(lexicon_sql)
+    bits, within, starts = (F.expr(sql) for sql in lexicon)
 
     def known(x):
-        word = F.element_at(of, (F.shiftright(x.bitwiseAND(F.lit(SLOTS - 1)), 6) + 1).cast("int"))
-        return F.getbit(word, x.bitwiseAND(F.lit(63)).cast("int")) == 1
+        group = (F.shiftright(x.bitwiseAND(F.lit(SLOTS - 1)), 6) + 1).cast("int")
+        first = F.element_at(starts, group)
+        return (F.getbit(F.element_at(bits, group), x.bitwiseAND(F.lit(63)).cast("int")) == 1) & F.array_contains(
+            F.slice(within, first, F.element_at(starts, group + 1) - first), x)
 
     def bound(value, then):  # a value that is used several times is computed once
         return F.transform(F.array(value), then)[0]
