@@ -27,12 +27,13 @@ from riskweave.session import reliable_checkpoint
 
 def running_totals(df: DataFrame, order_key: str, measures: list[str], group_cols: list[str] | tuple = (),
                    tie_breakers: list[str] | tuple = (), n_buckets: int | None = None,
-                   prefix: str = "cum_") -> DataFrame:
+                   prefix: str = "cum_", ahead: list[str] | tuple = ()) -> DataFrame:
     """Inclusive running sums of ``measures`` ordered by (order_key, *tie_breakers) within groups.
 
     Every row stays, whatever its group or key: NULL is a group like others, and NULL keys come first.
     Rows should be unique on (group, order_key, tie_breakers) for a
-    deterministic order. Adds ``{prefix}{m}`` for every measure.
+    deterministic order. Adds ``{prefix}{m}`` for every measure, and with ``ahead`` a struct ``next`` of those
+    columns of the group's next row (NULL at its end); a partition's last row meets the first of the next one.
     """
     group_cols = list(group_cols)
     parts = n_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -43,15 +44,22 @@ def running_totals(df: DataFrame, order_key: str, measures: list[str], group_col
     key = [*group_cols, "_part"]
     within = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.select("*", *[F.sum(m).over(within).alias(f"_loc_{m}") for m in measures])
+    heads, nexts, found = [], [], []
+    if ahead:
+        local = local.withColumn("_inside", F.lead(F.struct(*ahead)).over(Window.partitionBy(*key).orderBy(*order)))
+        heads = [F.min_by(F.struct(*ahead), F.struct(order_key, *tie_breakers)).alias("_head")]
+        nexts = [F.lead("_head").over(Window.partitionBy(*group_cols).orderBy("_part")).alias("_beyond")]
+        found = [F.coalesce("_inside", "_beyond").alias("next")]
     before = Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy(*key).agg(*[F.sum(m).alias(f"_tot_{m}") for m in measures])
+    totals = ranged.groupBy(*key).agg(*[F.sum(m).alias(f"_tot_{m}") for m in measures], *heads)
     offsets = totals.select(*[F.col(k).alias(f"_at_{k}") for k in key],
-                            *[F.coalesce(F.sum(f"_tot_{m}").over(before), F.lit(0)).alias(f"_off_{m}") for m in measures])
+                            *[F.coalesce(F.sum(f"_tot_{m}").over(before), F.lit(0)).alias(f"_off_{m}") for m in measures],
+                            *nexts)
     same = F.lit(True)
     for k in key:
         same = same & F.col(k).eqNullSafe(F.col(f"_at_{k}"))
     return local.join(offsets, same).select(
-        *df.columns, *[(F.col(f"_off_{m}") + F.col(f"_loc_{m}")).alias(f"{prefix}{m}") for m in measures])
+        *df.columns, *[(F.col(f"_off_{m}") + F.col(f"_loc_{m}")).alias(f"{prefix}{m}") for m in measures], *found)
 
 
 def value_counts(df: DataFrame, value_col: str, group_cols: list[str] | tuple = (), keep_nulls: bool = False,

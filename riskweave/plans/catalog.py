@@ -626,6 +626,15 @@ def q_roc_curve(spark, sf):
     return EV.roc_curve(A.predictions(spark, sf))
 
 
+@register("roc_corners", with_ctes(
+    f"SELECT 'inf'::DOUBLE AS threshold, 0e0 AS fpr, 0e0 AS tpr UNION ALL "
+    f"SELECT score AS threshold, cn / N AS fpr, cp / P AS tpr FROM ("
+    f"SELECT *, lead(pos) OVER (ORDER BY score DESC) AS pos1, lead(neg) OVER (ORDER BY score DESC) AS neg1 FROM {_desc()}) "
+    f"WHERE pos1 IS NULL OR pos::HUGEINT * neg1::HUGEINT <> neg::HUGEINT * pos1::HUGEINT", "predictions"))
+def q_roc_corners(spark, sf):
+    return EV.roc_corners(A.predictions(spark, sf))
+
+
 @register("auc_roc", with_ctes(_AUC_SQL, "predictions"))
 def q_auc_roc(spark, sf):
     return EV.auc_roc(A.predictions(spark, sf))

@@ -70,6 +70,7 @@ DOUBLE_COLUMNS = {'age_band': [],
  'quantile_bin': ['AMT_CREDIT'],
  'reliability_curve': ['mean_predicted', 'fraction_positive'],
  'risk_band': ['y_proba'],
+ 'roc_corners': ['threshold', 'fpr', 'tpr'],
  'roc_curve': ['threshold', 'fpr', 'tpr'],
  'run_stamp': ['y_proba'],
  'safe_div': ['credit_to_app'],
