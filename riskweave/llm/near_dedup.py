@@ -11,10 +11,14 @@ K (coordinate, value) pairs are its tokens, and classes are posted under them:
 * *prefix*: two classes that agree on ``min_matches`` tokens share one of the rarest
   K - min_matches + 1 tokens of each, in one global order (rarest first). Only those are posted,
   and a token that one class alone has is counted but never posted.
-* *skip*: posting lists that share a class merge into a family. Inside a family collisions are
-  counted block by block; pairs already connected, and pairs whose sizes rule the similarity out,
-  are skipped; the rest are confirmed on full shingle sets. A block emits at most one link per
-  class, so no task emits pairs, and large families are spread over pairs of blocks.
+* *skip*: posting lists that share a class go to one task, as a family. There each class merges its
+  lists, so only classes that share a posted token meet; those already connected with it, and those
+  whose sizes rule the similarity out, are skipped; of the rest the collisions are counted, and pairs
+  above the threshold are confirmed on full shingle sets, most collisions first. A task emits at most
+  one link per class, never pairs.
+* *large families* are dealt into blocks. A class goes to a pair of blocks only if a list of its own has
+  members in the other one: a long chain of texts costs what its lists hold, not the square of the
+  family. Lists are met by (token, block), so a frequent token is spread over its blocks.
 
 Links between classes, not copies: a group of equal texts costs one class.
 
@@ -114,24 +118,42 @@ def _sets(words: int):
     return run
 
 
+def _lists(sig: np.ndarray, posted: list) -> list[list[np.ndarray]]:
+    """Per class the posting lists of its prefix, each cut before the class itself."""
+    before: list[list[np.ndarray]] = [[] for _ in posted]
+    rows = np.repeat(np.arange(len(posted)), [len(p) for p in posted])
+    places = np.concatenate(posted)
+    for place in np.unique(places):
+        members = rows[places == place]
+        order = members[np.argsort(sig[members, place], kind="stable")]
+        value = sig[order, place]
+        first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+        for start, end in zip(first, np.append(first[1:], len(order))):
+            for at in range(start + 1, end):
+                before[order[at]].append(order[start:at])
+    return before
+
+
 def _links(min_matches: int, percent: int):
     """Within one block, or across one pair of blocks, of a family: links that join its classes."""
-    def run(block: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         cid, side = block["cid"].to_numpy(), block["side"].to_numpy()
         sig = np.stack(block["sig"].to_list())
         sets = [np.asarray(s) for s in block["shingles"]]
         size = np.array([len(s) for s in sets])
         root, out = np.arange(len(cid)), []
-        across = bool((side != side[0]).any())
-        for i in range(len(cid) - 1):
-            j = np.arange(i + 1, len(cid))
+        across = key[1] != key[2]
+        for i, lists in enumerate(_lists(sig, [np.asarray(p) for p in block["posted"]])):
+            if not lists:
+                continue
+            j = np.flatnonzero(np.bincount(np.concatenate(lists)))
             j = j[(root[j] != root[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))]
             if across:
                 j = j[side[j] != side[i]]
             if not len(j):
                 continue
-            j = j[(sig[j] == sig[i]).sum(1) >= min_matches]
-            for x in j:
+            matches = (sig[j] == sig[i]).sum(1)
+            for x in j[np.argsort(-matches, kind="stable")][:int((matches >= min_matches).sum())]:
                 if root[x] == root[i]:
                     continue
                 both = len(np.intersect1d(sets[i], sets[x], assume_unique=True))
@@ -142,6 +164,14 @@ def _links(min_matches: int, percent: int):
     return run
 
 
+def _meetings(postings: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cid, other): the blocks in which a class (cid, side) of a large family shares a posted token with another or itself."""
+    lists = postings.join(classes.select("cid", "side"), "cid")
+    blocks = lists.select("token", "side").distinct()
+    pairs = blocks.join(blocks.select("token", F.col("side").alias("other")), "token")
+    return lists.join(pairs, ["token", "side"]).select("cid", "other").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int = COORDINATES,
                     min_matches: int = MIN_MATCHES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
@@ -161,31 +191,38 @@ def _components(docs: DataFrame, words: int, percent: int, coordinates: int, min
         .withColumn("cid", F.monotonically_increasing_id()))
 
     tokens = classes.select("cid", F.posexplode("sig")).select(
-        "cid", F.xxhash64("pos", "col").alias("token"))
+        "cid", "pos", F.xxhash64("pos", "col").alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
     rest = coordinates - min_matches + 1
-    prefix = (tokens.join(common, "token").groupBy("cid")
-              .agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("s"))  # at most K entries
-              .select("cid", F.explode(F.slice("s", F.lit(1), F.greatest(F.lit(0), rest - (coordinates - F.size("s"))))).alias("t"))
-              .select("cid", F.col("t.token").alias("token")))
-    postings = reliable_checkpoint(prefix)
+    posted = reliable_checkpoint(
+        tokens.join(common, "token").groupBy("cid")
+        .agg(F.array_sort(F.collect_list(F.struct("f", "token", "pos"))).alias("s"))  # at most K entries
+        .select("cid", F.slice("s", F.lit(1), F.greatest(F.lit(0), rest - (coordinates - F.size("s")))).alias("s"))
+        .select("cid", F.col("s.token").alias("tokens"), F.col("s.pos").alias("posted")))
+    postings = posted.select("cid", F.explode("tokens").alias("token"))
     heads = postings.groupBy("token").agg(F.min("cid").alias("head"), F.count("*").alias("n")).where("n > 1")
     family = components(postings.join(heads, "token").where("cid <> head")
                         .select(F.col("cid").alias("u"), F.col("head").alias("v")))
     family = reliable_checkpoint(family.join(classes.withColumnRenamed("cid", "node"), "node")
+                                 .join(posted.select(F.col("cid").alias("node"), "posted"), "node")
                                  .select(F.col("node").alias("cid"), F.col("component").alias("family"),
-                                         "class_id", "digest", "n_shingles", "sig"))
+                                         "class_id", "digest", "n_shingles", "sig", "posted"))
 
     sets = (base.join(family.select(F.col("class_id"), "cid", "digest"), F.col("doc_id").eqNullSafe(F.col("class_id")))
             .select("doc_id", "text", "cid", "digest").mapInArrow(_sets(words), "cid long, shingles array<bigint>")
             .groupBy("cid").agg(F.any_value("shingles").alias("shingles")))
-    blocks = family.groupBy("family").agg(F.greatest(
+    large = reliable_checkpoint(family.groupBy("family").agg(F.greatest(
         F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = (family.join(blocks, "family").join(sets, "cid")
-             .withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("family", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"),
-                     "side", "cid", "sig", "shingles"))
+        .where("blocks > 1"))
+    members = family.select("cid", "family", "sig", "posted").join(large, "family", "left").withColumn(
+        "side", F.coalesce(F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"), F.lit(0)))
+    placed = members.where("blocks is null").withColumn("other", F.lit(0))
+    if not large.isEmpty():
+        cut = members.where("blocks is not null")
+        placed = placed.unionByName(cut.join(_meetings(postings, cut), "cid"))
+    dealt = placed.join(sets, "cid").select(
+        "family", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"),
+        "side", "cid", "sig", "posted", "shingles")
     links = dealt.groupBy("family", "lo", "hi").applyInPandas(_links(min_matches, percent), "u long, v long")
     joined = components(links)
     best = joined.join(classes.select(F.col("cid").alias("node"), "class_id"), "node") \
