@@ -1,13 +1,19 @@
 """Secret scans with assignment-aware lexing.
 
 Three base patterns find assignments of long values to tell-tale names, access keys and long hex runs.
-Beside them every text is lexed as source or configuration: names before ``=``, ``:``, ``:=`` or ``=>`` are
-paired with the literals of the expression that follows (quoted strings, joined by ``+``, and bare names).
-Names assigned before stand for their literals, so a constant keeps its spans when it is passed on under
-another name; a type between ``:`` and ``=`` is skipped. A literal's score is the weight of a target name that it
-reaches plus a grade of its length, variety and mix of letters and digits; the best one counts, and from ``THRESHOLD``
-on the literal is reported as kind ``literal``. Short, uniform and placeholder literals score 0, and so do
-literals with blanks unless the name is that of a passphrase.
+Beside them every text is lexed as source or configuration. Names are paired with the expression that follows:
+after ``=``, ``:``, ``:=`` or ``=>``, as the content of an element ``<name>``, as the argument of ``set_name(...)`` (also
+``with``, ``add``) and after an option ``--name``. An expression joins literals and names by ``+``; ``||``, ``??`` and ``or``
+part it into alternatives, and the default of a lookup (``getenv("X", ...)``) stands for the call; other calls stand
+for nothing. Literals are quoted by
+``"``, ``'``, backticks or three quotes, or bare. Names assigned before stand for their expressions, so a constant
+keeps its spans when it is passed on under another name; a type between ``:`` and ``=`` is skipped (each name of it up to 64
+characters, 80 in brackets, five alternatives: what is longer is lexed as a value). A literal's score is the weight of a
+target name that it reaches plus a grade of its length, variety and mix of letters and digits. Where an expression joins quoted
+literals, its whole value is scored as well (each literal taken once) and counts for every part of it. The best score
+counts, and from ``THRESHOLD`` on the literal is reported as kind ``literal``. Short, uniform and placeholder literals score
+0, and so do literals with blanks unless the name is that of a passphrase, and bare values of options
+and alternatives without a digit.
 
 Texts are scanned whole, in place; a byte-class pass and substring tests leave most texts to no lexer.
 
@@ -17,6 +23,7 @@ code points, end exclusive; equal spans of one kind are reported once; extra col
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from collections import Counter
@@ -43,10 +50,18 @@ _HEX = re.compile(r"[0-9a-f]+")
 _HEX_BYTES = T.byte_class(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x66)
 _TYPE = r"""&?(?:'[a-z_]+[ \t]+)?(?:mut[ \t]+)?[A-Za-z_][A-Za-z0-9_.:]{0,63}(?:[\[<][^\n=;"]{0,80}[\]>])?(?:\[\])?[?!]?"""
 _TARGET = re.compile(
-    r"""(?<![\w.-])(["']?)([A-Za-z_][A-Za-z0-9_.-]{0,127})\1\??[ \t]*"""
+    r"""(?<![\w.-])(["']?)([A-Za-z_][A-Za-z0-9_.-]*+)\1\??[ \t]*"""
     rf"""(?::[ \t]*{_TYPE}(?:[ \t]*\|[ \t]*{_TYPE}){{0,4}}(?:[ \t]*=(?=[ \t]*["'])|[ \t]+=(?=[ \t]+[A-Za-z_]))|:=|=>|[:=])[ \t]*""", re.ASCII)
-_TERM = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9_][A-Za-z0-9_.+/=-]*))""", re.ASCII)
-_PLUS = re.compile(r"[ \t]*\+")
+_ELEMENT = re.compile(r"""<([A-Za-z_][A-Za-z0-9_.:-]*+)(?:\s[^<>]*+)?>([^<>]*+)</\1\s*>""", re.ASCII)
+_SETTER = re.compile(r"""(?<!\w)(?:set|with|add)_?([A-Za-z]\w*+)\([ \t]*""", re.ASCII)
+_OPTION = re.compile(r"""(?<![\w-])--([A-Za-z][A-Za-z0-9_-]*+)(?:=|[ \t]+)""", re.ASCII)
+_BARE = 6
+_TERM = re.compile(
+    r"""[ \t]*(?:(?:[rbuRBU]{1,2}(?=["']))?(?:\"{3}((?:[^\\]|\\.)*?)\"{3}|'{3}((?:[^\\]|\\.)*?)'{3}|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)')"""
+    r"""|`((?:[^`\\\n]|\\.)*)`|([A-Za-z0-9_][A-Za-z0-9_.+/=-]*))""", re.ASCII)
+_JOIN = re.compile(r"[ \t]*(\+|\|\||\?\?)|[ \t]+or\b")
+_LOOKUP = re.compile(r"(?:^|[._])(?:getenv|environ\.get|config\.get|getProperty|getOrDefault|env)$")
+_DEFAULT = re.compile(r"""\([ \t]*(?:"[^"\n]*"|'[^'\n]*'|[\w.]+)[ \t]*,(?=[ \t]*["'`A-Za-z_])""", re.ASCII)
 _NAME_WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 _PLACEHOLDER = re.compile(r"(?i)\$\{|\{\{|<[^>]*>|xxxx|example|change.?me|your|placeholder|redacted|\*\*\*")
 _HINTS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "private", "bearer", "salt", "api", "access", "signing", "encryption")
@@ -96,26 +111,80 @@ def score(name: str, value: str, quoted: bool = True) -> float:
     return weight + grade
 
 
+def _expression(text: str, at: int, known: dict) -> tuple[list[list], int]:
+    """The alternatives of the expression at ``at`` and its end; parts are literals (start, end, quoted) and known expressions."""
+    alternatives: list[list] = [[]]
+    while term := _TERM.match(text, at):
+        at, group = term.end(), term.lastindex
+        if group != _BARE:
+            alternatives[-1].append((*term.span(group), True))
+        else:  # a bare name stands for its expression, any other bare value for itself
+            value = term[group]
+            name = value if value in known else value.rstrip("+")
+            if name in known:
+                at -= len(value) - len(name)
+                alternatives[-1].append(known[name])
+            elif _LOOKUP.search(value) and (default := _DEFAULT.match(text, at)):
+                at = default.end()
+                continue
+            elif text.startswith("(", at):  # a call: no literal, and nothing known to join
+                alternatives[-1].append((at, at, False))
+            else:
+                alternatives[-1].append((*term.span(group), False))
+        join = _JOIN.match(text, at)
+        if not join:
+            break
+        at = join.end()
+        if join[1] != "+":
+            alternatives.append([])
+    return alternatives, at
+
+
+def _literals(parts: list) -> list[tuple[int, int, bool]]:
+    """The literals that parts stand for, each once, in order."""
+    out, seen, stack = {}, set(), parts[::-1]
+    while stack:
+        part = stack.pop()
+        if isinstance(part, tuple):
+            out[part] = None
+        elif id(part) not in seen:
+            seen.add(id(part))
+            stack += [p for alternative in part[::-1] for p in alternative[::-1]]
+    return list(out)
+
+
+def _pairs(text: str):
+    """(name, expression) of all name-literal pairs, in order of the text."""
+    known: dict[str, list[list]] = {}
+    for m in heapq.merge(*(p.finditer(text) for p in (_TARGET, _ELEMENT, _SETTER, _OPTION)), key=lambda m: m.start()):
+        if m.re is _ELEMENT:
+            value = m[2].strip()
+            at = m.start(2) + len(m[2]) - len(m[2].lstrip())
+            yield m[1], [[(at, at + len(value), False)]]
+            continue
+        expression, end = _expression(text, m.end(), known)
+        if m.re is _TARGET:
+            known[m[2]] = expression
+            yield m[2], expression
+        elif m.re is _OPTION and any(q or any(c.isdigit() for c in text[a:b]) for a, b, q in _literals(expression[0])):
+            yield m[1], expression
+        elif m.re is _SETTER and text[end:end + 8].lstrip(" \t").startswith(")"):
+            yield m[1], expression
+
+
 def literal_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of literals that reach a sensitive name."""
-    known: dict[str, list[tuple[int, int]]] = {}
     best: dict[tuple[int, int], float] = {}
-    for m in _TARGET.finditer(text):
-        at, spans = m.end(), []
-        while term := _TERM.match(text, at):
-            at = term.end()
-            if term[3] is not None:  # a bare name stands for its literals, any other bare value for itself
-                spans += known.get(term[3], [term.span(3)])
-            else:
-                spans.append(term.span(1) if term[1] is not None else term.span(2))
-            plus = _PLUS.match(text, at)
-            if not plus:
-                break
-            at = plus.end()
-        known[m[2]] = spans
-        if name_weight(m[2]):
-            for a, b in spans:
-                best[a, b] = max(best.get((a, b), 0.0), score(m[2], text[a:b], text[a - 1] in "\"'"))
+    for name, expression in _pairs(text):
+        if not name_weight(name):
+            continue
+        for alternative in expression:
+            parts = _literals(alternative)
+            constant = len(parts) > 1 and all(quoted for _, _, quoted in parts)
+            whole = score(name, "".join(text[a:b] for a, b, _ in parts)) if constant else 0.0
+            for a, b, quoted in parts:
+                if b > a and (quoted or len(expression) == 1 or any(c.isdigit() for c in text[a:b])):
+                    best[a, b] = max(best.get((a, b), 0.0), whole, score(name, text[a:b], quoted))
     return sorted((a, 3, b) for (a, b), w in best.items() if w >= THRESHOLD)
 
 
