@@ -9,17 +9,17 @@ anchor, and each anchor stands for the run of suffixes (starts) whose 400 bytes
 1. *Candidates*: a repeated string holds a repeated half around its anchor (the ``HALF`` bytes from it,
    or the ``HALF`` bytes before its 16th). Counts of half hashes, pre-aggregated in every task, leave the anchors with a
    repeated half; all others stand for unrepeated strings only.
-2. *Pre-aggregation*: candidates whose whole context (all bytes of their run of strings) is equal
-   collapse to one row; their strings are all repeated. A group of copies costs one row a context.
-3. *Suffix sort*: distinct contexts are range-partitioned by their leading tokens, the bytes at the
-   anchor, between splitters sampled from all contexts. A splitter may fall inside a hot key. Inside a bucket no
-   bytes are compared: each suffix stands as two 64-bit hashes, one of its half and place and one digest of its 400
-   bytes, sorted by multikey quicksort, and neighbours with both equal count as equal strings. Only equality is asked
-   for, and two hashes a suffix take the place of up to 50 tokens; digests also compare the suffixes of each bucket's
-   first and last key across the boundaries, through counts. A wrong match needs both hashes to collide.
+2. *Suffix sort*: contexts (all bytes of a run of strings) are range-partitioned by their leading tokens, the bytes at
+   the anchor, between splitters sampled from all contexts. A splitter may fall inside a hot key. Inside a bucket contexts
+   with the same bytes collapse to one row, whose strings are all repeated, and the suffixes of the distinct ones are sorted by
+   multikey quicksort on their own bytes, eight to a token: a suffix is read as far as it is tied. Neighbours
+   whose tokens are all equal are equal strings, byte for byte.
+3. *Boundaries*: equal strings of a key that was cut (more than ``KEY_ROWS`` contexts) may lie in several buckets. Of such keys each
+   bucket sends the suffixes it has not matched, and one of each repeated string, as two 64-bit hashes (of half and place, and of
+   the 400 bytes); counts compare them across buckets. A wrong match there needs both hashes to collide.
 4. Repeated starts return to their documents as runs and the bytes they cover are removed.
 
-Texts move once (to meet their spans), contexts of candidates once; anchors move as hashes.
+Texts move once (to meet their spans), contexts of candidates once, a row for each copy; anchors move as hashes.
 
 Defined results: null text counts as empty; texts under 400 bytes have nothing to remove; matches never
 cross documents; repeated rows are documents of their own (told apart by a row number); an empty
@@ -133,25 +133,47 @@ def _contexts(length: int):
     return run
 
 
-def multikey_order(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def multikey_order(tokens) -> tuple[np.ndarray, np.ndarray]:
     """(order, same): positions sorted by the tokens in turn, and whether each equals the one before it in all of them.
 
-    Multikey quicksort: only suffixes still tied after a token are sorted by the next.
+    Multikey quicksort: each token (an array, or a function from positions to values) is read for the suffixes still tied, and
+    only groups that it splits are sorted.
     """
-    order = np.argsort(tokens[0])
-    same = np.concatenate(([False], tokens[0][order][1:] == tokens[0][order][:-1]))[:len(order)]
-    for token in tokens[1:]:
+    order = same = None
+    for token in tokens:
+        read = token if callable(token) else token.__getitem__
+        if order is None:
+            first = read(slice(None))
+            order = np.argsort(first)
+            same = np.concatenate(([False], first[order][1:] == first[order][:-1]))[:len(order)]
+            continue
         tied = same.copy()
         tied[:-1] |= same[1:]
         at = np.flatnonzero(tied)
         if not len(at):
             break
+        value = read(order[at])
         group = np.cumsum(~same[at])
-        order[at] = order[at][np.lexsort((token[order[at]], group))]
-        same[at] &= np.concatenate(([False], token[order[at]][1:] == token[order[at]][:-1]))
+        differs = same[at] & np.concatenate(([False], value[1:] != value[:-1]))
+        split = np.zeros(group[-1] + 1, bool)
+        split[group[differs]] = True
+        mixed = np.flatnonzero(split[group])
+        if len(mixed):
+            to = mixed[np.lexsort((value[mixed], group[mixed]))]
+            order[at[mixed]], value[mixed] = order[at[to]], value[to]
+            same[at[mixed]] &= np.concatenate(([False], value[1:] == value[:-1]))[mixed]
     return order, same
 
 
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number (big-endian)."""
+    word = np.zeros(max(0, len(data) - 7), np.uint64)
+    for k in range(8):
+        word <<= np.uint64(8)
+        word |= data[k:k + len(word)]
+    return word
+
+
 def _bucket(length: int):
     """Sorted contexts of a bucket to repeated runs (sure), and what cut keys must compare across buckets."""
     names = ["did", "tid", "start", "end", "w1", "w2", "sure"]
@@ -161,19 +183,17 @@ def _bucket(length: int):
         half, first, n, off = half.view(np.uint64), first.astype(np.int64), n.astype(np.int64), off.astype(np.int64)
         data, offs = T.string_buffers(t.column(9))
         data, offs = data[offs[0]:offs[-1]], offs - offs[0]
-        total, down = _prefix(data)
-        shape = half ^ ((n << 32) + off).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        whole = T.mix((total[offs[1:]] - total[offs[:-1]]) * down[offs[:-1]] + T.mix(shape))
-        _, rep, back, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+        index = t.column(9).dictionary_encode().indices.to_numpy()
+        _, rep, back, count = np.unique(index, return_index=True, return_inverse=True, return_counts=True)
         # suffixes of the distinct contexts
         size = n[rep]
         done = np.cumsum(size) - size
         of = np.repeat(np.arange(len(rep)), size)
         place = np.arange(len(of)) - done[of]
         start = offs[rep][of] + place
-        lead = T.mix(half[rep][of] + (off[rep][of] - place + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        digest = T.mix((total[start + length] - total[start]) * down[start])
-        order, same = multikey_order([lead, digest])
+        word = _words(data)
+        places = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
+        order, same = multikey_order([lambda at, k=k: word[start[at] + k] for k in places])
         repeated = np.zeros(len(of), bool)
         repeated[order] = same
         repeated[order[:-1]] |= same[1:]
@@ -189,14 +209,19 @@ def _bucket(length: int):
         out = [(row, a, b, T.mix(row.astype(np.uint64) + np.uint64(1)), T.mix(a.astype(np.uint64)), True)]
         across = np.flatnonzero(cut[rep][of])
         if len(across):
+            total, down = _prefix(data)
+
+            def hashes(at):
+                place_hash = (off[rep][of[at]] - place[at] + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+                return T.mix(half[rep][of[at]] + place_hash), T.mix((total[start[at] + length] - total[start[at]]) * down[start[at]])
+
             lone = across[~again[across]]
             out.append((rep[of[lone]], first[rep[of[lone]]] + place[lone], first[rep[of[lone]]] + place[lone] + length,
-                        lead[lone], digest[lone], False))
+                        *hashes(lone), False))
             one = np.zeros(len(of), bool)
             one[order] = ~same  # one of each distinct suffix that is known to repeat here
             known = across[(again & one)[across]]
-            out.append((np.full(len(known), -1), np.zeros(len(known), np.int64), np.zeros(len(known), np.int64),
-                        lead[known], digest[known], False))
+            out.append((np.full(len(known), -1), np.zeros(len(known), np.int64), np.zeros(len(known), np.int64), *hashes(known), False))
         parts = []
         for r, s, e, w1, w2, sure in out:
             at = pa.array(r, pa.int64(), mask=np.asarray(r) < 0)
