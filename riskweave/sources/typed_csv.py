@@ -39,8 +39,8 @@ def present(column: Column, missing: tuple[str, ...] = MISSING) -> Column:
 def parsed(value: Column, kind: T.DataType) -> Column:
     """A present string as ``kind``, NULL where it does not parse (no truncation, no type suffixes)."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        number = F.when(value.rlike(_DOUBLE), value.try_cast(kind))
-        return F.when(value.rlike(_INFINITE), F.when(value.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))).cast(kind)).otherwise(number)
+        infinite = F.when(value.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))).cast(kind)
+        return F.when(value.rlike(_DOUBLE), value.try_cast(kind)).when(value.rlike(_INFINITE), infinite)
     if isinstance(kind, T.IntegralType):
         return F.when(value.rlike(_LONG), value.try_cast(kind))
     if isinstance(kind, T.BooleanType):
@@ -69,13 +69,25 @@ class ColumnCounts:
 
 
 def column_counts(strings: DataFrame, missing: tuple[str, ...] = MISSING) -> dict[str, ColumnCounts]:
-    """Counts of every column from one aggregate over the table."""
+    """Counts of every column from one aggregate over the table.
+
+    A value is tried as long, double and boolean until one fits: a long is a double too, and no boolean is a number.
+    """
     names, aggs = strings.columns, []
-    for i, name in enumerate(names):
-        v = present(F.col(_quoted(name)), missing)
-        aggs += [F.count(v).alias(f"v{i}"), F.count(parsed(v, T.LongType())).alias(f"l{i}"),
-                 F.count(parsed(v, T.DoubleType())).alias(f"d{i}"), F.count(parsed(v, T.BooleanType())).alias(f"b{i}")]
-    row = strings.agg(*aggs).first() if aggs else None
+    texts = strings.select(*[present(F.col(_quoted(n)), missing).alias(f"t{i}") for i, n in enumerate(names)])
+
+    def fits(i: int) -> Column:
+        v = F.col(f"t{i}")
+        code = F.when(v.isNull(), F.lit(None))
+        for k, kind in enumerate((T.LongType(), T.DoubleType(), T.BooleanType()), 1):
+            code = code.when(parsed(v, kind).isNotNull(), F.lit(k))
+        return code.otherwise(F.lit(0)).alias(f"k{i}")
+
+    coded = texts.select(*[fits(i) for i in range(len(names))])
+    for i in range(len(names)):
+        k = F.col(f"k{i}")
+        aggs += [F.count(k).alias(f"v{i}"), F.count_if(k == 1).alias(f"l{i}"), F.count_if(k.isin(1, 2)).alias(f"d{i}"), F.count_if(k == 3).alias(f"b{i}")]
+    row = coded.agg(*aggs).first() if aggs else None
     return {name: ColumnCounts(row[f"v{i}"], row[f"l{i}"], row[f"d{i}"], row[f"b{i}"]) for i, name in enumerate(names)}
 
 
@@ -111,19 +123,24 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
         raise ValueError(f"columns of the schema are not in {path}: {', '.join(unknown)}")
     kinds = {f.name: f.dataType for f in declared.fields}
     free = [n for n in names if n not in kinds]
+    counted: set[str] = set()                                # every value was seen to fit
     if free:
         # the raw column stays in the plan: without it the parser would skip the fields nobody asked for, and miss wrong rows
         counts = column_counts(raw.where(whole).select(*[F.col(_quoted(n)) for n in free]), missing)
         kinds |= {n: counts[n].kind(tolerance) for n in free}
+        fitting = {T.LongType(): "longs", T.DoubleType(): "doubles", T.BooleanType(): "booleans"}
+        counted = {n for n in free if kinds[n] in fitting and getattr(counts[n], fitting[kinds[n]]) == counts[n].values}
     text = {n: present(F.col(_quoted(n)), missing) for n in names}
     cast = {n: text[n] if isinstance(kinds[n], T.StringType) else parsed(text[n], kinds[n]) for n in names}
     misfits = {n: text[n].isNotNull() & cast[n].isNull() for n in names if not isinstance(kinds[n], T.StringType)}
     fits = whole
-    for misfit in misfits.values():
-        fits = fits & ~misfit
+    for n, misfit in misfits.items():
+        # strict rows are not parsed a second time to see what the counts have shown; should the file have changed since, the value itself fails
+        fits = fits if strict and n in counted else fits & ~misfit
     line = F.coalesce(F.col(_RAW), F.to_csv(F.struct(*[F.col(_quoted(n)) for n in names])))
     kept = F.when(fits, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"row of {path} does not fit: "), line)).cast("boolean")) if strict else fits
-    rows = raw.where(kept).select(*[cast[n].alias(n) for n in names])
+    failed = {n: F.when(text[n].isNotNull(), F.raise_error(F.concat(F.lit(f"row of {path} does not fit: "), line))).cast(kinds[n]) for n in counted}
+    rows = raw.where(kept).select(*[(F.coalesce(cast[n], failed[n]) if strict and n in counted else cast[n]).alias(n) for n in names])
     reasons = [F.when(~whole, F.struct(F.lit(None).cast("string").alias("column"), F.col(_RAW).alias("value"), F.lit("number of fields").alias("reason")))]
     reasons += [F.when(whole & misfit, F.struct(F.lit(n).alias("column"), F.col(_quoted(n)).alias("value"),
                                                 F.lit(f"not a {kinds[n].simpleString()}").alias("reason"))) for n, misfit in misfits.items()]

@@ -113,3 +113,22 @@ def test_base_table_takes_a_schema_and_rejects(spark, tmp_path):
     df, sources = load_sources(spark, cfg)
     assert df.count() == 2 and sources == {} and spark.read.parquet(str(tmp_path / "bad" / "base")).first()["row"] == "x,1"
     assert rollup.enrich_applications(df, {}, skip_empty=True).count() == 2
+
+
+def test_a_value_is_parsed_once_and_strict_reads_still_fail(spark, tmp_path):
+    path = write(tmp_path / "t.csv", "i,d,s\n1,1.5,x\n2,2,y\n")
+    rows, _ = read_csv(spark, path, strict=True)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("as double") <= 2                                          # before: once in the filter and once in the projection, too
+    assert [tuple(r) for r in rows.orderBy("i").collect()] == [(1, 1.5, "x"), (2, 2.0, "y")]
+    (tmp_path / "t.csv" / "part-0.csv").write_text("i,d,s\n1,1.5,x\n2,oops,y\n")
+    with pytest.raises(PySparkException):
+        rows.collect()                                                           # changed since its types were found
+    with pytest.raises(PySparkException):
+        read_csv(spark, path, schema="d double", strict=True)[0].collect()
+
+
+def test_counts_of_every_kind_of_value(spark, tmp_path):
+    values = ["1", "-2", "99999999999999999999", "1.5", "1e3", "inf", "-Infinity", "true", "FALSE", "x", "NA", "1d"]
+    path = write(tmp_path / "k.csv", "a\n" + "\n".join(values) + "\n")
+    assert column_counts(read_csv(spark, path, schema="a string")[0]) == {"a": ColumnCounts(11, 2, 7, 2)}
