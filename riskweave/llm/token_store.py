@@ -74,23 +74,20 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
 
 
 def _decode(batches):
+    """One shard at a time, whatever number of shards a batch holds."""
     for batch in batches:
-        out = {"part": [], "shard": [], "doc_id": [], "at": [], "n_tokens": [], "ids_crc32": []}
-        for row in batch.to_pylist():
-            ids = rans.Reader(row["data"]).ids()
-            ends = np.cumsum(row["counts"], dtype=np.int64)
-            if len(ids) != row["n_ids"] or len(ids) != (ends[-1] if len(ends) else 0):
+        for i in range(batch.num_rows):
+            part, shard, doc_ids, counts, n_ids, data = (batch.column(c)[i] for c in range(6))
+            ids = rans.Reader(memoryview(data.as_buffer())).ids()
+            sizes = counts.values.to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes, dtype=np.int64)
+            if len(ids) != n_ids.as_py() or len(ids) != (ends[-1] if len(ends) else 0):
                 raise ValueError("a shard's ids do not fit its documents")
-            out["part"] += [row["part"]] * len(ends)
-            out["shard"] += [row["shard"]] * len(ends)
-            out["doc_id"] += row["doc_ids"]
-            out["at"] += (ends - row["counts"]).tolist()
-            out["n_tokens"] += row["counts"]
-            raw = ids.astype("<u4").tobytes()
-            out["ids_crc32"] += [zlib.crc32(raw[4 * (e - n):4 * e]) for e, n in zip(ends.tolist(), row["counts"], strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out["part"], pa.int32()), pa.array(out["shard"], pa.int32()),
-             *(pa.array(out[k], pa.int64()) for k in ("doc_id", "at", "n_tokens", "ids_crc32"))], list(out))
+            raw, starts, n = memoryview(ids.astype("<u4")).cast("B"), ends - sizes, len(ends)
+            crcs = [zlib.crc32(raw[4 * a:4 * e]) for a, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, part.as_py(), np.int32)), pa.array(np.full(n, shard.as_py(), np.int32)), doc_ids.values, pa.array(starts),
+                 pa.array(sizes.astype(np.int64)), pa.array(crcs, pa.int64())], ["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

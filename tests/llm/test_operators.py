@@ -191,3 +191,19 @@ def test_components_of_chains_and_stars(spark):
     want = {names[i]: min(names[j] for j in range(301)) for i in range(301)} | {names[1000 + i]: min(names[1000 + j] for j in range(200)) for i in range(200)}
     assert {x["node"]: x["component"] for x in graph.components(df).collect()} == want
     assert graph.components(df.limit(0)).count() == 0
+
+
+def test_shards_are_decoded_one_at_a_time():
+    import numpy as np
+    import pyarrow as pa
+    from riskweave.llm import rans, token_store as TS
+    ids = [np.arange(k + 5, dtype=np.uint32) for k in range(3)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([7] * 3, pa.int32()), pa.array([0, 1, 2], pa.int32()), pa.array([[None, 1], [2], [3, 4]], pa.list_(pa.int64())),
+         pa.array([[1, 4], [6], [3, 4]], pa.list_(pa.int32())), pa.array([5, 6, 7], pa.int64()), pa.array([rans.pack(i) for i in ids], pa.binary())],
+        ["part", "shard", "doc_ids", "counts", "n_ids", "data"])
+    out = list(TS._decode([batch]))
+    assert [b.num_rows for b in out] == [2, 1, 2]                       # before: all shards of a batch at once
+    rows = [tuple(r.values())[:5] for b in out for r in b.to_pylist()]
+    assert rows == [(7, 0, None, 0, 1), (7, 0, 1, 1, 4), (7, 1, 2, 0, 6), (7, 2, 3, 0, 3), (7, 2, 4, 3, 4)]
+    assert out[1].column(5)[0].as_py() == __import__("zlib").crc32(ids[1].astype("<u4").tobytes())
